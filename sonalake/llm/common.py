@@ -80,7 +80,7 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with bounded rows and characters, however long its texts are."""
     if batch.num_rows == 0:
         return
@@ -88,18 +88,18 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < batch.num_rows:
         done = size[start - 1] if start else 0
-        end = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(size, done + SLICE_CHARS, side="right"))))
+        end = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(size, done + chars, side="right"))))
         yield batch.slice(start, end - start)
         start = end
 
 
-def map_batches(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, chars: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow over bounded slices; make() runs once in each task and returns the step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, chars):
                 if (out := step(piece)) is not None:
                     yield out
 
