@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filters": url_filter.op3_url_filters,
     "op5_mixing": mixing.op5_mixing,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op10_bpe": bpe.op10_bpe,
 }
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def looked_up(urls: DataFrame, cascades: dict[str, Cascade], default: str) -> Da
         names = [*shared.value, default]
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("probes"))
-            flat, counts = lists.flatten(), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             h1, h2 = (flat.field(f"h{s}").to_numpy(zero_copy_only=False).view(np.uint64) for s in SEEDS)
             which = np.full(len(flat), len(names) - 1)
             for k, cascade in reversed(list(enumerate(shared.value.values()))):
