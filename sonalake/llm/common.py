@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the contracts: space, tab, newline, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -94,7 +95,7 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterat
         start = end
 
 
-def map_batches(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, chars: int = SLICE_CHARS) -> DataFrame:
+def map_batches(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, chars: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow over bounded slices; make() runs once in each task and returns the step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, url_filter
+from . import ann, bpe, exact_dedup, mixing, near_dedup, pii, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": ann.op1_ann,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filters": url_filter.op3_url_filters,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
 }
 
