@@ -1,17 +1,53 @@
-"""A training corpus from documents, stage by stage; each stage is written and read again."""
+"""A training corpus from documents, stage by stage; each stage is written and read again.
+
+Toxic documents go, of exact and of near duplicates one row stays, sources are
+mixed to their target weights, and what is left is encoded. The mix takes each
+document once at most: targets share SHARE of all words by weight and stop at
+the size of their source, so no stage makes copies again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sonalake.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from sonalake.llm.common import written
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+SHARE = 0.75
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs, share=SHARE, repeat=1.0)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_table(docs, bpe.tokenizer_path(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mixed),
+    ("bpe", encoded),
+]
 
-#: The stages fit a model and hold hashes that SQL lacks; tests compare them with brute force.
+#: The stages fit a model and walk trees, which SQL lacks; the tests compare them with brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -89,6 +89,29 @@ def thresholds(documents: DataFrame, plan: DataFrame) -> DataFrame:
     return written(joined.select("source", "source_size", "target", "copies", F.coalesce("below", F.lit(0)).alias("below")), "plan")
 
 
+def planned(documents: DataFrame, weights: tuple[float, ...], share: float, repeat: float) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of documents, and each source's plan."""
+    sizes = documents.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash"))
+    sizes = written(sizes, "sizes")
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return sizes, thresholds(sizes, source_targets(per_source, weights, share, repeat))
+
+
+def with_plan(rows: DataFrame, plan: DataFrame, hash_: Column) -> DataFrame:
+    """rows with the plan of their source: broadcast if it has few sources, else joined by source and a part of the hash."""
+    plan = plan.withColumnRenamed("source", "plan_source")
+    same = rows["source"].eqNullSafe(F.col("plan_source"))
+    if plan.count() <= SOURCE_ROWS:
+        return rows.join(F.broadcast(plan), same)
+    salted = plan.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, same & (hash_ % SALTS == F.col("plan_salt")))
+
+
+def copies_taken(size: Column, hash_: Column) -> Column:
+    """How often the mix takes a document of a source's plan."""
+    return F.when(size > 0, F.col("copies") + F.when(hash_ < F.col("below"), 1).otherwise(0)).otherwise(0)
+
+
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
     """documents(doc_id, text, source) with size, source_size, target and taken, one row per row.
 
@@ -97,19 +120,23 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     are taken together. A source misses its target by half a document at most,
     or by rows that share one hash. An empty table gives no rows.
     """
-    sized_docs = written(documents.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash")), "sizes")
-    sizes = sized_docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = thresholds(sized_docs, source_targets(sizes, weights, share, repeat))
-    taken = F.col("size") * (F.col("copies") + F.when((F.col("hash") < F.col("below")), 1).otherwise(0))
-    if plan.count() <= SOURCE_ROWS:
-        p = F.broadcast(plan.withColumnRenamed("source", "s"))
-        joined = sized_docs.join(p, F.col("source").eqNullSafe(F.col("s")))
-    else:
-        p = plan.withColumnRenamed("source", "s").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized_docs.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("hash") % SALTS == F.col("salt")))
+    sizes, plan = planned(documents, weights, share, repeat)
+    taken = F.col("size") * copies_taken(F.col("size"), F.col("hash"))
+    joined = with_plan(sizes, plan, F.col("hash"))
     return joined.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
 
 
+def mixed_rows(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
+    """The documents that mix() takes, each as often as it is taken, with all their columns."""
+    _, plan = planned(documents, weights, share, repeat)
+    joined = with_plan(documents, plan.select("source", "copies", "below"), hash60(documents["doc_id"]))
+    times = copies_taken(words(documents["text"]), hash60(documents["doc_id"]))
+    rows = joined.select(*(documents[c] for c in documents.columns), times.cast("int").alias("plan_times")).where("plan_times > 0")
+    if repeat <= 1:
+        return rows.drop("plan_times")
+    return rows.withColumn("plan_copy", F.explode(F.sequence(F.lit(1), F.col("plan_times")))).drop("plan_times", "plan_copy")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
