@@ -1,11 +1,8 @@
 """Every query of the engine with its SQL."""
 
-from __future__ import annotations
+from . import evaluation, relational, signals  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "class_breakdown"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "mf_descriptors"
