@@ -78,7 +78,7 @@ def _matches(x: np.ndarray, m: int, r: float, block: int = 512) -> np.ndarray:
 
 def sample_entropy(x: np.ndarray, m: int = 2) -> float:
     r = 0.2 * x.std(ddof=1)
-    b, a = (_matches(x, m, r)[: len(x) - m] - 1).sum(), (_matches(x, m + 1, r) - 1).sum()
+    b, a = (_matches(x[:-1], m, r) - 1).sum(), (_matches(x, m + 1, r) - 1).sum()
     return float(-np.log(a / b)) if a > 0 and b > 0 else float("nan")
 
 
