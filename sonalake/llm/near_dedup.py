@@ -113,7 +113,7 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its whole set, for wanted(node, rep): only documents with a rep's id are read again."""
+    """id and whole set, for wanted(id, node, rep): only documents with a rep's id are read again."""
     reps = wanted.select("rep").distinct()
     reps = sized(reps, reps.count(), ROWS)
     some = documents.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
@@ -130,36 +130,36 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         return step
 
     found = map_batches(some, "text", make, "node binary, shingles array<long>")
-    return written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return written(found.join(wanted.select("id", "node"), "node").select("id", "shingles").dropDuplicates(["id"]), "sets")
 
 
 def ranked_values(sketches: DataFrame) -> DataFrame:
-    """node, m, value, place: values of sketches(node, sketch) that two have, and their places from rarest to commonest of the m."""
-    values = sketches.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    """id, m, value, place: values of sketches(id, sketch) that two have, and their places from rarest to commonest of the m."""
+    values = sketches.select("id", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = Window.partitionBy("node")
+    mine = Window.partitionBy("id")
     alone = F.col("m") - F.count(F.lit(1)).over(mine)
     place = alone + F.row_number().over(mine.orderBy("df", "value"))
-    return values.join(often, "value").select("node", "m", "value", place.alias("place"))
+    return values.join(often, "value").select("id", "m", "value", place.alias("place"))
 
 
 def meeting_nodes(sketches: DataFrame) -> DataFrame:
-    """The nodes that meet another under one of their rarest retained values."""
+    """The ids that meet another under one of their rarest retained values."""
     need = F.when(F.col("m") >= SHARED * 4 // 3, F.lit(SHARED)).otherwise(F.ceil(F.col("m") * PERCENT / 100))
-    lists = written(ranked_values(sketches).where(F.col("place") <= F.col("m") - need + 1).select("value", "node"), "lists")
-    return lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "value").select("node").distinct()
+    lists = written(ranked_values(sketches).where(F.col("place") <= F.col("m") - need + 1).select("value", "id"), "lists")
+    return lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "value").select("id").distinct()
 
 
 def size_lists(sets: DataFrame) -> DataFrame:
-    """key, node, side, pair, place, n: inverted lists by value and pair of size buckets; side -1 meets all, 0 and 1 meet each other.
+    """key, id, side, pair, place, n: inverted lists by value and pair of size buckets; side -1 meets all, 0 and 1 meet each other.
 
     Sets over LONG are truncated and meet each other, and those that can be as
     similar, in a list of their own under LONG_SHARED common values.
     """
     size = F.size("shingles")
     bucket = F.floor(F.log(size.cast("double")) / F.log(F.lit(BUCKET)) + 1e-9).cast("int")
-    values = ranked_values(sets.select("node", F.slice("shingles", 1, LONG).alias("sketch")))
-    values = values.join(sets.select("node", size.alias("n"), bucket.alias("own")), "node")
+    values = ranked_values(sets.select("id", F.slice("shingles", 1, LONG).alias("sketch")))
+    values = values.join(sets.select("id", size.alias("n"), bucket.alias("own")), "id")
     n, own = F.col("n"), F.col("own")
     other = F.col("other")
     least = F.greatest(F.floor(F.pow(F.lit(BUCKET), other)), F.ceil(n * PERCENT / 100))
@@ -167,19 +167,19 @@ def size_lists(sets: DataFrame) -> DataFrame:
     by_size = values.where(n <= LONG).withColumn("other", F.explode(F.sequence(own - STEPS, own + STEPS))).where(F.col("place") <= n - common + 1)
     pair = F.xxhash64(F.least(own, other), F.greatest(own, other))
     side = F.when(own == other, -1).when(own < other, 0).otherwise(1)
-    by_size = by_size.select("node", "n", "place", "value", pair.alias("pair"), side.alias("side"))
+    by_size = by_size.select("id", "n", "place", "value", pair.alias("pair"), side.alias("side"))
     long = values.where((n > LONG * PERCENT // 100) & (F.col("place") <= F.col("m") - LONG_SHARED + 1))
-    long = long.select("node", F.lit(None).cast("int").alias("n"), "place", "value", F.xxhash64(F.lit("long")).alias("pair"), F.lit(-1).alias("side"))
-    return by_size.union(long).select(F.xxhash64("value", "pair").alias("key"), "node", "side", "pair", "place", "n")
+    long = long.select("id", F.lit(None).cast("int").alias("n"), "place", "value", F.xxhash64(F.lit("long")).alias("pair"), F.lit(-1).alias("side"))
+    return by_size.union(long).select(F.xxhash64("value", "pair").alias("key"), "id", "side", "pair", "place", "n")
 
 
 def attached(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """pairs(a, b) with a column of both, as x of a and y of b; a node in many pairs gets a copy for each MEMBERS of them."""
     many = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / MEMBERS) + 1).alias("copies"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("salt"))
-    centre = rows.select(F.col("node").alias("a"), F.col(column).alias("x")).join(many, "a")
+    centre = rows.select(F.col("id").alias("a"), F.col(column).alias("x")).join(many, "a")
     centre = centre.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
-    return salted.join(rows.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").join(centre, ["a", "salt"]).select("a", "b", "x", "y")
+    return salted.join(rows.select(F.col("id").alias("b"), F.col(column).alias("y")), "b").join(centre, ["a", "salt"]).select("a", "b", "x", "y")
 
 
 def likely(x: np.ndarray, y: np.ndarray) -> bool:
@@ -197,50 +197,51 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def filtered(rows: DataFrame, test) -> DataFrame:
-    """a, b of the rows whose x and y pass the test."""
+def linked(rows: DataFrame) -> DataFrame:
+    """a, b of the rows whose sets x and y are similar: those whose sketches allow it are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column(2), batch.column(3)
-            (fx, ox), (fy, oy) = [(c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (xs, ys)]
-            keep = [test(fx[ox[i] : ox[i + 1]], fy[oy[i] : oy[i + 1]]) for i in range(batch.num_rows)]
+            (fx, ox), (fy, oy) = [(c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column(2), batch.column(3))]
+            pairs = [(fx[ox[i] : ox[i + 1]], fy[oy[i] : oy[i + 1]]) for i in range(batch.num_rows)]
+            keep = [likely(x[:KEEP], y[:KEEP]) and similar(x, y) for x, y in pairs]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (the smallest node that links(a, b) reach) of every linked node."""
+    """id, comp (the smallest id that links(a, b) reach) of every linked class."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "label")
+    label = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "label")
     while True:
-        near = edges.join(label, edges["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        lower = label.join(near, label["node"] == near["a"]).select("node", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
-        jump = label.select(F.col("node").alias("low"), F.col("comp").alias("root"))
-        nxt = lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("root", "low")).alias("comp"), "old")
+        near = edges.join(label, edges["b"] == label["id"]).groupBy("a").agg(F.min("comp").alias("near"))
+        lower = label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
+        jump = label.select(F.col("id").alias("low"), F.col("comp").alias("root"))
+        nxt = lower.join(jump, "low", "left").select("id", F.least("low", F.coalesce("root", "low")).alias("comp"), "old")
         nxt = written(nxt, "label")
         if nxt.where("comp <> old").isEmpty():
-            return nxt.select("node", "comp")
-        label = nxt.select("node", "comp")
+            return nxt.select("id", "comp")
+        label = nxt.select("id", "comp")
 
 
-def members_of(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+def members_of(members: DataFrame, label: DataFrame | None) -> DataFrame:
     """The lists that more than one component has members in, with each member's component."""
     if label is None:
-        each = lists.withColumn("comp", F.col("node"))
-    else:
-        each = lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return each.join(mixed, "key")
+        return members.withColumn("comp", F.col("id"))
+    label = sized(label, label.count(), ROWS)
+    each = members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mine = Window.partitionBy("key")
+    return each.withColumn("lo", F.min("comp").over(mine)).withColumn("hi", F.max("comp").over(mine)).where("lo <> hi").drop("lo", "hi")
 
 
 def centre_pairs(members: DataFrame, turns: range) -> DataFrame:
     """Each member with its list's centres, one for each turn, where they are of other components."""
-    best = [F.min_by(F.struct("node", "comp", "side"), F.xxhash64(F.lit(t), F.col("node"))) for t in turns]
-    centre = members.groupBy("key").agg(F.array_distinct(F.array(*best)).alias("c")).select("key", F.explode("c").alias("c"))
-    each = members.join(centre, "key").where("comp <> c.comp AND (side = -1 OR side <> c.side)")
-    return each.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    own = Window.partitionBy("key")
+    best = [F.min(F.struct(F.xxhash64(F.lit(t), F.col("id")).alias("h"), "id", "comp", "side")).over(own) for t in turns]
+    each = members.withColumn("cs", F.array(*best)).withColumn("c", F.explode("cs"))
+    each = each.where("comp <> c.comp AND (side = -1 OR side <> c.side)")
+    return each.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
@@ -256,31 +257,32 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     each = written(members.join(shape, "key"), "shaped")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.side") == -1) | (F.col("x.side") != F.col("y.side")))
     light, heavy = each.where("NOT heavy"), each.where("heavy")
-    pairs = light.where("comp <> largest").alias("x").join(light.alias("y"), differ).select("x.node", F.col("y.node").alias("other"))
-    keys = each.groupBy("node", "pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda s: s["key"]).alias("keys"))
-    heavy = heavy.join(keys, ["node", "pair"]).withColumn("before", F.expr("slice(keys, 1, cast(array_position(keys, key) AS INT) - 1)")).drop("keys")
+    pairs = light.where("comp <> largest").alias("x").join(light.alias("y"), differ).select("x.id", F.col("y.id").alias("other"))
+    keys = each.groupBy("id", "pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda s: s["key"]).alias("keys"))
+    heavy = heavy.join(keys, ["id", "pair"]).withColumn("before", F.expr("slice(keys, 1, cast(array_position(keys, key) AS INT) - 1)")).drop("keys")
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
     enough = F.coalesce(rest * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT, F.lit(True))
     first = differ & enough & ~F.arrays_overlap("x.before", "y.before")
-    pairs = pairs.union(heavy.where("comp <> largest").alias("x").join(heavy.alias("y"), first).select("x.node", F.col("y.node").alias("other")))
-    return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    pairs = pairs.union(heavy.where("comp <> largest").alias("x").join(heavy.alias("y"), first).select("x.id", F.col("y.id").alias("other")))
+    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 
 def linked_components(documents: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """node, comp of the classes that some link reaches; None without candidates."""
-    wanted = written(meeting_nodes(classes).join(classes.select("node", "rep", "sketch"), "node"), "wanted")
+    """id, comp of the classes that some link reaches; None without candidates."""
+    wanted = written(meeting_nodes(classes).join(classes.select("id", "node", "rep"), "id"), "wanted")
     if wanted.isEmpty():
         return None
     sets = full_sets(documents, wanted)
-    lists = written(size_lists(sets), "size_lists")
+    members = written(size_lists(sets), "size_lists")
     links, label = None, None
     for turn in range(len(ROUNDS) + 1):
-        members = written(members_of(lists, label), f"members{turn}")
-        if members.isEmpty():
-            break
+        members = members_of(members, label)
+        if turn:
+            members = written(members, f"members{turn}")
+            if members.isEmpty():
+                break
         pairs = written(centre_pairs(members, ROUNDS[turn]) if turn < len(ROUNDS) else cross_pairs(members), f"pairs{turn}")
-        passed = written(filtered(attached(pairs, wanted, "sketch"), likely), f"passed{turn}")
-        found = written(filtered(attached(passed, sets, "shingles"), similar), f"links{turn}")
+        found = written(linked(attached(pairs, sets, "shingles")), f"links{turn}")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             label = components(links)
@@ -299,13 +301,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     rows = written(signatures(documents), "signatures")
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     label = linked_components(documents, classes)
-    slim = classes.select("node", "rep", "size")
+    slim = classes.select("id", "node", "rep", "size")
     if label is None:
         owner = slim.where("size > 1").select("node", F.col("rep").alias("component_id"), "size")
     else:
-        each = label.join(slim, "node")
+        each = label.join(slim, "id")
         lowest = each.groupBy("comp").agg(F.min("rep").alias("component_id"))
         linked = each.join(lowest, "comp").select("node", "component_id")
         owner = slim.join(linked, "node", "left").where("size > 1 OR component_id IS NOT NULL")
