@@ -27,6 +27,8 @@ from .common import written
 
 #: Neighbours, trees, levels of a tree, vectors that the trees are fitted on at most, share of these that a query's leaves hold.
 K, TREES, DEPTH, SAMPLE, VISIT = 10, 12, 6, 8192, 0.2
+#: Sample vectors that the visited leaves hold in each tree on average at least; smaller tables are searched whole.
+LEAST = 512
 #: Queries of a block; a block's vectors and leaves are broadcast (under 30 MB at 1024 dimensions).
 BLOCK = 2048
 EVERY = 100
@@ -82,6 +84,8 @@ class Forest:
         queue = [(0.0, t, 1) for t in range(trees)]
         heapq.heapify(queue)
         budget, out = share * self.held.sum(), []
+        if share * self.held[0].sum() < LEAST:
+            budget = LEAST * trees if LEAST < self.held[0].sum() else np.inf
         while queue and budget > 0:
             miss, t, node = heapq.heappop(queue)
             while node < leaves:

@@ -107,9 +107,9 @@ def with_plan(rows: DataFrame, plan: DataFrame, hash_: Column) -> DataFrame:
     return rows.join(salted, same & (hash_ % SALTS == F.col("plan_salt")))
 
 
-def copies_taken(size: Column, hash_: Column) -> Column:
+def copies_taken(size: Column, hash_: Column, copies: Column, below: Column) -> Column:
     """How often the mix takes a document of a source's plan."""
-    return F.when(size > 0, F.col("copies") + F.when(hash_ < F.col("below"), 1).otherwise(0)).otherwise(0)
+    return F.when(size > 0, copies + F.when(hash_ < below, 1).otherwise(0)).otherwise(0)
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
@@ -121,7 +121,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     or by rows that share one hash. An empty table gives no rows.
     """
     sizes, plan = planned(documents, weights, share, repeat)
-    taken = F.col("size") * copies_taken(F.col("size"), F.col("hash"))
+    taken = F.col("size") * copies_taken(F.col("size"), F.col("hash"), F.col("copies"), F.col("below"))
     joined = with_plan(sizes, plan, F.col("hash"))
     return joined.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
 
@@ -129,8 +129,10 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mixed_rows(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
     """The documents that mix() takes, each as often as it is taken, with all their columns."""
     _, plan = planned(documents, weights, share, repeat)
-    joined = with_plan(documents, plan.select("source", "copies", "below"), hash60(documents["doc_id"]))
-    times = copies_taken(words(documents["text"]), hash60(documents["doc_id"]))
+    key = hash60(documents["doc_id"])
+    plan = plan.select("source", F.struct("copies", "below").alias("plan_take"))
+    joined = with_plan(documents, plan, key)
+    times = copies_taken(words(documents["text"]), key, F.col("plan_take.copies"), F.col("plan_take.below"))
     rows = joined.select(*(documents[c] for c in documents.columns), times.cast("int").alias("plan_times")).where("plan_times > 0")
     if repeat <= 1:
         return rows.drop("plan_times")
