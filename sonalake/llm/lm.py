@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_batches, words_of, written
 
 #: Classes, those of one id, width of the model, ids scored in a window and before them, rounds of training and window starts in a text.
-CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS, STARTS = 64, 48, 16, 32, 16, 2, 2
+CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS, STARTS = 64, 48, 16, 32, 16, 2, 1
 BATCH, RATE, SEED = 64, 0.01, 3
 #: Characters of a text in which a window of training is found; of a word that are cut at once.
-REGION, PIECE = 700, 64
+REGION, PIECE = 320, 64
 #: Words whose counts are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers.
 HOT, CACHE_WORDS = 200_000, 400_000
 FOLDS, HELD = 7, 2
@@ -67,11 +67,7 @@ def subwords(words: list[bytes], path: str) -> list[list[int]]:
     """Ids of each word with a space before it; long words are cut in pieces."""
     enc = encoding(path)
     texts = [" " + w.decode("utf-8", "replace") for w in words]
-    out = enc.encode_ordinary_batch([t if len(t) <= PIECE else "" for t in texts], num_threads=1)
-    for k, t in enumerate(texts):
-        if len(t) > PIECE:
-            out[k] = [i for part in enc.encode_ordinary_batch([t[j : j + PIECE] for j in range(0, len(t), PIECE)], num_threads=1) for i in part]
-    return out
+    return [enc.encode_ordinary(t) if len(t) <= PIECE else [i for j in range(0, len(t), PIECE) for i in enc.encode_ordinary(t[j : j + PIECE])] for t in texts]
 
 
 def corpus_counts(training: DataFrame, path: str) -> DataFrame:
