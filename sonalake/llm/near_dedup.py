@@ -89,7 +89,7 @@ def node_of(shingles: np.ndarray) -> bytes | None:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), node (digest of the set; null for none), sketch (its smallest hashes)."""
+    """doc_id, tag (hash of the text), n (shingles), node (digest of the set; null for none), sketch (its smallest hashes)."""
 
     def make():
         hashes = WordHashes()
@@ -99,17 +99,19 @@ def signatures(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(map(len, sets), pa.int64()),
                     pa.array(map(node_of, sets), pa.binary()),
                     pa.array([s[:KEEP] for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "node", "sketch"],
+                names=["doc_id", "tag", "n", "node", "sketch"],
             )
 
         return step
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), "text", make, f"doc_id {kind}, n long, node binary, sketch array<long>")
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    return map_batches(rows, "text", make, f"doc_id {kind}, tag long, n long, node binary, sketch array<long>")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,7 +291,7 @@ def linked_components(documents: DataFrame, classes: DataFrame) -> DataFrame | N
     return label
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, tagged: bool = False) -> DataFrame:
     """One row per row of documents(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts are compared as sets of 5-word shingles, words lower-cased in A-Z;
@@ -297,7 +299,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     no shingle and are linked with nothing. component_id is the smallest doc_id
     that links of similarity 0.75 or more reach. A row without doc_id is never
     a component's id: it counts as kept only where its component has no id at
-    all. Rows that repeat a doc_id are compared like any others.
+    all. Rows that repeat a doc_id are compared like any others; tagged adds a
+    hash of the text as tag, to tell them apart.
     """
     rows = written(signatures(documents), "signatures")
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("sketch").alias("sketch"))
@@ -316,18 +319,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     total = slim.agg(F.sum("size")).first()[0] or 0
     hot = owner.where(F.col("size") > total / HOT).select("node", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
     rest = owner.where(F.col("size") <= total / HOT).select("node", "component_id", F.lit(True).alias("owned"))
-    split = rows.select("doc_id", "n", "node").join(F.broadcast(hot), "node", "left")
-    done = split.where("hot").select("doc_id", "n", F.col("hot_id").alias("component_id"))
+    split = rows.select("doc_id", "tag", "n", "node").join(F.broadcast(hot), "node", "left")
+    done = split.where("hot").select("doc_id", "tag", "n", F.col("hot_id").alias("component_id"))
     cold = split.where("hot IS NULL").join(rest, "node", "left")
-    cold = cold.select("doc_id", "n", F.when(F.col("owned"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return done.union(cold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    cold = cold.select("doc_id", "tag", "n", F.when(F.col("owned"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = done.union(cold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"), "tag")
+    return out if tagged else out.drop("tag")
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """documents with one row of each component, the one whose doc_id names it; near_duplicates() says what null ids do."""
-    lost = written(near_duplicates(documents).where("NOT kept").select("doc_id").distinct(), "lost")
+    """documents with one document of each component, the one whose doc_id names it; near_duplicates() says what null ids do."""
+    lost = written(near_duplicates(documents, True).where("NOT kept").select(F.col("doc_id").alias("lost_id"), "tag").distinct(), "lost")
     lost = sized(lost, lost.count(), ROWS)
-    return documents.join(lost, documents["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")
+    same = documents["doc_id"].eqNullSafe(lost["lost_id"]) & (F.xxhash64(documents["text"]) == lost["tag"])
+    return documents.join(lost, same, "left_anti")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

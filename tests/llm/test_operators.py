@@ -194,6 +194,8 @@ class TestNearDedup:
             by[r["doc_id"]].add((r["n_shingles"], r["component_id"], r["kept"]))
         assert by[1] == {(0, 1, True)} and by[2] == {(0, 2, True)} and by[4] == {(1, 4, True)} and by[5] == {(1, 4, False), (1, 5, True)}
         assert by[None] == {(1, 4, False), (0, None, True)}
+        left = near_dedup.drop_near_duplicates(odd.withColumn("tag", F.lit("clash")))
+        assert sorted(((r[0], r[1]) for r in left.select("doc_id", F.length("text")).collect()), key=str) == sorted([(1, None), (2, 0), (3, 60000), (4, 15), (4, 15), (None, None), (5, 5)], key=str)
         assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.drop_near_duplicates(none).count() == 0
 
 
