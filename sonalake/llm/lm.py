@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_batches, words_of, written
 
 #: Classes, those of one id, width of the model, ids scored in a window and before them, rounds of training and window starts in a text.
-CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS, STARTS = 64, 48, 16, 32, 16, 2, 1
+CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS, STARTS = 64, 48, 16, 24, 8, 2, 1
 BATCH, RATE, SEED = 64, 0.01, 3
 #: Characters of a text in which a window of training is found; of a word that are cut at once.
-REGION, PIECE = 320, 64
+REGION, PIECE = 160, 64
 #: Words whose counts are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers.
 HOT, CACHE_WORDS = 200_000, 400_000
 FOLDS, HELD = 7, 2
@@ -92,7 +92,7 @@ def corpus_counts(training: DataFrame, path: str) -> DataFrame:
             for text in batch.column(0):
                 words.update(words_of(text.as_py()))
                 docs += 1
-                if len(words) > CACHE_WORDS // 2:
+                if len(words) > CACHE_WORDS:
                     yield flushed()
                     words, docs = Counter(), 0
         yield flushed()
@@ -147,20 +147,28 @@ class Attention:
         return back, np.where(back >= 0, self.p["r"][np.maximum(back, 0)], -1e9).astype(np.float32)
 
     def log_probs(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log10 probability of the target classes: keys (windows, CONTEXT+SCORED), targets (windows, SCORED)."""
+        """log10 probability of the target classes: keys (windows, CONTEXT+SCORED), targets (windows, SCORED).
+
+        The shut keys and the output's bias ride along as one more column of the
+        products. Where exponentials can't overflow, nothing is subtracted first.
+        """
         p, (_, bias) = self.p, self.mask()
-        asked = p["e"] @ p["q"] / np.float32(WIDTH**0.5)
-        known, value, direct = p["e"] @ p["k"], p["e"] @ p["v"], p["e"] @ p["u"].T + p["b"]
+        one, value = np.ones((CLASSES + 1, 1), np.float32), p["e"] @ p["v"]
+        asked = np.hstack([p["e"] @ p["q"] / np.float32(WIDTH**0.5), one])
         shut = np.where(np.arange(CLASSES + 1) == PAD, np.float32(-1e9), np.float32(0))
+        known = np.hstack([p["e"] @ p["k"], shut[:, None]])
+        out = np.vstack([p["u"].T, p["b"]])
+        longest = lambda x: float(np.sqrt((x * x).sum(1)).max())
         z = asked[keys[:, CONTEXT:]] @ known[keys].transpose(0, 2, 1)
         z += bias
-        z += shut[keys][:, None, :]
-        z -= z.max(2, keepdims=True)
+        if longest(asked[:, :-1]) * longest(known[:PAD, :-1]) + float(p["r"].max()) > 60:
+            z -= z.max(2, keepdims=True)
         np.exp(z, out=z)
-        mixed = (z @ value[keys]) / z.sum(2, keepdims=True)
-        logits = mixed.reshape(-1, WIDTH) @ p["u"].T
-        logits += direct[keys[:, CONTEXT:].ravel()]
-        logits -= logits.max(1, keepdims=True)
+        h = np.ones((*targets.shape, WIDTH + 1), np.float32)
+        h[..., :-1] = (z @ value[keys]) / (z.sum(2, keepdims=True) + np.float32(1e-30)) + p["e"][keys[:, CONTEXT:]]
+        logits = h.reshape(-1, WIDTH + 1) @ out
+        if (longest(value) + longest(p["e"])) * longest(p["u"]) + float(p["b"].max()) > 60:
+            logits -= logits.max(1, keepdims=True)
         hit = logits[np.arange(len(logits)), targets.ravel()]
         np.exp(logits, out=logits)
         return ((hit - np.log(logits.sum(1))) / np.float32(np.log(10))).reshape(targets.shape)
@@ -191,9 +199,10 @@ class Attention:
         g["r"] = np.bincount(np.maximum(back, 0).ravel(), dz.sum(0).ravel() * (back >= 0).ravel(), SCORED + CONTEXT)
         g["q"] = np.einsum("bsd,bse->de", own, dq)
         g["k"], g["v"] = np.einsum("btd,bte->de", x, dk), np.einsum("btd,bte->de", x, dv)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], keys[:, CONTEXT:], dh + dq @ p["q"].T)
-        np.add.at(g["e"], keys, dk @ p["k"].T + dv @ p["v"].T)
+        per_key = dk @ p["k"].T + dv @ p["v"].T
+        per_key[:, CONTEXT:] += dh + dq @ p["q"].T
+        flat, place = per_key.reshape(-1, WIDTH), keys.ravel()
+        g["e"] = np.stack([np.bincount(place, flat[:, k], CLASSES + 1) for k in range(WIDTH)], 1)
         return np.concatenate([g[n].ravel() for n, _ in self.SHAPES])
 
     def learn(self, keys: np.ndarray, targets: np.ndarray, rate: float) -> None:
