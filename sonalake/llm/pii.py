@@ -27,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: The contract's patterns, written so that no text takes more than linear time.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -86,7 +86,9 @@ der Wert ist 12,50 und die Zahl 1234567
 la casa de 12 y 1300 cosas
 """
 
+TELLING = re.compile(rb"[0-9]|[aA][tT]\]|[dD][oO][tT]\]")
 CUES = frozenset("call phone tel tel. fax mail email card at dot (at) [at] (dot) [dot] number".split())
+CUE_BYTES = frozenset(c.encode() for c in CUES)
 
 
 def shape(word: str) -> str:
@@ -107,7 +109,7 @@ def features(word: str) -> tuple[str, ...]:
     made = ["s:" + shape(core), "g:" + re.sub(r"(.)\1+", r"\1", shape(core))]
     if low in CUES:
         made.append("w:" + low)
-    if not any(c.isdigit() for c in word) and "at]" not in low and "dot]" not in low and low not in CUES:
+    if not TELLING.search(word.encode("utf-8", "replace")) and low not in CUES:
         made = ["plain"]
     return tuple(made)
 
@@ -127,6 +129,26 @@ class Field:
         return self.unary[:, at].sum(1)
 
 
+class WordIds(dict):
+    """A number for each word: words of equal features share one, and plain words have 0."""
+
+    def __init__(self, model: Field):
+        super().__init__()
+        self.model, self.by_features = model, {("plain",): 0}
+        self.rows = [model.unary[:, [model.index["plain"]]].sum(1)]
+
+    def __missing__(self, word: bytes) -> int:
+        if not TELLING.search(word) and word.lower().rstrip(b",;:!?") not in CUE_BYTES:
+            found = 0
+        else:
+            key = features(word.decode("utf-8", "replace"))
+            found = self.by_features.setdefault(key, len(self.rows))
+            if found == len(self.rows):
+                self.rows.append(self.model.row(word.decode("utf-8", "replace")))
+        self[word] = found
+        return found
+
+
 def parsed(line: str) -> tuple[list[str], list[int]]:
     words, labels = [], []
     for part in re.split(r"(\[(?:email|ip|card|phone)\|.*?\](?=\s|$))", line):
@@ -198,44 +220,42 @@ class Tagger:
     """Labels of all words of a batch of texts."""
 
     def __init__(self, model: Field):
-        self.model, self.ids, self.rows = model, {}, []
+        self.model, self.ids = model, WordIds(model)
         # The most that leaving the outside label at one word could gain by the transitions on its two sides.
         into = (model.pairs - model.pairs[:, :1]).max(0)
         out = (model.pairs - model.pairs[:1]).max(1)
         self.gain = into + out
+        self.plain_is_sure = bool(self.sure(self.ids.rows[0].sum(0)[None] + model.bias)[0])
 
-    def id_of(self, word: bytes) -> int:
-        if (found := self.ids.get(word)) is None:
-            key = features(word.decode("utf-8", "replace"))
-            if (found := self.ids.get(key)) is None:
-                self.rows.append(self.model.row(word.decode("utf-8", "replace")))
-                found = self.ids[key] = len(self.rows) - 1
-            self.ids[word] = found
-        return found
+    def sure(self, scores: np.ndarray) -> np.ndarray:
+        return (scores[:, :1] - scores[:, 1:] > self.gain[1:]).all(1)
 
     def labels(self, texts: list[list[bytes]]) -> np.ndarray:
         """Label numbers of all words of all texts, one after the other."""
         if len(self.ids) > 500_000:
-            self.ids, self.rows = {}, []
-        ids = np.fromiter((self.id_of(w) for ws in texts for w in ws), np.int64)
-        count = len(ids)
+            self.ids = WordIds(self.model)
+        get = self.ids.__getitem__
+        ids = np.fromiter((i for ws in texts for i in map(get, ws)), np.int64, sum(map(len, texts)))
+        count, found = len(ids), np.zeros(len(ids), np.int64)
         if not count:
-            return np.zeros(0, np.int64)
+            return found
         start = np.zeros(count + 1, bool)
         start[np.cumsum([0, *map(len, texts)])] = True
-        table = np.array(self.rows)
-        scores = table[ids, 1] + self.model.bias
-        inner = ~start[1:count]
-        scores[1:] += table[ids[:-1], 0] * inner[:, None]
-        scores[:-1] += table[ids[1:], 2] * inner[:, None]
-        sure = (scores[:, :1] - scores[:, 1:] > self.gain[1:]).all(1)
-        found = np.zeros(count, np.int64)
-        todo = np.flatnonzero(~sure)
+        # A plain word between plain words of its text is decided once for all; only the others are scored.
+        inner = np.zeros(count, bool)
+        if self.plain_is_sure:
+            inner[1:-1] = (ids[1:-1] == 0) & (ids[:-2] == 0) & (ids[2:] == 0) & ~start[1 : count - 1] & ~start[2:count]
+        at, table = np.flatnonzero(~inner), np.array(self.ids.rows)
+        scores = table[ids[at], 1] + self.model.bias
+        scores += table[ids[at - 1], 0] * ~start[at][:, None]
+        scores += table[ids[np.minimum(at + 1, count - 1)], 2] * ~start[at + 1][:, None]
+        todo = np.flatnonzero(~self.sure(scores))
         if len(todo):
-            cut = np.flatnonzero((np.diff(todo) > 1) | start[todo[1:]]) + 1
-            parts = sorted(np.split(todo, cut), key=len)
+            cut = np.flatnonzero((np.diff(at[todo]) > 1) | start[at[todo[1:]]]) + 1
+            parts, own = sorted(np.split(todo, cut), key=len), np.zeros(len(at), np.int64)
             for k in range(0, len(parts), 4096):
-                self.viterbi(scores, parts[k : k + 4096], found)
+                self.viterbi(scores, parts[k : k + 4096], own)
+            found[at] = own
         return found
 
     def viterbi(self, scores: np.ndarray, parts: list[np.ndarray], found: np.ndarray) -> None:
