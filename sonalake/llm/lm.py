@@ -8,13 +8,13 @@ scored in windows that overlap by CONTEXT ids; each id is scored once, in the
 window that has it beyond its context, with a causal mask.
 
 Word and id counts are taken over every training document. The attention
-weights are trained in numpy on windows from every training document: each task
-steps through its own, and the weights are averaged, for ROUNDS rounds.
+weights are trained in numpy on all windows of every training document, each once
+a round: each task steps through its own, and the weights are averaged, for ROUNDS
+rounds.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, words_of, written
+from .common import crc_mod, map_batches, slices, words_of, written
 
-#: Classes, those of one id, width of the model, ids scored in a window and before them, rounds of training and window starts in a text.
-CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS, STARTS = 64, 48, 16, 24, 8, 2, 1
+#: Classes, those of one id, width of the model, ids scored in a window and before them, rounds of training.
+CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS = 64, 48, 16, 24, 8, 2
 BATCH, RATE, SEED = 64, 0.01, 3
-#: Characters of a text in which a window of training is found; of a word that are cut at once.
-REGION, PIECE = 160, 64
+#: Characters of a word that are cut at once; of the texts that are trained on or scored together.
+PIECE, CHARS = 64, 1_000_000
 #: Words whose counts are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers.
 HOT, CACHE_WORDS = 200_000, 400_000
 FOLDS, HELD = 7, 2
@@ -174,35 +174,43 @@ class Attention:
         return ((hit - np.log(logits.sum(1))) / np.float32(np.log(10))).reshape(targets.shape)
 
     def gradient(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Of the mean negative log-likelihood of the targets that aren't PAD."""
+        """Of the mean negative log-likelihood of the targets that aren't PAD.
+
+        A key's vectors depend on its class alone, so gradients are summed by
+        class before they go through the products with q, k and v.
+        """
         p, (back, bias) = self.p, self.mask()
-        x, own = p["e"][keys], p["e"][keys[:, CONTEXT:]]
-        scale = np.float32(WIDTH**-0.5)
-        q, k, v = own @ p["q"] * scale, x @ p["k"], x @ p["v"]
-        z = q @ k.transpose(0, 2, 1) + bias + np.where(keys == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        w = np.exp(z - z.max(2, keepdims=True))
+        scale, each = np.float32(WIDTH**-0.5), np.eye(CLASSES + 1, dtype=np.float32)
+        asker = keys[:, CONTEXT:]
+        q, k, v, own = (p["e"] @ p["q"] * scale)[asker], (p["e"] @ p["k"])[keys], (p["e"] @ p["v"])[keys], p["e"][asker]
+        w = q @ k.transpose(0, 2, 1)
+        w += bias
+        w += np.where(keys == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+        w -= w.max(2, keepdims=True)
+        np.exp(w, out=w)
         w /= w.sum(2, keepdims=True)
-        h = own + w @ v
-        logits = h @ p["u"].T + p["b"]
-        y = np.exp(logits - logits.max(2, keepdims=True))
-        y /= y.sum(2, keepdims=True)
-        live = (targets != PAD)[..., None]
-        d = y * live
-        rows, cols = np.nonzero(live[..., 0])
-        d[rows, cols, targets[rows, cols]] -= 1
-        d /= max(1, len(rows))
-        g = {"u": np.einsum("bsc,bsd->cd", d, h), "b": d.sum((0, 1))}
-        dh = d @ p["u"]
-        dw, dv = dh @ v.transpose(0, 2, 1), w.transpose(0, 2, 1) @ dh
-        dz = w * (dw - (dw * w).sum(2, keepdims=True))
-        dq, dk = dz @ k * scale, dz.transpose(0, 2, 1) @ q
+        seen = w @ v
+        h = (own + seen).reshape(-1, WIDTH)
+        d = h @ p["u"].T + p["b"]
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(1, keepdims=True)
+        live = targets.ravel() != PAD
+        rows = np.flatnonzero(live)
+        d[rows, targets.ravel()[rows]] -= 1
+        d *= (live / np.float32(max(1, len(rows)))).astype(np.float32)[:, None]
+        g = {"u": d.T @ h, "b": d.sum(0)}
+        dh = (d @ p["u"]).reshape(own.shape)
+        dz = dh @ v.transpose(0, 2, 1)
+        dz -= (dh * seen).sum(2, keepdims=True)
+        dz *= w
+        dv, dq, dk = w.transpose(0, 2, 1) @ dh, dz @ k, dz.transpose(0, 2, 1) @ q
         g["r"] = np.bincount(np.maximum(back, 0).ravel(), dz.sum(0).ravel() * (back >= 0).ravel(), SCORED + CONTEXT)
-        g["q"] = np.einsum("bsd,bse->de", own, dq)
-        g["k"], g["v"] = np.einsum("btd,bte->de", x, dk), np.einsum("btd,bte->de", x, dv)
-        per_key = dk @ p["k"].T + dv @ p["v"].T
-        per_key[:, CONTEXT:] += dh + dq @ p["q"].T
-        flat, place = per_key.reshape(-1, WIDTH), keys.ravel()
-        g["e"] = np.stack([np.bincount(place, flat[:, k], CLASSES + 1) for k in range(WIDTH)], 1)
+        by_asker = each[asker.ravel()].T @ np.concatenate([dh, dq], 2).reshape(-1, 2 * WIDTH)
+        by_key = each[keys.ravel()].T @ np.concatenate([dk, dv], 2).reshape(-1, 2 * WIDTH)
+        direct, of_q, of_k, of_v = by_asker[:, :WIDTH], by_asker[:, WIDTH:] * scale, by_key[:, :WIDTH], by_key[:, WIDTH:]
+        g["q"], g["k"], g["v"] = p["e"].T @ of_q, p["e"].T @ of_k, p["e"].T @ of_v
+        g["e"] = direct + of_q @ p["q"].T + of_k @ p["k"].T + of_v @ p["v"].T
         return np.concatenate([g[n].ravel() for n, _ in self.SHAPES])
 
     def learn(self, keys: np.ndarray, targets: np.ndarray, rate: float) -> None:
@@ -291,17 +299,8 @@ class Model:
     documents: int
 
 
-def region(text: str, key: object, turn: int) -> str:
-    """The part of a text that training looks at in one turn, from a place given by a hash."""
-    spare = len(text) - REGION
-    if spare <= 0:
-        return text
-    start = zlib.crc32(f"{key}/{turn}".encode()) % (spare + 1)
-    return text[start : start + REGION].partition(" ")[2] if start else text[:REGION]
-
-
 def attention_round(training: DataFrame, model: Model, turn: int) -> np.ndarray:
-    """Weights after a round: the mean of the tasks' weights by their windows."""
+    """Weights after a round over all windows: the mean of the tasks' weights by their windows."""
     shared = training.sparkSession.sparkContext.broadcast(model)
     rate = RATE / (1 + turn)
 
@@ -310,10 +309,8 @@ def attention_round(training: DataFrame, model: Model, turn: int) -> np.ndarray:
         own, seen = Attention(model.attention.copy()), 0
         words = Vocabulary(model.classes, model.hot, model.documents, model.path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                pairs = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-                texts = [words_of(region(t or "", i, turn * STARTS + s)) for i, t in pairs for s in range(STARTS)]
+            for part in slices(batch, "text", CHARS):
+                texts = [words_of(t) for t in part.column(0).to_pylist()]
                 classes, _, length = words.spelled(words.places(texts))
                 sizes = np.add.reduceat(length, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
                 keys, targets, _ = windows(classes, sizes)
@@ -323,7 +320,7 @@ def attention_round(training: DataFrame, model: Model, turn: int) -> np.ndarray:
         if seen:
             yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(Attention.SIZE)), "v": pa.array(own.flat.astype(float) * seen), "n": pa.array(np.full(Attention.SIZE, seen))})
 
-    got = training.select("doc_id", "text").mapInArrow(run, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow().sort_by("i")
+    got = training.select("text").mapInArrow(run, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow().sort_by("i")
     return got.column("v").to_numpy().astype(np.float32) if got.num_rows else model.attention
 
 
@@ -387,7 +384,7 @@ def scored_once(documents: DataFrame, model: Model) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, keys array<long>, times array<long>"
-    return written(map_batches(rows, "text", make, schema, chars=1_000_000), "scored")
+    return written(map_batches(rows, "text", make, schema, chars=CHARS), "scored")
 
 
 def score_documents(documents: DataFrame, path: str) -> DataFrame:

@@ -348,6 +348,15 @@ class TestLm:
         after = net.log_probs(keys, np.where(at >= 0, targets, 0))
         np.testing.assert_allclose(before[(at >= 0) & (at <= 50)], after[(at >= 0) & (at <= 50)])
 
+    def test_trains_on_whole_texts(self, spark):
+        text = "the red of blue in green " * 80
+        model, _ = lm.train(docs(spark, [(i, text, "a") for i in range(200)]).coalesce(1), lm.vocabulary_path())
+        words = lm.Vocabulary(model.classes, model.hot, model.documents, model.path)
+        classes, _, _ = words.spelled(words.places([lm.words_of(text)]))
+        keys, targets, at = lm.windows(classes, np.array([len(classes)]))
+        got = lm.Attention(model.attention).log_probs(keys, np.where(at >= 0, targets, 0))[at >= 0]
+        assert got.mean() > -0.1
+
     def test_odd_rows(self, odd, none):
         got = lm.score_documents(odd, lm.vocabulary_path())
         assert got.count() == odd.count() and got.where("score IS NULL OR base_score IS NULL").count() == 0
