@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_batches, slices, words_of, written
 
 #: Classes, those of one id, width of the model, ids scored in a window and before them, rounds of training.
-CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS = 64, 48, 16, 24, 8, 2
+CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS = 64, 48, 16, 32, 32, 2
 BATCH, RATE, SEED = 64, 0.01, 3
 #: Characters of a word that are cut at once; of the texts that are trained on or scored together.
 PIECE, CHARS = 64, 1_000_000

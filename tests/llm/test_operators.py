@@ -357,6 +357,11 @@ class TestLm:
         got = lm.Attention(model.attention).log_probs(keys, np.where(at >= 0, targets, 0))[at >= 0]
         assert got.mean() > -0.1
 
+    def test_context_of_later_windows(self):
+        keys, _, at = lm.windows(np.arange(200) % lm.SINGLE, np.array([200]))
+        assert keys.shape[0] > 2 and (at[:-1] >= 0).sum(1).min() >= 32
+        assert (keys[1:-1, : lm.CONTEXT + 1] != lm.PAD).sum(1).min() >= 17
+
     def test_odd_rows(self, odd, none):
         got = lm.score_documents(odd, lm.vocabulary_path())
         assert got.count() == odd.count() and got.where("score IS NULL OR base_score IS NULL").count() == 0
