@@ -115,9 +115,10 @@ def majority_baseline(spark, d):
 
 
 def numeric(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as columns ft_0 …, a binary label from the class number, and the speaker."""
+    """Embeddings, all components of the longest, as columns ft_0 …, a binary label from the class number, and the speaker."""
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", (F.col("vec_id") % 60).alias("speaker"), (F.col("label") < 5).cast("int").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"ft_{i}") for i in range(16)))
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", (F.col("vec_id") % 60).alias("speaker"), (F.col("label") < 5).cast("int").alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"ft_{i}") for i in range(width)))
 
 
 @query()
@@ -131,7 +132,7 @@ def logreg_cv(spark, d):
 def rf_cv(spark, d):
     from .models import cross_validated, forest
 
-    return cross_validated(numeric(spark, d), "vec_id", "speaker", "y", "ft_", forest(), folds=2)
+    return cross_validated(numeric(spark, d), "vec_id", "speaker", "y", "ft_", forest())
 
 
 @query()
