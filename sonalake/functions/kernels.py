@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FRAME, HOP = 64, 16
-LEAST_SIGNAL = 16
+LEAST_SIGNAL, ENTROPY_RATE = 16, 8000
 
 
 def frames(x: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -70,10 +70,25 @@ def yin(x: np.ndarray, rate: float, lowest: float, highest: float, limit: float
     return np.array(found)
 
 
-def _matches(x: np.ndarray, m: int, r: float, block: int = 512) -> np.ndarray:
-    """How many templates of length m lie within r of each, itself included, in blocks of bounded memory."""
+def _matches(x: np.ndarray, m: int, r: float, cells: int = 4_000_000) -> np.ndarray:
+    """How many templates of length m lie within r of each, itself included.
+
+    Templates are sorted by their first value, so that a block meets only those
+    whose first value can lie within r; blocks have bounded memory.
+    """
     t = np.lib.stride_tricks.sliding_window_view(x, m)
-    return np.concatenate([(np.abs(t[i : i + block, None, :] - t[None]).max(2) <= r).sum(1) for i in range(0, len(t), block)])
+    order = np.argsort(t[:, 0], kind="stable")
+    t = t[order]
+    first, reach, block = t[:, 0], r * (1 + 1e-9) + 1e-9 * np.abs(x).max(initial=0.0), max(1, cells // max(1, len(t)))
+    found = np.zeros(len(t), np.int64)
+    for i in range(0, len(t), block):
+        own = t[i : i + block]
+        a, b = np.searchsorted(first, own[0, 0] - reach), np.searchsorted(first, own[-1, 0] + reach, side="right")
+        within = np.ones((len(own), b - a), bool)
+        for k in range(m):
+            within &= np.abs(own[:, k, None] - t[None, a:b, k]) <= r
+        found[order[i : i + block]] = within.sum(1)
+    return found
 
 
 def sample_entropy(x: np.ndarray, m: int = 2) -> float:
@@ -100,11 +115,10 @@ def features(x: np.ndarray, rate: float) -> dict[str, float]:
 FEATURES = ["centroid", "bandwidth", "rolloff", "flatness", *(f"mfcc{k}_{s}" for s in ("mean", "std") for k in range(1, 14)), "f0_mean"]
 
 
-def extracted(s: DataFrame, rate: float, entropies: int = 2000) -> DataFrame:
+def extracted(s: DataFrame, rate: float) -> DataFrame:
     """key, status, error and the features of each series(key, i, x); a series is one signal, so one task can hold it.
 
-    Entropies are quadratic, so signals over `entropies` points are thinned to
-    about that many first. Status is ok, empty_signal, short_signal or failed.
+    Entropies take each (rate // ENTROPY_RATE)th point, all below that rate. Status is ok, empty_signal, short_signal or failed.
     """
     names = [*FEATURES, "sample_entropy", "approximate_entropy"]
 
@@ -117,7 +131,7 @@ def extracted(s: DataFrame, rate: float, entropies: int = 2000) -> DataFrame:
         else:
             try:
                 row |= features(x, rate)
-                thin = x[:: max(1, len(x) // entropies)]
+                thin = x[:: max(1, int(rate) // ENTROPY_RATE)]
                 row |= {"sample_entropy": sample_entropy(thin), "approximate_entropy": approximate_entropy(thin)}
             except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
                 row |= {"status": "failed", "error": str(e)}

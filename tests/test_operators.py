@@ -154,3 +154,12 @@ def test_sample_entropy_against_loops():
     r, n = 0.2 * x.std(ddof=1), len(x)
     count = lambda m: sum(max(abs(x[i : i + m] - x[j : j + m])) <= r for i in range(n - 2) for j in range(n - 2) if i != j)
     assert kernels.sample_entropy(x) == pytest.approx(-np.log(count(3) / count(2)))
+
+
+def test_entropies_see_every_point_below_their_rate(spark):
+    x = np.random.default_rng(2).normal(size=4500).cumsum().round(3)
+    t = np.lib.stride_tricks.sliding_window_view(x, 2)
+    np.testing.assert_array_equal(kernels._matches(x, 2, 0.7), [(abs(t - a).max(1) <= 0.7).sum() for a in t])
+    got = kernels.extracted(long(spark, [float(v) for v in x]), 1000.0).first()
+    assert got["sample_entropy"] == pytest.approx(kernels.sample_entropy(x))
+    assert got["approximate_entropy"] == pytest.approx(kernels.approximate_entropy(x))
