@@ -1,17 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's words, A-Z lower-cased, and their leading characters; both
-are hashed. The training rows say which hashed terms tell the classes apart;
-the machine learns a weight and a vector for each of these, so that pairs of
-terms count as pairs. A text is the set of its chosen terms, scaled to unit
-length; the score is the logistic function of
-w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j.
+Terms are a text's words, A-Z lower-cased and freed of punctuation at their ends,
+and their leading characters; each is hashed to one of 2**BITS buckets. All
+buckets are in the machine: it learns a weight and a vector for each, so that
+pairs of terms count as pairs. A term's value is FLOOR plus how far its share of
+toxic training rows lies from the common one: terms that are neutral alone have
+the least value, not none, so that a pair of them can still tell. The score is
+the logistic function of w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,83 +21,81 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, map_batches, words_of, written
 
-#: Bits of a term's hash, leading characters that are terms, terms that are kept, and labelled rows that the fit takes at most.
-BITS, PREFIXES, TERMS, SAMPLE = 22, (4, 5, 6), 2048, 20_000
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 30, 64, 0.08, 1e-4, 11
-#: Rows that a term must be in, words whose terms a task remembers.
-LEAST, LEAST_Z, CACHE_WORDS = 3, 4.0, 500_000
+#: Bits of a term's hash, leading characters that are terms, and labelled rows that the fit takes at most.
+BITS, PREFIXES, SAMPLE = 18, (4, 5, 6), 20_000
+FACTORS, EPOCHS, BATCH, RATE, PAIR_RATE, DECAY, SPREAD, SEED = 4, 6, 64, 0.2, 0.1, 1e-3, 0.02, 11
+#: Least value of a term, deviations of its toxic share that give the value 1, words whose terms a task remembers.
+FLOOR, FULL_Z, CACHE_WORDS = 0.05, 10.0, 500_000
 FOLDS = 5
-
-
-def hashed_terms(word: bytes) -> tuple[int, ...]:
-    mask, text = (1 << BITS) - 1, word.decode("utf-8", "replace")
-    return (zlib.crc32(word) & mask, *(zlib.crc32(b"^%d" % n + text[:n].encode()) & mask for n in PREFIXES if len(text) > n))
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class TermsOf(dict):
-    """The terms of each word, or those of them in `places`, as their places."""
-
-    def __init__(self, places: dict[int, int] | None = None):
-        super().__init__()
-        self.places = places
+    """The buckets of each word; a word of punctuation alone has none."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        terms = hashed_terms(word)
-        if self.places is not None:
-            terms = tuple(self.places[t] for t in terms if t in self.places)
+        mask, core = (1 << BITS) - 1, word.strip(PUNCTUATION)
+        text = core.decode("utf-8", "replace")
+        terms = (zlib.crc32(core) & mask, *(zlib.crc32(b"^%d" % n + text[:n].encode()) & mask for n in PREFIXES if len(text) > n)) if core else ()
         self[word] = terms
         return terms
 
     def of(self, text: str | None) -> set[int]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        return {t for terms in map(self.__getitem__, set(words_of(text))) for t in terms}
+        return set().union(*map(self.__getitem__, set(words_of(text))))
 
 
 @dataclass
 class FactorizationMachine:
-    terms: np.ndarray
     bias: float = 0.0
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, FACTORS)))
-
-    def logits(self, flat: np.ndarray, scale: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-        """flat: term places of all rows, scale: their values, owner: their rows."""
-        linear = np.bincount(owner, self.weights[flat] * scale, rows)
-        pairs = np.zeros(rows)
+    values: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32), repr=False)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32), repr=False)
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, FACTORS), np.float32), repr=False)
+
+    def parts(self, flat: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and each row's sums of its terms' vectors; flat: buckets of all rows, owner: their rows."""
+        x = self.values[flat].astype(float)
+        logits, sums = self.bias + np.bincount(owner, self.weights[flat] * x, rows), np.empty((rows, FACTORS))
         for f in range(FACTORS):
-            v = self.vectors[flat, f] * scale
-            pairs += np.bincount(owner, v, rows) ** 2 - np.bincount(owner, v * v, rows)
-        return self.bias + linear + pairs / 2
+            v = self.vectors[flat, f] * x
+            sums[:, f] = np.bincount(owner, v, rows)
+            logits += (sums[:, f] ** 2 - np.bincount(owner, v * v, rows)) / 2
+        return logits, sums
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
-        return logistic(self.logits(*flattened(rows), len(rows)))
+        return logistic(self.parts(*flattened(rows), len(rows))[0])
 
     def fit(self, rows: list[list[int]], labels: np.ndarray) -> FactorizationMachine:
-        """Adagrad on the logistic loss, in a fixed order of batches."""
-        rng = np.random.default_rng(SEED)
-        size = len(self.terms)
-        self.weights, self.vectors = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))
+        """Gradient steps on the logistic loss, in a fixed order of batches, the rate falling to a tenth; weights decay."""
+        rng, size = np.random.default_rng(SEED), 1 << BITS
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
         self.bias = float(np.log(share / (1 - share)))
-        seen_w, seen_v, seen_b = np.full(size, 1e-8), np.full((size, FACTORS), 1e-8), 1e-8
+        flat, owner = flattened(rows)
+        counts, toxic = np.bincount(flat, minlength=size), np.bincount(flat, labels[owner], size)
+        z = np.abs(toxic - counts * share) / np.sqrt(counts * share * (1 - share) + 1e-9)
+        values = FLOOR + (1 - FLOOR) * np.minimum(1, z / FULL_Z) ** 2
+        weights, vectors = np.zeros(size), rng.normal(0, SPREAD, (size, FACTORS))
+        self.values, self.weights, self.vectors = values, weights, vectors
+        step, steps = 0, EPOCHS * -(-len(rows) // BATCH)
         for _ in range(EPOCHS):
             order = rng.permutation(len(rows))
             for start in range(0, len(rows), BATCH):
                 at = order[start : start + BATCH]
-                flat, scale, owner = flattened([rows[i] for i in at])
-                slope = (logistic(self.logits(flat, scale, owner, len(at))) - labels[at]) / len(at)
-                sums = np.stack([np.bincount(owner, self.vectors[flat, f] * scale, len(at)) for f in range(FACTORS)], 1)
-                grad_w, grad_v = np.bincount(flat, slope[owner] * scale, size), np.zeros((size, FACTORS))
-                for f in range(FACTORS):
-                    grad_v[:, f] = np.bincount(flat, slope[owner] * scale * (sums[owner, f] - self.vectors[flat, f] * scale), size)
-                grad_w, grad_v = grad_w + DECAY * self.weights, grad_v + DECAY * self.vectors
-                seen_w += grad_w**2
-                seen_v += grad_v**2
-                seen_b += float(slope.sum()) ** 2
-                self.weights -= RATE * 4 * grad_w / np.sqrt(seen_w)
-                self.vectors -= RATE * grad_v / np.sqrt(seen_v)
-                self.bias -= RATE * float(slope.sum()) / seen_b**0.5
+                flat, owner = flattened([rows[i] for i in at])
+                slow, step = 1 - 0.9 * step / steps, step + 1
+                logits, sums = self.parts(flat, owner, len(at))
+                slope = logistic(logits) - labels[at]
+                seen, place = np.unique(flat, return_inverse=True)
+                x = values[flat]
+                pull = slope[owner] * x
+                weights *= 1 - DECAY * slow
+                weights[seen] -= slow * RATE * np.bincount(place, pull, len(seen))
+                grad = [np.bincount(place, pull * (sums[owner, f] - vectors[flat, f] * x), len(seen)) for f in range(FACTORS)]
+                vectors *= 1 - DECAY * slow
+                vectors[seen] -= slow * PAIR_RATE * np.clip(np.stack(grad, 1), -1, 1)
+                self.bias -= slow * RATE / 10 * float(slope.mean())
+        self.values, self.weights, self.vectors = (a.astype(np.float32) for a in (values, weights, vectors))
         return self
 
 
@@ -105,38 +103,10 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def flattened(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flattened(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = np.fromiter((t for r in rows for t in r), np.int64, int(counts.sum()))
-    owner = np.repeat(np.arange(len(rows)), counts)
-    return flat, 1 / np.sqrt(np.maximum(counts, 1))[owner], owner
-
-
-def term_counts(labelled: DataFrame) -> DataFrame:
-    """term, n, toxic: in how many rows of labelled(text, toxic) each hashed term is, and in how many toxic ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms_of = TermsOf()
-        counts = np.zeros((2, 1 << BITS), np.int32)
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                at = np.fromiter(terms_of.of(text.as_py()), np.int64)
-                counts[0, at] += 1
-                counts[1, at] += toxic.as_py()
-        at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_pydict({"term": pa.array(at), "n": pa.array(counts[0, at], pa.int64()), "toxic": pa.array(counts[1, at], pa.int64())})
-
-    found = labelled.select("text", "toxic").mapInArrow(run, "term long, n long, toxic long")
-    return found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-
-
-def telling_terms(counts: DataFrame, rows: int, toxic: int) -> np.ndarray:
-    """The terms whose toxic rows are over LEAST_Z deviations from their share: the TERMS farthest, ties by term."""
-    share = toxic / max(rows, 1)
-    expected = F.col("n") * share
-    z = (F.col("toxic") - expected) / F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
-    best = counts.where((F.col("n") >= LEAST) & (F.abs(z) >= LEAST_Z)).orderBy(F.abs(z).desc(), "term").limit(TERMS)
-    return np.array(sorted(r["term"] for r in best.select("term").collect()), np.int64)
+    return flat, np.repeat(np.arange(len(rows)), counts)
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -155,15 +125,15 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
-    """Fits on training_rows(); without labels of both kinds the model knows the share of toxic rows only."""
+    """Fits on training_rows(); without labels of both kinds the model knows the share of toxic rows only.
+
+    The driver gets the buckets of at most about `sample` rows, four bytes for
+    each different term of a row.
+    """
     rows = training_rows(documents, labels, sample)
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
-    n, toxic = total["n"], total["toxic"] or 0
-    terms = telling_terms(term_counts(rows), n, toxic) if 0 < toxic < n else np.zeros(0, np.int64)
-    places = {int(t): i for i, t in enumerate(terms)}
 
     def make():
-        terms_of = TermsOf(places)
+        terms_of = TermsOf()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [sorted(terms_of.of(t)) for t in batch.column(1).to_pylist()]
@@ -172,17 +142,23 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fact
         return step
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = map_batches(rows, "text", make, f"doc_id {kind}, terms array<int>, toxic int").toArrow().sort_by("doc_id")
-    return FactorizationMachine(terms).fit(got.column("terms").to_pylist(), got.column("toxic").to_numpy().astype(float))
+    got = map_batches(rows, "text", make, f"doc_id {kind}, terms array<int>, toxic int").toArrow().combine_chunks()
+    terms, toxic = got.column("terms").to_pylist(), got.column("toxic").to_numpy().astype(float)
+    order = sorted(range(len(terms)), key=lambda i: (got.column("doc_id")[i].as_py(), terms[i]))  # the same fit wherever the rows lay
+    return FactorizationMachine().fit([terms[i] for i in order], toxic[order])
 
 
 def scored(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """doc_id, score of documents(doc_id, text), one row per row; null and empty texts get the score of no terms."""
+    """doc_id, score of documents(doc_id, text), one row per row.
+
+    Null and empty texts get the score of no terms. Equal texts score alike,
+    whatever their ids; a text counts whole, each of its terms once.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
-        terms_of = TermsOf({int(t): i for i, t in enumerate(model.terms)})
+        terms_of = TermsOf()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [sorted(terms_of.of(t)) for t in batch.column(1).to_pylist()]
@@ -200,7 +176,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
     def make():
         model = shared.value
-        terms_of = TermsOf({int(t): i for i, t in enumerate(model.terms)})
+        terms_of = TermsOf()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -212,6 +188,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents, by a model that never saw the held-out fold; a null doc_id isn't held out."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = (crc_mod("doc_id", FOLDS) == 0).alias("held_out")
