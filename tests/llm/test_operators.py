@@ -281,7 +281,8 @@ class TestPii:
 
 
 class TestAnn:
-    def test_recall_and_scores(self, spark):
+    def test_recall_and_scores(self, spark, monkeypatch):
+        monkeypatch.setattr(ann, "BLOCK_BYTES", 60_000)  # several blocks of queries
         e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
         got, x = ann.search(e, e.where("vec_id % 100 = 0")).toPandas(), e.toPandas()
         v, ids, hits = np.stack(x["embedding"]).astype(float), x["vec_id"].to_numpy(), 0
@@ -303,6 +304,31 @@ class TestAnn:
         assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 1), (0, 5), (0, 6), (0, 2)]
         assert ann.search(e.limit(0), e).count() == 0
 
+    def test_candidates_are_few_where_vectors_cluster(self):
+        """50,000 vectors near a surface of six dimensions: recall and the share of candidates, only pairs that share a leaf."""
+        rng = np.random.default_rng(1)
+        x = np.tanh(rng.normal(size=(50_000, 6)) @ rng.normal(size=(6, 32))) + rng.normal(0, 0.01, (50_000, 32))
+        forest, asks = ann.Forest.fit(x[rng.choice(len(x), ann.SAMPLE, replace=False)]), x[:40]
+        leaf, share = forest.leaves_of(x), ann.share_for(len(x), 0.1)
+        visits = [forest.visited(q, share) for q in asks]
+        order = np.lexsort((np.repeat(np.arange(40), [len(v) for v in visits]), np.concatenate(visits)))
+        keys, asker = np.concatenate(visits)[order], np.repeat(np.arange(40), [len(v) for v in visits])[order]
+        found = np.zeros((40, len(x)), bool)
+        for q, r in ann.Block(forest, np.arange(40), asks, keys, asker).pairs(leaf):
+            assert not found[q, r].any()  # each pair once
+            found[q, r] = True
+        want = np.array([[bool(set(visits[q]) & set(leaf[r])) for r in range(0, 5000, 50)] for q in range(40)])
+        assert (found[:, :5000:50] == want).all()
+        near = np.argsort(((x[None, :, :] - asks[:, None, :]) ** 2).sum(2), 1)[:, 1:11]
+        assert np.take_along_axis(found, near, 1).mean() >= 0.9 and found.mean() <= 0.05
+
+    def test_copies_beyond_k_never_matter(self, spark):
+        rows = [(i, [1.0, 1.0], 0) for i in range(3000)] + [(3000 + i, [1.0 + i / 4, 1.0], 0) for i in range(1, 50)]
+        e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int").repartition(4)
+        got = ann.search(e, e.where("vec_id IN (0, 5, 3001)")).orderBy("query_id", "rank").toPandas()
+        assert got[got.query_id == 5]["vec_id"].tolist() == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
+        assert got[got.query_id == 0]["vec_id"].tolist() == list(range(1, 11)) and got[got.query_id == 3001]["vec_id"].tolist() == list(range(10))
+
 
 class TestLicense:
     def test_matches(self, spark, odd, none):
