@@ -66,32 +66,43 @@ class FactorizationMachine:
     def score(self, rows: list[list[int]]) -> np.ndarray:
         return logistic(self.parts(*flattened(rows), len(rows))[0])
 
-    def fit(self, rows: list[list[int]], labels: np.ndarray) -> FactorizationMachine:
-        """Gradient steps on the logistic loss, in a fixed order of batches, the rate falling to a tenth; weights decay."""
-        rng, size = np.random.default_rng(SEED), 1 << BITS
-        share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
+    def fit(self, flat: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
+        """Gradient steps on the logistic loss, in a fixed order of batches, the rate falling to a tenth; weights decay.
+
+        flat has the buckets of all rows one after the other, counts how many each row has.
+        """
+        rng, size, rows = np.random.default_rng(SEED), 1 << BITS, len(counts)
+        share = float(np.clip(labels.mean() if rows else 0.0, 1e-3, 1 - 1e-3))
         self.bias = float(np.log(share / (1 - share)))
-        flat, owner = flattened(rows)
-        counts, toxic = np.bincount(flat, minlength=size), np.bincount(flat, labels[owner], size)
-        z = np.abs(toxic - counts * share) / np.sqrt(counts * share * (1 - share) + 1e-9)
+        first, seen_in, toxic = np.cumsum(counts) - counts, np.zeros(size), np.zeros(size)
+
+        def batch(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = counts[at]
+            return flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], np.repeat(np.arange(len(at)), n)
+
+        for start in range(0, rows, 1024):
+            own, owner = batch(np.arange(start, min(start + 1024, rows)))
+            seen_in += np.bincount(own, minlength=size)
+            toxic += np.bincount(own, labels[start + owner], size)
+        z = np.abs(toxic - seen_in * share) / np.sqrt(seen_in * share * (1 - share) + 1e-9)
         values = FLOOR + (1 - FLOOR) * np.minimum(1, z / FULL_Z) ** 2
         weights, vectors = np.zeros(size), rng.normal(0, SPREAD, (size, FACTORS))
         self.values, self.weights, self.vectors = values, weights, vectors
-        step, steps = 0, EPOCHS * -(-len(rows) // BATCH)
+        step, steps = 0, EPOCHS * -(-rows // BATCH)
         for _ in range(EPOCHS):
-            order = rng.permutation(len(rows))
-            for start in range(0, len(rows), BATCH):
+            order = rng.permutation(rows)
+            for start in range(0, rows, BATCH):
                 at = order[start : start + BATCH]
-                flat, owner = flattened([rows[i] for i in at])
+                own, owner = batch(at)
                 slow, step = 1 - 0.9 * step / steps, step + 1
-                logits, sums = self.parts(flat, owner, len(at))
+                logits, sums = self.parts(own, owner, len(at))
                 slope = logistic(logits) - labels[at]
-                seen, place = np.unique(flat, return_inverse=True)
-                x = values[flat]
+                seen, place = np.unique(own, return_inverse=True)
+                x = values[own]
                 pull = slope[owner] * x
                 weights *= 1 - DECAY * slow
                 weights[seen] -= slow * RATE * np.bincount(place, pull, len(seen))
-                grad = [np.bincount(place, pull * (sums[owner, f] - vectors[flat, f] * x), len(seen)) for f in range(FACTORS)]
+                grad = [np.bincount(place, pull * (sums[owner, f] - vectors[own, f] * x), len(seen)) for f in range(FACTORS)]
                 vectors *= 1 - DECAY * slow
                 vectors[seen] -= slow * PAIR_RATE * np.clip(np.stack(grad, 1), -1, 1)
                 self.bias -= slow * RATE / 10 * float(slope.mean())
@@ -136,16 +147,17 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fact
         terms_of = TermsOf()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(terms_of.of(t)) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "terms", "toxic"])
+            found = [np.array(sorted(terms_of.of(t)), np.int32) for t in batch.column(1).to_pylist()]
+            tie = [zlib.crc32(f.tobytes()) for f in found]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tie, pa.int64()), pa.array(found, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "tie", "terms", "toxic"])
 
         return step
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = map_batches(rows, "text", make, f"doc_id {kind}, terms array<int>, toxic int").toArrow().combine_chunks()
-    terms, toxic = got.column("terms").to_pylist(), got.column("toxic").to_numpy().astype(float)
-    order = sorted(range(len(terms)), key=lambda i: (got.column("doc_id")[i].as_py(), terms[i]))  # the same fit wherever the rows lay
-    return FactorizationMachine().fit([terms[i] for i in order], toxic[order])
+    got = map_batches(rows, "text", make, f"doc_id {kind}, tie long, terms array<int>, toxic int").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("tie", "ascending")])  # the same fit wherever the rows lay
+    terms = got.column("terms").combine_chunks()
+    return FactorizationMachine().fit(terms.flatten().to_numpy(), np.diff(terms.offsets.to_numpy()).astype(np.int64), got.column("toxic").to_numpy().astype(float))
 
 
 def scored(documents: DataFrame, model: FactorizationMachine) -> DataFrame:

@@ -220,7 +220,7 @@ class TestToxicity:
         both = rng.random((4000, 2)) < 0.3
         rows = [sorted({k for k in (0, 1) if r[k]} | {int(t) for t in rng.integers(1000, 4000, 60)}) for r in both]
         label = both.all(1)
-        fm = toxicity.FactorizationMachine().fit(rows[:3000], label[:3000].astype(float))
+        fm = toxicity.FactorizationMachine().fit(np.concatenate(rows[:3000]), np.array([len(r) for r in rows[:3000]]), label[:3000].astype(float))
         assert ((fm.score(rows[3000:]) >= 0.5) == label[3000:]).mean() > 0.99
         fm.vectors = np.zeros_like(fm.vectors)
         assert ((fm.score(rows[3000:]) >= 0.5) == label[3000:]).mean() < 0.99
