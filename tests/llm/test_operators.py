@@ -246,7 +246,7 @@ class TestPii:
 
     def brute(self, t):
         found = [(m.start(), 0, m.end()) for m in self.EMAIL.finditer(t)]
-        found += [(m.start(), 1, m.end()) for m in self.IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in self.IP.finditer(t) if all(int(p.lstrip("0")[:9] or "0") <= 255 for p in m[0].split("."))]
         for m in self.CARD.finditer(t):
             d = [int(c) for c in re.sub("[ -]", "", m[0])][::-1]
             if 12 <= len(d) <= 19 and sum(c if k % 2 == 0 else sum(divmod(2 * c, 10)) for k, c in enumerate(d)) % 10 == 0:
@@ -258,13 +258,15 @@ class TestPii:
         for _ in range(20000):
             t = "".join(rng.choice("0123456789..@+- (a1é\n%") for _ in range(rng.randrange(40)))
             assert pii.patterned(t) == self.brute(t)
+        assert pii.patterned("0" * 5000 + ".1.1.1") == [(0, 1, 5006)] and pii.patterned("9" * 5000 + ".1.1.1") == []
         assert pii.patterned("1" * 500_000 + "@" + "a" * 500_000) == [] and pii.patterned("a" * 500_000) == []
 
     def test_viterbi_against_all_paths(self):
         model = pii.trained()
         words = "call (415) 555-0132 or".split()
-        scores = np.array([model.row(w)[1] for w in words]) + model.bias
-        for i, w in enumerate(words):
+        made = pii.line_features(words)
+        scores = np.array([model.row(w)[1] for w in made]) + model.bias
+        for i, w in enumerate(made):
             scores[i + 1 : i + 2] += model.row(w)[0]
             if i:
                 scores[i - 1] += model.row(w)[2]
@@ -280,6 +282,50 @@ class TestPii:
         assert pii.find_pii(odd).where("size(spans) > 0").count() == 0 and pii.find_pii(odd).count() == odd.count() and pii.find_pii(none).count() == 0
 
 
+    HELD_OUT = (
+        ("fax 503.555.0199 is on", [("phone", "503.555.0199")]),
+        ("the card 4111 1111 1111 1112 was here", [("card", "4111 1111 1111 1112")]),
+        ("call 6175550148 please", [("phone", "6175550148")]),
+        ("write john [at] mail [dot] com now", [("email", "john [at] mail [dot] com")]),
+        ("see jan(at)site.org today", [("email", "jan(at)site.org")]),
+        ("they can call (707) 555-0101, or mail zoe at corp dot io", [("phone", "(707) 555-0101"), ("email", "zoe at corp dot io")]),
+        ("phone 044 555 0188 thanks", [("phone", "044 555 0188")]),
+        ("the host 10-9-8-7 failed", [("ip", "10-9-8-7")]),
+        ("we sat at the table and dot", []),
+        ("it cost 1200 in 1998 and 1300 in 1999", []),
+        ("version 10.2.33 of 2020", []),
+    )
+
+    def test_field_adds_spans_of_held_out_texts(self, spark):
+        assert not {t for t, _ in self.HELD_OUT} & set(pii.TABLE.splitlines())
+        got = pii.find_pii(docs(spark, [(i, t, "x") for i, (t, _) in enumerate(self.HELD_OUT)])).collect()
+        for r in got:
+            text, want = self.HELD_OUT[r["doc_id"]]
+            assert [(s["kind"], text[s["start"] : s["end"]]) for s in r["spans"]] == want and not r["base"]
+
+    def test_query_against_brute_force(self, spark, tmp_path):
+        rng = random.Random(8)
+        rows = [(i, " ".join(rng.choice(["a.b@c.de", "10.0.0.1", "4111 1111 1111 1111", "+1 (415) 555-0132", "über", "(503) 555-0123", "dial", "0" * 5000 + ".1.1.1", "x@", "1-1"]) for _ in range(rng.randrange(12))), "x") for i in range(60)]
+        rows += [(60, None, "x"), (61, "", None), (61, "", None), (62, "9" * 100_000 + " " + "a@b.c " * 4000 + "+1 " + "5" * 12, "x")]
+        docs(spark, rows).withColumn("spans", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+        texts = dict((i, t or "") for i, t, _ in rows)
+        listed = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        got = pii.op9_pii(spark, str(tmp_path)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            base = self.brute(texts[r["doc_id"]]) if r["doc_id"] != 62 else pii.patterned(texts[62])
+            assert r["base_sha256"] == hashlib.sha256(listed(base).encode()).hexdigest()
+            assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == j for x in base) for j in range(4)]
+            spans = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+            assert {(k, int(a), int(b)) for k, a, b in spans} >= {(pii.KINDS[k], a, b) for a, k, b in base}
+            assert [(int(a), pii.KINDS.index(k)) for k, a, _ in spans] == sorted((int(a), pii.KINDS.index(k)) for k, a, _ in spans)
+
+    def test_many_spans_take_linear_time(self):
+        text = "a@b.c (503) 555-0123 " * 4000
+        labels = pii.Tagger(pii.trained()).labels([text.encode().split()])
+        assert len(pii.added(text, labels, pii.patterned(text))) >= 0
+
+
 class TestAnn:
     def test_recall_and_scores(self, spark, monkeypatch):
         monkeypatch.setattr(ann, "BLOCK_BYTES", 60_000)  # several blocks of queries
