@@ -7,11 +7,13 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -68,6 +70,40 @@ def sized(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Key rows that are broadcast at most (about 100 bytes each).
+KEY_ROWS = 200_000
+
+
+def packed(documents: DataFrame, *more: Column) -> DataFrame:
+    """All columns as one struct `row`, doc_id, and more: no name that an operator needs can clash with a column."""
+    return documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), "doc_id", *more)
+
+
+def _same(rows: DataFrame, keys: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
+    other = sized(keys.select(*(F.col(c).alias(f"key_{c}") for c in names)), keys.count(), KEY_ROWS)
+    return other, reduce(and_, (rows[c].eqNullSafe(other[f"key_{c}"]) for c in names))
+
+
+def without(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """rows(names, ...) that agree with no row of keys(names); null agrees with null. keys is counted, so let it be written."""
+    other, same = _same(rows, keys, names)
+    return rows.join(other, same, "left_anti")
+
+
+def one_each(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """rows(row, names, ...) with one of those that agree in names, the first by its columns; keys(names) has a row for each of rows.
+
+    Only rows that do repeat are shuffled, and each task passes on one of a group.
+    """
+    again = written(keys.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*names), "again")
+    if again.isEmpty():
+        return rows
+    other, same = _same(rows, again, names)
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.to_json("row")))
+    some = rows.join(other, same, "left_semi").withColumn("nth", first).where("nth = 1").drop("nth")
+    return rows.join(other, same, "left_anti").unionByName(some)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as remainder -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(-1))

@@ -14,15 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, sized, written
+from .common import SPACE, one_each, packed, without, written
 
 #: Counters of each summary, hence the most rows that are broadcast.
 COUNTERS = 2048
-#: Lost rows that drop_exact_duplicates() broadcasts at most (about 100 bytes each); more are joined by a shuffle.
-LOST_ROWS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -79,11 +77,10 @@ def exact_groups(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
     winners = F.broadcast(rows.join(heavy, "digest", "left_semi").groupBy("digest").agg(*best))
     split = rows.join(winners, "digest", "left")
     done = split.where("group_size IS NOT NULL")
-    group = Window.partitionBy("digest")
-    rest = split.where("group_size IS NULL").select("doc_id", "digest").select(
-        "doc_id", "digest", F.min("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size")
-    )
-    return done.select("doc_id", "digest", "keep_id", "group_size").union(rest).select(
+    rest = split.where("group_size IS NULL").select("doc_id", "digest")
+    rest = rest.join(rest.groupBy("digest").agg(*best), "digest")  # sums before the shuffle; a join of many rows can be split
+    columns = ("doc_id", "digest", "keep_id", "group_size")
+    return done.select(*columns).union(rest.select(*columns)).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -93,14 +90,19 @@ def exact_groups(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_exact_duplicates(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of documents that stay, with all their columns; what exact_groups() says of null and repeated ids holds."""
-    lost = written(exact_groups(documents, counters).where("NOT kept").select("doc_id", "text_sha256").distinct(), "lost")
-    lost = sized(lost, lost.count(), LOST_ROWS)
-    same = documents["doc_id"].eqNullSafe(lost["doc_id"]) & (F.sha2(normalised(documents["text"]), 256) == lost["text_sha256"])
-    return documents.join(lost, same, "left_anti")
+    """The rows of documents that stay, with all their columns, whatever their names; exact_groups() says what null ids do.
+
+    Of rows that repeat both doc_id and text one stays. An empty table stays empty.
+    """
+    groups = written(exact_groups(documents, counters), "groups")
+    lost = written(groups.where("NOT kept").select("doc_id", "text_sha256").distinct(), "lost")
+    row = packed(documents, F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    left = without(row, lost, ["doc_id", "text_sha256"])
+    return one_each(left, groups.where("kept").select("doc_id", "text_sha256"), ["doc_id", "text_sha256"]).select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document has a 60-bit hash. Sizes are summed by source and leading hash
+Each document has a 60-bit hash of its id and text; rows that repeat both are
+numbered, so that each has a hash of its own. Sizes are summed by source and leading hash
 bits; in these histograms the budget of a source falls into one bucket. Only
 the documents of that boundary bucket are summed again, by their next bits,
 until it holds one hash. The mix is then a filter on the hash: no sort, no
@@ -9,12 +10,15 @@ shuffle of documents, and a larger budget always takes a superset.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import KEY_ROWS, WORD, sized, written
 
-WEIGHTS = (3.0, 1.0, 2.0)
+WEIGHTS, SHARE, REPEAT = (3.0, 1.0, 2.0), 1.5, 2.0
 HASH_BITS, LEVEL_BITS = 60, 10
 #: Sources whose row in the plan of the mix is broadcast at most; more are joined by a salted shuffle.
 SOURCE_ROWS = 100_000
@@ -26,8 +30,52 @@ def words(text: Column) -> Column:
 
 
 def hash60(key: Column) -> Column:
-    """The first 15 hex digits of md5, the same in every engine; null hashes as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    """The first 15 hex digits of md5, the same in every engine."""
+    return F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+KEY = ["doc_id", "source", "digest"]
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The keys that several of rows(doc_id, source, digest) share."""
+    return written(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY), "repeated")
+
+
+def hashed(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """rows(doc_id, source, digest, ...) with hash: of id, text, and the row's number among those that share both.
+
+    Rows of one key are alike, so it doesn't matter which has which number.
+    They are counted within each of their partitions first, and numbered from
+    the sum of those before: no task gathers a key's rows.
+    """
+    numbered = rows.withColumn("nth", F.lit(0).cast("long"))
+    if not again.isEmpty():
+        other = again.select(*(F.col(c).alias(f"key_{c}") for c in KEY))
+        same = reduce(and_, (rows[c].eqNullSafe(other[f"key_{c}"]) for c in KEY))
+        other = sized(other, again.count(), KEY_ROWS)
+        some = written(rows.join(other, same, "left_semi").withColumn("part", F.spark_partition_id()), "repeats")
+        counts = some.groupBy(*KEY, "part").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*(F.col(c).alias(f"key_{c}") for c in KEY), F.col("part").alias("key_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        here = reduce(and_, (some[c].eqNullSafe(counts[f"key_{c}"]) for c in [*KEY, "part"]))
+        inside = F.row_number().over(Window.partitionBy(*KEY, "part").orderBy(F.lit(0))) - 1
+        some = some.withColumn("inside", inside).join(counts, here).withColumn("nth", (F.col("inside") + F.col("base")).cast("long"))
+        numbered = numbered.join(other, same, "left_anti").unionByName(some.select(*numbered.columns))
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", "nth")
+    return numbered.withColumn("hash", hash60(key)).drop("nth")
+
+
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """sizes(source, source_size) with place, from 0 by code point, null last: sorted in ranges, numbered within each."""
+    ranges = written(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranges")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    before, total = [], 0
+    for r in ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row for each range
+        before.append((r["part"], total))
+        total += r["n"]
+    base = sizes.sparkSession.createDataFrame(before, "part int, base long")
+    return ranges.withColumn("inside", inside).join(F.broadcast(base), "part").select("source", "source_size", (F.col("inside") + F.col("base")).alias("place"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeat: float) -> DataFrame:
@@ -37,9 +85,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, r
     weight * t). Each round fixes the sources whose cap lies below the level
     and raises it for the rest, by two sums; it ends when none is added.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row for each source
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    plan = written(sizes.select("source", "source_size", weight.alias("weight")), "sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    plan = written(ranked_sources(sizes).select("source", "source_size", weight.alias("weight")), "sources")
     cap = F.col("source_size") * repeat
     total, level, fixed = None, 0.0, -1
     while True:
@@ -89,57 +136,60 @@ def thresholds(documents: DataFrame, plan: DataFrame) -> DataFrame:
     return written(joined.select("source", "source_size", "target", "copies", F.coalesce("below", F.lit(0)).alias("below")), "plan")
 
 
-def planned(documents: DataFrame, weights: tuple[float, ...], share: float, repeat: float) -> tuple[DataFrame, DataFrame]:
-    """Sizes and hashes of documents, and each source's plan."""
-    sizes = documents.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash"))
-    sizes = written(sizes, "sizes")
+def sized_rows(documents: DataFrame, *more: Column) -> DataFrame:
+    return documents.select(*more, "doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+def planned(documents: DataFrame, weights: tuple[float, ...], share: float, repeat: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and hashes of documents, the keys that rows share, and each source's plan."""
+    sizes = written(sized_rows(documents), "sizes")
+    again = repeated(sizes)
+    sizes = hashed(sizes, again).drop("digest")
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return sizes, thresholds(sizes, source_targets(per_source, weights, share, repeat))
+    return sizes, again, thresholds(sizes, source_targets(per_source, weights, share, repeat))
 
 
-def with_plan(rows: DataFrame, plan: DataFrame, hash_: Column) -> DataFrame:
-    """rows with the plan of their source: broadcast if it has few sources, else joined by source and a part of the hash."""
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(source, hash, ...) with the plan of their source: broadcast if it has few sources, else joined by source and a part of the hash."""
     plan = plan.withColumnRenamed("source", "plan_source")
     same = rows["source"].eqNullSafe(F.col("plan_source"))
     if plan.count() <= SOURCE_ROWS:
         return rows.join(F.broadcast(plan), same)
     salted = plan.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(salted, same & (hash_ % SALTS == F.col("plan_salt")))
+    return rows.join(salted, same & (rows["hash"] % SALTS == F.col("plan_salt")))
 
 
-def copies_taken(size: Column, hash_: Column, copies: Column, below: Column) -> Column:
-    """How often the mix takes a document of a source's plan."""
-    return F.when(size > 0, copies + F.when(hash_ < below, 1).otherwise(0)).otherwise(0)
+def copies_taken() -> Column:
+    """How often the mix takes a document, from its size and hash and its source's plan."""
+    return F.when(F.col("size") > 0, F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)).otherwise(0)
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeat: float = REPEAT) -> DataFrame:
     """documents(doc_id, text, source) with size, source_size, target and taken, one row per row.
 
     Null text has size 0 and null is a source of its own, last in order; rows
-    without words take nothing. Rows that repeat a doc_id share a hash, so they
-    are taken together. A source misses its target by half a document at most,
-    or by rows that share one hash. An empty table gives no rows.
+    without words take nothing. Rows that repeat a doc_id, or have none, are
+    taken apart, those that repeat the text as well too. A source misses its
+    target by half a document at most. An empty table gives no rows; other
+    columns don't matter.
     """
-    sizes, plan = planned(documents, weights, share, repeat)
-    taken = F.col("size") * copies_taken(F.col("size"), F.col("hash"), F.col("copies"), F.col("below"))
-    joined = with_plan(sizes, plan, F.col("hash"))
-    return joined.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    sizes, _, plan = planned(documents, weights, share, repeat)
+    taken = (F.col("size") * copies_taken()).cast("long").alias("taken")
+    return with_plan(sizes, plan).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken)
 
 
-def mixed_rows(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
-    """The documents that mix() takes, each as often as it is taken, with all their columns."""
-    _, plan = planned(documents, weights, share, repeat)
-    key = hash60(documents["doc_id"])
-    plan = plan.select("source", F.struct("copies", "below").alias("plan_take"))
-    joined = with_plan(documents, plan, key)
-    times = copies_taken(words(documents["text"]), key, F.col("plan_take.copies"), F.col("plan_take.below"))
-    rows = joined.select(*(documents[c] for c in documents.columns), times.cast("int").alias("plan_times")).where("plan_times > 0")
-    if repeat <= 1:
-        return rows.drop("plan_times")
-    return rows.withColumn("plan_copy", F.explode(F.sequence(F.lit(1), F.col("plan_times")))).drop("plan_times", "plan_copy")
+def mixed_rows(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeat: float = REPEAT) -> DataFrame:
+    """The documents that mix() takes, each as often as it is taken, with all their columns, whatever their names."""
+    _, again, plan = planned(documents, weights, share, repeat)
+    rows = hashed(sized_rows(documents, F.struct(*(documents[c] for c in documents.columns)).alias("row")), again)
+    taken = with_plan(rows, plan).select("row", copies_taken().cast("int").alias("times")).where("times > 0")
+    if repeat > 1:
+        taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -147,7 +197,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')),
+                                       row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1)), 1, 15))::BIGINT AS hash
   FROM documents),
 s AS (
   SELECT source, sum(size)::DOUBLE AS source_size,

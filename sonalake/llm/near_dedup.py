@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, sized, words_of, written
+from .common import map_batches, mix64, one_each, packed, sized, without, words_of, written
 
 SHINGLE, KEEP, SHARED, PERCENT = 5, 64, 24, 75
 LONG, LONG_SHARED = 1024, 678
@@ -176,11 +176,17 @@ def size_lists(sets: DataFrame) -> DataFrame:
 
 
 def attached(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """pairs(a, b) with a column of both, as x of a and y of b; a node in many pairs gets a copy for each MEMBERS of them."""
-    many = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / MEMBERS) + 1).alias("copies"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("salt"))
-    centre = rows.select(F.col("id").alias("a"), F.col(column).alias("x")).join(many, "a")
-    centre = centre.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    """pairs(a, b) with a column of both, as x of a and y of b; a node in many pairs gets a copy for each MEMBERS of them.
+
+    Only the nodes with copies, one for MEMBERS pairs at most, are sent to the
+    pairs: no task gathers the pairs of one node.
+    """
+    copies = (F.floor(F.count(F.lit(1)) / MEMBERS) + 1).alias("copies")
+    many = written(pairs.groupBy("a").agg(copies).where("copies > 1"), "copies")
+    few = sized(many, many.count(), ROWS)
+    salted = pairs.join(few, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1).cast("long"))).alias("salt"))
+    centre = rows.select(F.col("id").alias("a"), F.col(column).alias("x")).join(few, "a", "left")
+    centre = centre.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("salt"))
     return salted.join(rows.select(F.col("id").alias("b"), F.col(column).alias("y")), "b").join(centre, ["a", "salt"]).select("a", "b", "x", "y")
 
 
@@ -233,15 +239,14 @@ def members_of(members: DataFrame, label: DataFrame | None) -> DataFrame:
         return members.withColumn("comp", F.col("id"))
     label = sized(label, label.count(), ROWS)
     each = members.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mine = Window.partitionBy("key")
-    return each.withColumn("lo", F.min("comp").over(mine)).withColumn("hi", F.max("comp").over(mine)).where("lo <> hi").drop("lo", "hi")
+    several = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return each.join(several, "key", "left_semi")
 
 
 def centre_pairs(members: DataFrame, turns: range) -> DataFrame:
     """Each member with its list's centres, one for each turn, where they are of other components."""
-    own = Window.partitionBy("key")
-    best = [F.min(F.struct(F.xxhash64(F.lit(t), F.col("id")).alias("h"), "id", "comp", "side")).over(own) for t in turns]
-    each = members.withColumn("cs", F.array(*best)).withColumn("c", F.explode("cs"))
+    best = [F.min(F.struct(F.xxhash64(F.lit(t), F.col("id")).alias("h"), "id", "comp", "side")) for t in turns]
+    each = members.join(members.groupBy("key").agg(F.array(*best).alias("cs")), "key").withColumn("c", F.explode("cs"))
     each = each.where("comp <> c.comp AND (side = -1 OR side <> c.side)")
     return each.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -328,12 +333,18 @@ def near_duplicates(documents: DataFrame, tagged: bool = False) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """documents with one document of each component, the one whose doc_id names it; near_duplicates() says what null ids do."""
-    lost = written(near_duplicates(documents, True).where("NOT kept").select(F.col("doc_id").alias("lost_id"), "tag").distinct(), "lost")
-    lost = sized(lost, lost.count(), ROWS)
-    same = documents["doc_id"].eqNullSafe(lost["lost_id"]) & (F.xxhash64(documents["text"]) == lost["tag"])
-    return documents.join(lost, same, "left_anti")
+    """documents with one document of each component, the one whose doc_id names it; near_duplicates() says what null ids do.
+
+    Of rows that repeat both doc_id and text one stays. All columns are kept,
+    whatever their names; an empty table stays empty.
+    """
+    found = written(near_duplicates(documents, True), "near")
+    lost = written(found.where("NOT kept").select("doc_id", "tag").distinct(), "lost")
+    row = packed(documents, F.xxhash64("text").alias("tag"))
+    left = without(row, lost, ["doc_id", "tag"])
+    return one_each(left, found.where("kept").select("doc_id", "tag"), ["doc_id", "tag"]).select("row.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

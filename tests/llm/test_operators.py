@@ -49,9 +49,15 @@ class TestExactDedup:
 
     def test_stage_keeps_columns(self, odd, none):
         got = exact_dedup.drop_exact_duplicates(odd.withColumn("text_sha256", F.lit("clash")).withColumn("keep_id", F.lit(0)))
-        assert got.columns[-2:] == ["text_sha256", "keep_id"] and got.count() == 6
+        assert got.columns[-2:] == ["text_sha256", "keep_id"] and got.count() == 5
         assert exact_dedup.drop_exact_duplicates(none).count() == 0
 
+    def test_repeated_rows_leave_one(self, spark):
+        rows = docs(spark, [(7, "a  b c d e f", "x")] * 5 + [(None, "a b c d e f", "x")] * 3 + [(8, "other words of another text here", "y")] * 2).withColumn("row", F.lit(1)).withColumn("key_doc_id", F.lit(2))
+        for stage in (exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates):
+            got = stage(rows)
+            assert got.columns == rows.columns and sorted(r["doc_id"] for r in got.collect()) == [7, 8]
+
     def test_heavy_digests_are_found(self, spark):
         rng = random.Random(1)
         keys = ["hot"] * 300 + [str(rng.randrange(10**6)) for _ in range(600)]
@@ -73,6 +79,20 @@ class TestMixing:
         assert len(got) == odd.count() and (got["taken"] <= 2 * got["size"]).all()
         assert mixing.mix(none).count() == 0 and mixing.mixed_rows(none).count() == 0
 
+    def test_null_and_repeated_ids_come_near_their_targets(self, spark):
+        rows = docs(spark, [(None, "a b c", "a")] * 300 + [(5, f"w{i} b c", "b") for i in range(90)] + [(i, "a b c", "c") for i in range(60)])
+        rows = rows.repartition(7).withColumn("plan_source", F.lit(1)).withColumn("row", F.lit(2)).withColumn("hash", F.lit(3))
+        for _ in range(2):
+            got = mixing.mix(rows).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+            assert len(got) == 3 and all(abs(r["taken"] - r["target"]) <= 1.5 for r in got)
+        half = mixing.mixed_rows(rows, share=0.5, repeat=1.0)
+        assert half.columns == rows.columns and half.count() == pytest.approx(225, abs=2)
+
+    def test_sources_in_ranges(self, spark):
+        names = [None, *(f"s{i:03d}" for i in range(100)), "é", "Z", ""]
+        got = mixing.ranked_sources(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(9)).collect()
+        assert {r["source"]: r["place"] for r in got} == {n: i for i, n in enumerate([*sorted(n for n in names if n is not None), None])}
+
     def test_budgets_are_nested(self, spark):
         rng = random.Random(2)
         df = docs(spark, [(i, prose(rng, rng.randrange(1, 60)), "hot" if i % 3 else str(i % 5)) for i in range(400)])
@@ -195,7 +215,7 @@ class TestNearDedup:
         assert by[1] == {(0, 1, True)} and by[2] == {(0, 2, True)} and by[4] == {(1, 4, True)} and by[5] == {(1, 4, False), (1, 5, True)}
         assert by[None] == {(1, 4, False), (0, None, True)}
         left = near_dedup.drop_near_duplicates(odd.withColumn("tag", F.lit("clash")))
-        assert sorted(((r[0], r[1]) for r in left.select("doc_id", F.length("text")).collect()), key=str) == sorted([(1, None), (2, 0), (3, 60000), (4, 15), (4, 15), (None, None), (5, 5)], key=str)
+        assert sorted(((r[0], r[1]) for r in left.select("doc_id", F.length("text")).collect()), key=str) == sorted([(1, None), (2, 0), (3, 60000), (4, 15), (None, None), (5, 5)], key=str)
         assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.drop_near_duplicates(none).count() == 0
 
 
@@ -471,5 +491,22 @@ def test_pipeline_against_brute_force(spark):
     near = TestNearDedup().brute([(k, start[k]) for k in kept["exact_dedup"]])
     assert sorted(kept["near_dedup"]) == sorted(k for k, (_, comp) in near.items() if k == comp)
     assert len(set(kept["mixing"])) == len(kept["mixing"]) and set(kept["mixing"]) <= set(kept["near_dedup"]) and sorted(kept["bpe"]) == sorted(kept["mixing"])
+    words = sum(len(lm.words_of(start[k])) for k in kept["near_dedup"])
+    assert sum(len(lm.words_of(start[k])) for k in kept["mixing"]) == pytest.approx(c.SHARE * words, rel=0.05)
+    model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    terms = toxicity.TermsOf()
+    assert sorted(kept["toxicity"]) == sorted(k for k, t in start.items() if model.score([sorted(terms.of(t))])[0] < 0.5)
     own = bpe.loaded(bpe.tokenizer_path())
     assert all(r["ids"] == own.encode(start[r["doc_id"]]) for r in df.collect())
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline as c
+
+    clash = {"row": 1, "tag": 2, "hash": 3, "digest": 4, "plan_source": 5, "key_doc_id": 6, "ids": 7, "score": 8}
+    df, empty = (t.withColumns({k: F.lit(v) for k, v in clash.items()}) for t in (odd, none))
+    for name, stage in c.STAGES:
+        left, nothing = stage(spark, df, "/root/testdata/sf0.001"), stage(spark, empty, "/root/testdata/sf0.001")
+        assert nothing.count() == 0 and left.count() <= odd.count()
+        if name != "bpe":
+            assert left.columns == nothing.columns == df.columns
