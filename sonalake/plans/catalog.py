@@ -1,6 +1,6 @@
 """Every query of the engine with its SQL."""
 
-from . import evaluation, relational, signals  # noqa: F401  they register their queries
+from . import evaluation, relational, reports, signals  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
