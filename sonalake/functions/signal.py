@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -13,11 +14,56 @@ EPS = 1e-12
 LEAST_SCALES = 6
 
 
+#: Points of a block: windows over neighbours and running sums never hold more than a block and its edges.
+BLOCK = 65_536
+#: Stretches of a key's first order column in which its rows are numbered apart.
+STRETCHES = 1024
+
+
+def joined(s: DataFrame, per_key: DataFrame, *more: str) -> DataFrame:
+    """s with a small table's columns of its key, null keys too; the sums before it are combined on each side first."""
+    other = per_key.withColumnsRenamed({c: f"own_{c}" for c in ("key", *more)})
+    same = s["key"].eqNullSafe(other["own_key"])
+    for c in more:
+        same = same & (s[c] == other[f"own_{c}"])
+    return s.join(other, same).drop("own_key", *(f"own_{c}" for c in more))
+
+
 def series(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """key, i (from 0 in a total order), x; null and NaN values are left out first."""
+    """key, i (from 0 in a total order), x; null and NaN values are left out first.
+
+    Rows are numbered within stretches of the first order column, a number or
+    time, and from the sum of the stretches before: a key never meets in a task.
+    """
     x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    rows = df.select(key, *order, x.alias("x")).where("x IS NOT NULL")
-    return rows.select(F.col(key).alias("key"), (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long").alias("i"), "x")
+    rows = df.select(F.col(key).alias("key"), *(F.col(o).alias(f"o{k}") for k, o in enumerate(order)), x.alias("x")).where("x IS NOT NULL")
+    kind = rows.schema["o0"].dataType.simpleString()
+    first = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o0)") if kind == "timestamp_ntz" else F.col("o0").cast("timestamp") if kind == "date" else F.col("o0")
+    first = first.cast("double")
+    rows = joined(rows, rows.groupBy("key").agg(F.min(first).alias("lo"), F.max(first).alias("hi")))
+    place = F.try_divide(first - F.col("lo"), F.col("hi") - F.col("lo")) * STRETCHES
+    rows = rows.withColumn("part", F.least(F.lit(STRETCHES - 1), F.coalesce(F.floor(place), F.lit(0))).cast("int")).drop("lo", "hi")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    base = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).select("key", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy(*(f"o{k}" for k in range(len(order))))) - 1
+    return joined(rows.withColumn("inside", inside), base, "part").select("key", (F.col("inside") + F.col("base")).cast("long").alias("i"), "x")
+
+
+def with_neighbours(s: DataFrame, reach: int) -> DataFrame:
+    """s(key, i, ...) with block, rows near an edge once more for the block beyond it: see own()."""
+    block = F.floor(F.col("i") / BLOCK)
+    at = F.col("i") % BLOCK
+    blocks = F.array_compact(F.array(block, F.when((at < reach) & (block > 0), block - 1), F.when(at >= BLOCK - reach, block + 1)))
+    return s.withColumn("block", F.explode(blocks))
+
+
+def own(rows: DataFrame) -> DataFrame:
+    """The rows of with_neighbours() that belong to their block."""
+    return rows.where(F.col("block") == F.floor(F.col("i") / BLOCK)).drop("block")
+
+
+def in_block() -> WindowSpec:
+    return Window.partitionBy("key", "block").orderBy("i")
 
 
 def exploded(df: DataFrame, key: str, values: str) -> DataFrame:
@@ -27,8 +73,8 @@ def exploded(df: DataFrame, key: str, values: str) -> DataFrame:
 
 def peak_normalised(s: DataFrame) -> DataFrame:
     """Divided by the largest magnitude; a series of zeros stays."""
-    peak = F.max(F.abs("x")).over(Window.partitionBy("key"))
-    return s.withColumn("x", F.coalesce(F.try_divide("x", F.nullif(peak, F.lit(0.0))), F.lit(0.0)))
+    each = joined(s, s.groupBy("key").agg(F.max(F.abs("x")).alias("peak")))
+    return each.withColumn("x", F.coalesce(F.try_divide("x", F.nullif("peak", F.lit(0.0))), F.lit(0.0))).drop("peak")
 
 
 def int16(s: DataFrame) -> DataFrame:
@@ -51,8 +97,7 @@ def framed(s: DataFrame, frame: int, hop: int) -> DataFrame:
     """key, f, i, x: whole frames only, each point once for every frame that covers it."""
     last = F.floor(F.col("i") / hop)
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - frame + 1) / hop))
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    each = s.withColumn("n", size).withColumn("f", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    each = joined(s, s.groupBy("key").agg(F.count(F.lit(1)).alias("n"))).withColumn("f", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     return each.where(F.col("f") * hop + frame <= F.col("n")).select("key", "f", "i", "x")
 
 
@@ -77,26 +122,41 @@ def unbiased_moments(s: DataFrame) -> DataFrame:
 
 
 def profile(s: DataFrame) -> DataFrame:
-    """key, i, n, y: running sum of deviations from the mean."""
-    all_, upto = Window.partitionBy("key"), Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    centred = s.withColumn("n", F.count(F.lit(1)).over(all_)).withColumn("dx", F.col("x") - F.avg("x").over(all_))
-    return centred.select("key", "i", "n", F.sum("dx").over(upto).alias("y"))
+    """key, i, n, y: running sum of deviations from the mean, block by block from the sum of the blocks before."""
+    each = joined(s, s.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean")))
+    each = each.select("key", "i", "n", (F.col("x") - F.col("mean")).alias("dx"), F.floor(F.col("i") / BLOCK).alias("block"))
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    base = each.groupBy("key", "block").agg(F.sum("dx").alias("t")).select("key", "block", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("base"))
+    inside = each.withColumn("inside", F.sum("dx").over(in_block().rowsBetween(Window.unboundedPreceding, 0)))
+    return joined(inside, base, "block").select("key", "i", "n", (F.col("inside") + F.col("base")).alias("y"))
 
 
-def scales(n: int, count: int) -> list[int]:
-    """Distinct truncated log-spaced scales from 16 to a quarter of n, 17 at least; none if n is short."""
+def scales(n: int, count: int = 20) -> list[int]:
+    """Distinct truncated log-spaced scales from 16 to a quarter of n, 17 at least."""
     if count < LEAST_SCALES:
         raise ValueError(f"at least {LEAST_SCALES} scales are needed")
     return sorted({int(v) for v in np.logspace(np.log10(16), np.log10(max(17, n // 4)), count)})
 
 
-def fluctuation(s: DataFrame, at: Sequence[int], qs: Sequence[float]) -> DataFrame:
+def fluctuation(s: DataFrame, at: Sequence[int] | int, qs: Sequence[float]) -> DataFrame:
     """key, s, q, fq: order-1 detrended fluctuation from closed-form regressions of each segment, from both ends.
 
-    The scales are few, so each point is exploded by scale next to it and all
-    segments of all series reduce in one partial aggregation.
+    at: scales, or how many each series gets from its own length. The scales are
+    few, so each point is exploded by scale next to it and all segments of all
+    series reduce in one partial aggregation.
     """
-    each = profile(s).withColumn("s", F.explode(F.array(*map(F.lit, at)))).where(F.col("n") >= 2 * F.col("s"))
+    points = profile(s)
+    if isinstance(at, int):
+
+        @F.pandas_udf("array<int>")
+        def own_scales(n: pd.Series) -> pd.Series:
+            return n.map(lambda v: scales(int(v), at))
+
+        lengths = s.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", own_scales("n").alias("at"))  # a row for each series
+        each = joined(points, lengths).withColumn("s", F.explode("at")).drop("at")
+    else:
+        each = points.withColumn("s", F.explode(F.array(*map(F.lit, at))))
+    each = each.where(F.col("n") >= 2 * F.col("s"))
     rest = F.col("n") % F.col("s")
     ahead = F.when(F.col("i") < F.col("n") - rest, F.struct(F.lit(0).alias("d"), F.floor(F.col("i") / F.col("s")).alias("seg"), (F.col("i") % F.col("s")).alias("j")))
     back = F.when((rest > 0) & (F.col("i") >= rest), F.struct(F.lit(1).alias("d"), F.floor((F.col("i") - rest) / F.col("s")).alias("seg"), ((F.col("i") - rest) % F.col("s")).alias("j")))
@@ -141,17 +201,21 @@ def descriptors(sp: DataFrame) -> DataFrame:
 def shannon(s: DataFrame) -> DataFrame:
     """key, entropy in bits over distinct values."""
     counts = s.groupBy("key", "x").agg(F.count(F.lit(1)).alias("c"))
-    p = F.col("c") / F.sum("c").over(Window.partitionBy("key"))
-    return counts.select("key", (-p * F.log2(p)).alias("t")).groupBy("key").agg(F.sum("t").alias("shannon"))
+    each = joined(counts, s.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    p = F.col("c") / F.col("n")
+    return each.select("key", (-p * F.log2(p)).alias("t")).groupBy("key").agg(F.sum("t").alias("shannon"))
 
 
 def _steps(s: DataFrame) -> DataFrame:
-    return s.withColumn("dx", F.col("x") - F.lag("x").over(Window.partitionBy("key").orderBy("i")))
+    """s with dx, the step from the point before, and last, the step before that."""
+    x = F.col("x")
+    rows = with_neighbours(s, 2).withColumn("dx", x - F.lag(x).over(in_block())).withColumn("last", F.lag(x).over(in_block()) - F.lag(x, 2).over(in_block()))
+    return own(rows)
 
 
 def petrosian(s: DataFrame) -> DataFrame:
     """key, petrosian: from the sign changes of the first difference."""
-    flip = F.col("dx") * F.lag("dx").over(Window.partitionBy("key").orderBy("i")) < 0
+    flip = F.col("dx") * F.col("last") < 0
     c = _steps(s).withColumn("flip", flip).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.coalesce("flip", F.lit(False))).alias("d"))
     n = F.col("n")
     return c.select("key", F.try_divide(F.log10(n), F.log10(n) + F.log10(n / (n + 0.4 * F.col("d")))).alias("petrosian"))
@@ -159,18 +223,18 @@ def petrosian(s: DataFrame) -> DataFrame:
 
 def sevcik(s: DataFrame) -> DataFrame:
     """key, sevcik: length of the curve in the unit square; null for fewer than three points or a constant."""
-    all_ = Window.partitionBy("key")
-    unit = s.select("key", "i", F.count(F.lit(1)).over(all_).cast("double").alias("n"), F.try_divide(F.col("x") - F.min("x").over(all_), F.nullif(F.max("x").over(all_) - F.min("x").over(all_), F.lit(0.0))).alias("x"))
+    ends = s.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    unit = joined(s, ends).select("key", "i", "n", F.try_divide(F.col("x") - F.col("lo"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).alias("x"))
     c = _steps(unit).groupBy("key").agg(F.first("n").alias("n"), F.sum(F.sqrt(F.col("dx") * F.col("dx") + 1 / ((F.col("n") - 1) * (F.col("n") - 1)))).alias("length"))
     return c.select("key", F.when(F.col("n") > 2, 1 + F.ln("length") / F.ln(2 * (F.col("n") - 1))).alias("sevcik"))
 
 
 def delta(s: DataFrame, half: int = 4) -> DataFrame:
     """key, i, delta: slope of a line through each point's 2 half + 1 neighbours; null at the ends."""
-    w = Window.partitionBy("key").orderBy("i")
+    w = in_block()
     norm = float(2 * sum(k * k for k in range(1, half + 1)))
     slope = sum((F.lead("x", k).over(w) - F.lag("x", k).over(w)) * float(k) for k in range(1, half + 1)) / norm
-    return s.select("key", "i", slope.alias("delta"))
+    return own(with_neighbours(s, half).withColumn("delta", slope)).select("key", "i", "delta")
 
 
 def interpolated(sp: DataFrame, points: int, lo: float, hi: float) -> DataFrame:

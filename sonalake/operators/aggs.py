@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cleanse import nan_to_null
@@ -27,16 +27,60 @@ def infinite_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stacked(one, {c: [F.col(f"i_{c}")] for c in columns}, ("column", "n_infinite"))
 
 
+#: Bins of a level of quantiles(), and how many levels narrow a rank down before values are counted one by one.
+BINS, LEVELS = 1024, 2
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Sequence[float]) -> DataFrame:
+    """keys with q, the exact quantiles (linear between neighbours) of the values that aren't null or NaN.
+
+    Histograms between the least and the largest value find the bin of each
+    rank wanted; only the rows of these bins are looked at again, in finer
+    bins, and at last by value. No buffer holds a key's values.
+    """
+    x = nan_to_null(value.cast("double"))
+    rows = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), x.alias("x")).where("x IS NOT NULL")
+    ks = [f"k{i}" for i in range(len(keys))]
+    ends = rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    places = F.array(*((F.col("n") - 1) * F.lit(float(s)) for s in shares))
+    ranks = F.array_distinct(F.concat(F.transform(places, lambda p: F.floor(p)), F.transform(places, lambda p: F.ceil(p))))
+    want = ends.select(*ks, F.lit(0).cast("long").alias("base"), "lo", "hi", F.explode(ranks).alias("rank"))
+    cell = [*ks, "lo", "hi", "base"]
+
+    def met(a: DataFrame, b: DataFrame, names: Sequence[str]) -> DataFrame:
+        other = b.withColumnsRenamed({c: f"{c}_of" for c in names})
+        same = F.lit(True)
+        for c in names:
+            same = same & a[c].eqNullSafe(other[f"{c}_of"])
+        return a.join(other, same).drop(*(f"{c}_of" for c in names))
+
+    for level in range(LEVELS + 1):
+        inside = met(rows, want.select(*cell).distinct(), ks).where("x BETWEEN lo AND hi")
+        if level < LEVELS:
+            part = F.coalesce(F.least(F.lit(float(BINS - 1)), F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * BINS).cast("double")), F.lit(0.0))
+        else:
+            part = F.col("x")
+        bins = inside.withColumn("part", part).groupBy(*cell, "part").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("least"), F.max("x").alias("most"))
+        before = Window.partitionBy(*cell).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("start", F.col("base") + F.coalesce(F.sum("c").over(before), F.lit(0)))
+        found = met(want, bins, cell).where((F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("c")))
+        want = found.select(*ks, F.col("start").alias("base"), F.col("least").alias("lo"), F.col("most").alias("hi"), "rank")
+    at = want.groupBy(*ks).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))  # two ranks for each share
+    both = met(ends.select(*ks, "n"), at, ks)
+
+    def between(p: Column) -> Column:
+        low, high = F.element_at("at", F.floor(p)), F.element_at("at", F.ceil(p))
+        return low + (p - F.floor(p)) * (high - low)
+
+    return both.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), F.transform(places, between).alias("q"))
+
+
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, count, mean, std, min, q1, median, q3, max; quartiles are exact, NaN is missing."""
-    aggs = []
-    for c in columns:
-        x = nan_to_null(F.col(c).cast("double"))
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"a_{c}"), F.stddev_samp(x).alias(f"s_{c}"), F.min(x).alias(f"l_{c}"), q.alias(f"q_{c}"), F.max(x).alias(f"h_{c}")]
-    one = df.agg(*aggs)
-    rows = {c: [F.col(f"n_{c}"), F.col(f"a_{c}"), F.col(f"s_{c}"), F.col(f"l_{c}"), *(F.col(f"q_{c}")[i] for i in range(3)), F.col(f"h_{c}")] for c in columns}
-    return stacked(one, rows, ("column", "n", "mean", "std", "min", "q1", "median", "q3", "max"))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), nan_to_null(F.col(c).cast("double")).alias("x")) for c in columns))).alias("r")).select("r.*")
+    plain = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = quantiles(long, ["column"], F.col("x"), [0.25, 0.5, 0.75])
+    return plain.join(q, "column", "left").select("column", "n", "mean", "std", "min", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "max")
 
 
 def speaker_frame(df: DataFrame, ident: str, columns: Sequence[str]) -> DataFrame:
@@ -44,8 +88,12 @@ def speaker_frame(df: DataFrame, ident: str, columns: Sequence[str]) -> DataFram
     aggs = []
     for c in columns:
         x = nan_to_null(F.col(c).cast("double"))
-        aggs += [F.avg(x).alias(f"{c}__mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"{c}__std"), F.median(x).alias(f"{c}__median")]
-    return df.groupBy(ident).agg(*aggs)
+        aggs += [F.avg(x).alias(f"{c}__mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"{c}__std")]
+    out = df.groupBy(ident).agg(*aggs)
+    for c in columns:
+        q = quantiles(df, [ident], F.col(c), [0.5]).select(F.col(ident).alias("of"), F.get("q", F.lit(0)).alias(f"{c}__median"))
+        out = out.join(q, out[ident].eqNullSafe(q["of"]), "left").drop("of")
+    return out.select(ident, *(f"{c}__{s}" for c in columns for s in ("mean", "std", "median")))
 
 
 def interclass_variance(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:

@@ -16,6 +16,23 @@ def hash_order(key: Column | str, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), key]
 
 
+def hash_ranked(df: DataFrame, key: Column | str, seed: int, label: Column | None = None, rank: str = "hash_rank", size: str = "hash_size") -> DataFrame:
+    """df with each row's place in hash order, from 1, within its label, and the label's rows.
+
+    Rows are ranked within 65536 slices of the hash, and from the sum of the
+    slices before: neither a label nor the table is sorted in one task.
+    """
+    label = F.lit(0) if label is None else label
+    order = hash_order(key, seed)
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), label.alias("label"), F.substring(order[0], 1, 4).alias("slice"), *(o.alias(f"o{i}") for i, o in enumerate(order)))
+    before = Window.partitionBy("label").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    counts = rows.groupBy("label", "slice").agg(F.count(F.lit(1)).alias("c"))
+    base = counts.select(F.col("label").alias("of"), F.col("slice").alias("at"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy("label")).alias("all"))
+    inside = rows.withColumn("inside", F.row_number().over(Window.partitionBy("label", "slice").orderBy("o0", "o1")))
+    found = inside.join(base, F.col("label").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
+    return found.select("row.*", (F.col("inside") + F.col("base")).cast("long").alias(rank), F.col("all").cast("long").alias(size))
+
+
 def with_status(df: DataFrame, allowed: Mapping[str, Sequence[str]], null_ok: bool = False) -> DataFrame:
     """Rows whose status columns have allowed values; null counts as allowed if null_ok."""
     for column, values in allowed.items():
@@ -70,11 +87,15 @@ def capped(df: DataFrame, label: str, key: str, most: int | None, seed: int, exe
 
 
 def balanced(df: DataFrame, healthy: Column, key: str, seed: int) -> DataFrame:
-    """Healthy rows cut to the number of others, in hash order; if either side is empty or healthy is smaller, nothing changes."""
+    """Healthy rows cut to the number of others, in hash order; if either side is empty or healthy is smaller, nothing changes.
+
+    Where it is unknown whether a row is healthy, it counts as one of the others.
+    """
+    healthy = F.coalesce(healthy, F.lit(False))
     counts = df.agg(F.count_if(healthy).alias("h"), F.count_if(~healthy).alias("p")).first()
     if not counts["h"] or not counts["p"] or counts["h"] <= counts["p"]:
         return df
-    kept = df.where(healthy).orderBy(*hash_order(key, seed)).limit(counts["p"])
+    kept = hash_ranked(df.where(healthy), key, seed).where(F.col("hash_rank") <= counts["p"]).drop("hash_rank", "hash_size")
     return kept.unionByName(df.where(~healthy))
 
 

@@ -22,9 +22,11 @@ def fan_in(core: DataFrame, sides: Mapping[str, DataFrame], key: str, order: Map
 
 def lookup(df: DataFrame, table: DataFrame, key: str, order: Sequence[Column], status: str = "match_status") -> DataFrame:
     """df with the first row of each key of the table, and whether there was one."""
-    found = first_by(table, [key], order).withColumn("lookup_hit", F.lit(True))
-    hit = F.when(F.col("lookup_hit"), "matched").otherwise("missing")
-    return df.join(found, key, "left").withColumn(status, hit).drop("lookup_hit")
+    hit = "lookup_hit"
+    while hit in df.columns or hit in table.columns:
+        hit += "_"
+    found = first_by(table, [key], order).withColumn(hit, F.lit(True))
+    return df.join(found, key, "left").withColumn(status, F.when(F.col(hit), "matched").otherwise("missing")).drop(hit)
 
 
 def pairwise_overlap(members: DataFrame, group: str, ident: str, samples: int = 20) -> DataFrame:

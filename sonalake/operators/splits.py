@@ -2,37 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cohort import hash_order
+from .cohort import hash_ranked
 
 
 def group_split(df: DataFrame, group: str, test: float, val: float, seed: int) -> DataFrame:
     """One row a group: group, split. Shares are of groups: the first ceil(test G) in hash order, then val of all likewise."""
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
-    rank = F.row_number().over(Window.orderBy(*hash_order(group, seed)))
     total = groups.count()
     n_test = -(-round(test * total * 1e9) // 10**9)
     n_val = min(total - n_test, -(-round(val * total * 1e9) // 10**9))
     name = F.when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_val, "val").otherwise("train")
-    return groups.withColumn("rank", rank).select(group, name.alias("split"))
+    return hash_ranked(groups, group, seed, rank="rank").select(group, name.alias("split"))
 
 
 def group_folds(df: DataFrame, group: str, label: str, folds: int, seed: int) -> DataFrame:
     """One row a group: group, label (its most frequent, ties to the least), fold. Near-stratified: groups are dealt out label by label."""
     majority = df.groupBy(group).agg(F.mode(label, True).alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(*hash_order(group, seed)))
-    return majority.select(group, "label", ((rank - 1) % folds).cast("long").alias("fold"))
+    return hash_ranked(majority, group, seed, F.col("label")).select(group, "label", ((F.col("hash_rank") - 1) % folds).cast("long").alias("fold"))
 
 
 def holdout(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
     """df with held_out: the first ceil(share n) rows of each class in hash order."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*hash_order(key, seed)))
-    size = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("held_out", rank <= F.ceil(size * share))
+    ranked = hash_ranked(df, key, seed, F.col(label))
+    return ranked.withColumn("held_out", F.col("hash_rank") <= F.ceil(F.col("hash_size") * share)).drop("hash_rank", "hash_size")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -42,9 +37,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", (F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))).alias("weight"))
 
 
-def mapped_split(df: DataFrame, table: DataFrame, group: str, defaults: Mapping[str, str] | None = None) -> DataFrame:
-    """df with the split of its group."""
-    return df.join(table, group, "left")
+def mapped_split(df: DataFrame, table: DataFrame, group: str, default: str = "train") -> DataFrame:
+    """df with the split of its group; groups that the table lacks get the default."""
+    return df.join(table.select(group, "split"), group, "left").withColumn("split", F.coalesce("split", F.lit(default)))
 
 
 def split_leaks(df: DataFrame, group: str, split: Column | str = "split") -> DataFrame:

@@ -91,11 +91,10 @@ def keep_first_dedup(spark, d):
     return cleanse.first_by(events(spark, d), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
 
 
-@query("""WITH p AS (SELECT DISTINCT event_type AS g, user_id AS u FROM events WHERE user_id % 3 = 0 OR event_type <> 'view'), g AS (SELECT DISTINCT g FROM p)
+@query("""WITH p AS (SELECT DISTINCT event_type AS g, user_id AS u FROM events), g AS (SELECT DISTINCT g FROM p)
           SELECT a.g AS left_group, b.g AS right_group, (SELECT count(*) FROM p x JOIN p y ON x.u = y.u WHERE x.g = a.g AND y.g = b.g) AS overlap FROM g a JOIN g b ON a.g < b.g""")
 def pairwise_overlap(spark, d):
-    some = events(spark, d).where("user_id % 3 = 0 OR event_type <> 'view'")
-    return joins.pairwise_overlap(some, "event_type", "user_id").drop("sample_ids")
+    return joins.pairwise_overlap(events(spark, d), "event_type", "user_id").drop("sample_ids")
 
 
 @query("""SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (b IS NULL) AS n_left_only, count(*) FILTER (a IS NULL) AS n_right_only,
@@ -288,10 +287,10 @@ def zscore(spark, d):
     return e.crossJoin(F.broadcast(m)).select("event_id", F.round((F.col("value") - F.col("m")) / F.col("s"), 6).alias("z"))  # one row
 
 
-@query("""SELECT doc_id, coalesce(quality, 2)::INTEGER AS quality FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, coalesce(quality, 2)::INTEGER AS quality FROM documents LEFT JOIN labels USING (doc_id)""")
 def cache_reconcile(spark, d):
     existing = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    target = table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id")
+    target = table(spark, d, "documents").select("doc_id")
     return cache.reconciled(existing, target, "doc_id", lambda missing: missing.withColumn("quality", F.lit(2)))
 
 

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import kernels, signal
 from .registry import query, table
 
-SCALES = signal.scales(2000, 10)
+#: Scales of each series, from its own length.
+SCALES = 20
 QS = [-5.0, -3.0, -1.0, 1.0, 2.0, 3.0, 5.0]
 S = """s AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, value AS x FROM events)"""
 FQ = f"""{S},
 p AS (SELECT key, i, count(*) OVER (PARTITION BY key) AS n, sum(dx) OVER (PARTITION BY key ORDER BY i) AS y FROM (SELECT key, i, x - avg(x) OVER (PARTITION BY key) AS dx FROM s)),
-e AS (SELECT key, i, n, y, unnest({SCALES}) AS s FROM p),
+sc AS (SELECT DISTINCT n, trunc(pow(10, CASE WHEN k = {SCALES - 1} THEN log10(greatest(17, n // 4)) ELSE log10(16) + k * ((log10(greatest(17, n // 4)) - log10(16)) / {SCALES - 1}) END))::INT AS s
+       FROM (SELECT DISTINCT n FROM p), (SELECT unnest(range(0, {SCALES})) AS k)),
+e AS (SELECT key, i, p.n, y, s FROM p JOIN sc ON p.n = sc.n),
 g AS (SELECT key, s, 0 AS d, i // s AS seg, i % s AS j, y FROM e WHERE n >= 2 * s AND i < n - n % s
       UNION ALL SELECT key, s, 1, (i - n % s) // s, (i - n % s) % s, y FROM e WHERE n >= 2 * s AND n % s > 0 AND i >= n % s),
 f2 AS (SELECT key, s, (regr_syy(y, j) - regr_sxy(y, j) * regr_sxy(y, j) / regr_sxx(y, j)) / s AS f2 FROM g GROUP BY key, s, d, seg),
@@ -56,7 +59,7 @@ def time_domain_stats(spark, d):
 
 
 FRAMES = f"""{S}, c AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, avg(x) OVER (PARTITION BY key) AS m FROM s),
-fr AS (SELECT key, k.k AS f, i, x, m FROM c JOIN (SELECT unnest(range(0, 4000)) AS k) k ON i BETWEEN k.k * 32 AND k.k * 32 + 63 AND k.k * 32 + 64 <= n)"""
+fr AS (SELECT key, k.k AS f, i, x, m FROM c JOIN (SELECT unnest(range(0, (SELECT count(*) // 32 + 1 FROM events))) AS k) k ON i BETWEEN k.k * 32 AND k.k * 32 + 63 AND k.k * 32 + 64 <= n)"""
 
 
 @query(f"WITH {FRAMES} SELECT key, f, round(sqrt(avg(x * x)), 6) AS rms FROM fr GROUP BY key, f")
