@@ -1,48 +1,67 @@
-"""Language-model scores: a causal self-attention model over subword ids, beside an add-one word model.
-
-Words are cut into ids of a public byte-pair vocabulary. The model predicts the
-class of the next id by one head of self-attention over the classes before it,
-and the id within its class by counts over all training documents: frequent ids
-are classes of their own, the others share classes of like frequency. Texts are
-scored in windows that overlap by CONTEXT ids; each id is scored once, in the
-window that has it beyond its context, with a causal mask.
-
-Word and id counts are taken over every training document. The attention
-weights are trained in numpy on all windows of every training document, each once
-a round: each task steps through its own, and the weights are averaged, for ROUNDS
-rounds.
+"""Language-model scores: causal self-attention over subword ids, beside an add-one word model.
+
+Texts are cut once into ids of a public byte-pair vocabulary, each word with a
+space before it, so the ids themselves tell where words begin. The model has two
+levels of masked attention, which together give a probability to every sequence
+of ids: one predicts the first id of the next word, or the end, from the words
+before it; one predicts each further id of a word, or its stop, from the ids of
+the word before it. A word's further ids depend on the word alone, so they are
+scored once for each different word. Each prediction is a walk through a Huffman
+tree over the whole vocabulary, with the attention's output deciding at every
+branch: no id is dropped or merged.
+
+Sequences are scored in windows that overlap by `context` places; each id is
+scored once, in the window that has it beyond its context.
+
+Training takes every id of every training text: gradients are summed over all
+texts of a share and over all different words by their counts, then Adam makes
+one step; STEPS shares make up all texts. Sums don't depend on partitions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, slices, words_of, written
+from .common import crc_mod, map_batches, mix64, words_of, written
 
-#: Classes, those of one id, width of the model, ids scored in a window and before them, rounds of training.
-CLASSES, SINGLE, WIDTH, SCORED, CONTEXT, ROUNDS = 64, 48, 16, 32, 32, 2
-BATCH, RATE, SEED = 64, 0.01, 3
-#: Characters of a word that are cut at once; of the texts that are trained on or scored together.
-PIECE, CHARS = 64, 1_000_000
-#: Words whose counts are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers.
+#: Input classes (the commonest ids have their own), branches with weights of their own (the others keep their frequencies).
+CLASSES, BRANCHES = 2048, 2047
+#: Steps of training, its rate, seed. Windows of a batch, ids of a piece of a table that is worked on at once.
+STEPS, RATE, SEED = 16, 0.12, 3
+BATCH, PIECE_IDS, CHARS = 512, 4_000_000, 1_000_000
+#: Words that are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers while cutting.
 HOT, CACHE_WORDS = 200_000, 400_000
 FOLDS, HELD = 7, 2
-END, PAD = CLASSES - 1, CLASSES
-WORDS_KIND, IDS_KIND, DOCS_KIND = 0, 1, 2
+#: Numbers of a row in which sums of gradients travel.
+CHUNK = 1024
+WORDS_KIND, FIRST_KIND, NEXT_KIND, DOCS_KIND = 0, 1, 2, 3
+
+
+@dataclass(frozen=True)
+class Level:
+    """Width of the vectors, places scored in a window and before them, kinds of the second input."""
+
+    width: int
+    scored: int
+    context: int
+    second: int
+
+
+#: Words of a text: the inputs are the first and the last id of the word before. Ids of a word: the id before and its place.
+TEXT, WORD = Level(8, 32, 16, CLASSES), Level(16, 4, 12, 8)
 
 
 @lru_cache(maxsize=2)
 def encoding(path: str):
-    """The public vocabulary as a tiktoken encoding, once for each Python worker."""
+    """The public vocabulary as a tiktoken encoding, and which ids begin with a space."""
     import base64
 
     import tiktoken
@@ -50,7 +69,9 @@ def encoding(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the vocabulary's own
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    begins = np.zeros(max(ranks.values()) + 1, bool)
+    begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), begins
 
 
 def vocabulary_path() -> str:
@@ -59,231 +80,277 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
+def spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... length[0] places, then those from first[1], and so on."""
+    return np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
-def subwords(words: list[bytes], path: str) -> list[list[int]]:
-    """Ids of each word with a space before it; long words are cut in pieces."""
-    enc = encoding(path)
-    texts = [" " + w.decode("utf-8", "replace") for w in words]
-    return [enc.encode_ordinary(t) if len(t) <= PIECE else [i for j in range(0, len(t), PIECE) for i in enc.encode_ordinary(t[j : j + PIECE])] for t in texts]
+class Spelling:
+    """Ids of words, cut together where they are new to the task."""
 
+    def __init__(self, path: str):
+        self.encoding, self.begins = encoding(path)
+        self.clear()
 
-def corpus_counts(training: DataFrame, path: str) -> DataFrame:
-    """kind, key, n over all of training(text): words by hash, subword ids, documents."""
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.first, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [" " + w.decode("utf-8", "replace") for w in words]
+        flat = np.array(self.encoding.encode_ordinary("".join(texts)), np.int32)
+        first = np.flatnonzero(self.begins[flat])
+        if len(first) != len(words) or not all(t.isprintable() for t in texts):  # other white space may join words: cut one by one
+            ids = [self.encoding.encode_ordinary(t) for t in texts]
+            return np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+        return flat, np.diff(np.r_[first, len(flat)])
+
+    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        if len(self.at) > CACHE_WORDS:
+            self.clear()
+        if new := list(set().union(*texts) - self.at.keys()):
+            flat, length = self.cut(new)
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
+            self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, flat])
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        get = self.at.__getitem__
+        place = np.fromiter((get(w) for words in texts for w in words), np.int64, sum(map(len, texts)))
+        length = self.length[place]
+        upto = np.r_[0, np.cumsum(length)]
+        ends = np.cumsum([0, *map(len, texts)])
+        return self.flat[spread(self.first[place], length)], np.diff(upto[ends])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        docs = 0
-
-        def flushed() -> pa.RecordBatch:
-            known = list(words)
-            times = np.fromiter(words.values(), np.int64, len(known))
-            ids = subwords(known, path)
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
-            per_id = np.bincount(flat, np.repeat(times, [len(x) for x in ids])).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
-            at = np.flatnonzero(per_id)
-            kind = np.repeat([WORDS_KIND, IDS_KIND, DOCS_KIND], [len(known), len(at), 1])
-            key = np.concatenate([np.fromiter(map(word_hash, known), np.int64, len(known)), at, [0]])
-            return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "n": pa.array(np.concatenate([times, per_id[at], [docs]]), pa.int64())})
 
-        for batch in batches:
-            for text in batch.column(0):
-                words.update(words_of(text.as_py()))
-                docs += 1
-                if len(words) > CACHE_WORDS:
-                    yield flushed()
-                    words, docs = Counter(), 0
-        yield flushed()
-
-    parts = training.select("text").mapInArrow(run, "kind int, key long, n long")
-    return written(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+def tokenised(documents: DataFrame, path: str) -> DataFrame:
+    """row, doc_id, share (of training, -1 for the held-out fold) and ids of documents(doc_id, text), cut once."""
+
+    def make():
+        spelling = Spelling(path)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, count = spelling.ids([words_of(t) for t in batch.column(3).to_pylist()])
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(flat, pa.int32()))
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], ids], names=["row", "doc_id", "share", "ids"])
+
+        return step
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    share = F.when(crc_mod("doc_id", FOLDS) == HELD, -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS))).cast("int")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", share.alias("share"), "text")
+    return written(map_batches(rows, "text", make, f"row long, doc_id {kind}, share int, ids array<int>", chars=CHARS), "ids")
 
 
 @dataclass
-class Classes:
-    """Class of each subword id, and the log10 share of the id within its class."""
+class Texts:
+    """Words of a piece of the ids: where each begins, how long it is, its hash, and how many each text has."""
 
-    of: np.ndarray
-    share: np.ndarray
+    flat: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+    words: np.ndarray
 
     @classmethod
-    def from_counts(cls, ids: np.ndarray, counts: np.ndarray, size: int) -> Classes:
-        total = np.zeros(size)
-        total[ids] = counts
-        order = np.lexsort((np.arange(size), -total))
-        of, groups = np.zeros(size, np.int64), CLASSES - 1 - SINGLE
-        of[order[:SINGLE]] = np.arange(SINGLE)
-        rest = order[SINGLE:]
-        mass = np.cumsum(total[rest] + 1e-3)
-        of[rest] = SINGLE + np.minimum((mass / mass[-1] * groups).astype(np.int64), groups - 1)
-        inside = np.bincount(of, total + 1, CLASSES)
-        return cls(of, np.log10((total + 1) / inside[of]))
-
-
-class Attention:
-    """One causal head over class embeddings: parameters as one flat array."""
-
-    SHAPES = (("e", (CLASSES + 1, WIDTH)), ("q", (WIDTH, WIDTH)), ("k", (WIDTH, WIDTH)), ("v", (WIDTH, WIDTH)), ("u", (CLASSES, WIDTH)), ("b", (CLASSES,)), ("r", (SCORED + CONTEXT,)))
-    SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
-
-    def __init__(self, flat: np.ndarray | None = None, bias: np.ndarray | None = None):
-        if flat is None:
-            rng = np.random.default_rng(SEED)
-            flat = np.concatenate([rng.normal(0, 0.3 if n in "eu" else 0.25, s).ravel() if n not in "br" else np.zeros(s) for n, s in self.SHAPES])
-        self.flat, at = flat.astype(np.float32), 0
-        self.p: dict[str, np.ndarray] = {}
-        for n, s in self.SHAPES:
-            size = int(np.prod(s))
-            self.p[n] = self.flat[at : at + size].reshape(s)
-            at += size
-        if bias is not None:
-            self.p["b"][:] = bias
-
-    def mask(self) -> tuple[np.ndarray, np.ndarray]:
-        """How far back each key lies from each query, and the bias by distance, with the future shut out."""
-        back = (np.arange(SCORED)[:, None] + CONTEXT) - np.arange(SCORED + CONTEXT)[None, :]
-        return back, np.where(back >= 0, self.p["r"][np.maximum(back, 0)], -1e9).astype(np.float32)
-
-    def log_probs(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log10 probability of the target classes: keys (windows, CONTEXT+SCORED), targets (windows, SCORED).
-
-        The shut keys and the output's bias ride along as one more column of the
-        products. Where exponentials can't overflow, nothing is subtracted first.
-        """
-        p, (_, bias) = self.p, self.mask()
-        one, value = np.ones((CLASSES + 1, 1), np.float32), p["e"] @ p["v"]
-        asked = np.hstack([p["e"] @ p["q"] / np.float32(WIDTH**0.5), one])
-        shut = np.where(np.arange(CLASSES + 1) == PAD, np.float32(-1e9), np.float32(0))
-        known = np.hstack([p["e"] @ p["k"], shut[:, None]])
-        out = np.vstack([p["u"].T, p["b"]])
-        longest = lambda x: float(np.sqrt((x * x).sum(1)).max())
-        z = asked[keys[:, CONTEXT:]] @ known[keys].transpose(0, 2, 1)
-        z += bias
-        if longest(asked[:, :-1]) * longest(known[:PAD, :-1]) + float(p["r"].max()) > 60:
-            z -= z.max(2, keepdims=True)
-        np.exp(z, out=z)
-        h = np.ones((*targets.shape, WIDTH + 1), np.float32)
-        h[..., :-1] = (z @ value[keys]) / (z.sum(2, keepdims=True) + np.float32(1e-30)) + p["e"][keys[:, CONTEXT:]]
-        logits = h.reshape(-1, WIDTH + 1) @ out
-        if (longest(value) + longest(p["e"])) * longest(p["u"]) + float(p["b"].max()) > 60:
-            logits -= logits.max(1, keepdims=True)
-        hit = logits[np.arange(len(logits)), targets.ravel()]
-        np.exp(logits, out=logits)
-        return ((hit - np.log(logits.sum(1))) / np.float32(np.log(10))).reshape(targets.shape)
-
-    def gradient(self, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Of the mean negative log-likelihood of the targets that aren't PAD.
-
-        A key's vectors depend on its class alone, so gradients are summed by
-        class before they go through the products with q, k and v.
-        """
-        p, (back, bias) = self.p, self.mask()
-        scale, each = np.float32(WIDTH**-0.5), np.eye(CLASSES + 1, dtype=np.float32)
-        asker = keys[:, CONTEXT:]
-        q, k, v, own = (p["e"] @ p["q"] * scale)[asker], (p["e"] @ p["k"])[keys], (p["e"] @ p["v"])[keys], p["e"][asker]
-        w = q @ k.transpose(0, 2, 1)
-        w += bias
-        w += np.where(keys == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        w -= w.max(2, keepdims=True)
-        np.exp(w, out=w)
-        w /= w.sum(2, keepdims=True)
-        seen = w @ v
-        h = (own + seen).reshape(-1, WIDTH)
-        d = h @ p["u"].T + p["b"]
-        d -= d.max(1, keepdims=True)
-        np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
-        live = targets.ravel() != PAD
-        rows = np.flatnonzero(live)
-        d[rows, targets.ravel()[rows]] -= 1
-        d *= (live / np.float32(max(1, len(rows)))).astype(np.float32)[:, None]
-        g = {"u": d.T @ h, "b": d.sum(0)}
-        dh = (d @ p["u"]).reshape(own.shape)
-        dz = dh @ v.transpose(0, 2, 1)
-        dz -= (dh * seen).sum(2, keepdims=True)
-        dz *= w
-        dv, dq, dk = w.transpose(0, 2, 1) @ dh, dz @ k, dz.transpose(0, 2, 1) @ q
-        g["r"] = np.bincount(np.maximum(back, 0).ravel(), dz.sum(0).ravel() * (back >= 0).ravel(), SCORED + CONTEXT)
-        by_asker = each[asker.ravel()].T @ np.concatenate([dh, dq], 2).reshape(-1, 2 * WIDTH)
-        by_key = each[keys.ravel()].T @ np.concatenate([dk, dv], 2).reshape(-1, 2 * WIDTH)
-        direct, of_q, of_k, of_v = by_asker[:, :WIDTH], by_asker[:, WIDTH:] * scale, by_key[:, :WIDTH], by_key[:, WIDTH:]
-        g["q"], g["k"], g["v"] = p["e"].T @ of_q, p["e"].T @ of_k, p["e"].T @ of_v
-        g["e"] = direct + of_q @ p["q"].T + of_k @ p["k"].T + of_v @ p["v"].T
-        return np.concatenate([g[n].ravel() for n, _ in self.SHAPES])
-
-    def learn(self, keys: np.ndarray, targets: np.ndarray, rate: float) -> None:
-        """One pass of Adam over windows in the order given."""
-        m = s = np.zeros(self.SIZE)
-        for t, start in enumerate(range(0, len(keys), BATCH), 1):
-            grad = self.gradient(keys[start : start + BATCH], targets[start : start + BATCH])
-            m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
-            self.flat -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-
-
-def windows(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and targets of the windows of texts that lie one after the other, and where each target stands; PAD and -1 fill.
-
-    The input at a place is the id before it, at a text's first place the end
-    of some text before.
+    def of(cls, lists: pa.Array, begins: np.ndarray) -> Texts:
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+        first = np.flatnonzero(begins[flat])
+        words = np.diff(np.searchsorted(first, offsets - offsets[0]))
+        return cls(flat, first, np.diff(np.r_[first, len(flat)]), words)
+
+    def hashes(self) -> np.ndarray:
+        """63 bits of each word's ids and their places."""
+        if not len(self.first):
+            return np.zeros(0, np.int64)
+        place = np.arange(len(self.flat)) - np.repeat(self.first, self.length)
+        mixed = mix64(self.flat.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(20)) + np.uint64(1))
+        return (mix64(np.add.reduceat(mixed, self.first)) >> np.uint64(1)).view(np.int64)
+
+
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about PIECE_IDS items of a list column, or half as many bytes."""
+    if not batch.num_rows:
+        return
+    lists = batch.column(column)
+    upto = lists.offsets.to_numpy().astype(np.int64)[1:] - lists.offsets[0].as_py() if isinstance(lists, pa.ListArray) else np.cumsum(np.array([len(x) for x in lists.to_pylist()]))
+    start = 0
+    while start < batch.num_rows:
+        done = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, done + PIECE_IDS, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def packed_ids(flat: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Binary keys: two bytes an id, of words whose ids lie one after the other."""
+    offsets = np.r_[0, 2 * np.cumsum(length)].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype("<u2").tobytes())])
+
+
+def counted(ids: DataFrame, path: str) -> DataFrame:
+    """kind, key, n: how often training texts have each word, first id, next id of a word (or its stop), and how many they are.
+
+    Words of held-out texts are there too, with n = 0 if no training text has them.
     """
-    first = np.cumsum(lengths) - lengths
-    inputs = np.empty_like(classes)
-    inputs[1:] = classes[:-1]
-    inputs[first[lengths > 0]] = END
-    per = -(-lengths // SCORED)
-    text = np.repeat(np.arange(len(lengths)), per)
-    start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * SCORED
-    stop = (first + lengths)[text][:, None]
-    at = start[:, None] + np.arange(-CONTEXT, SCORED)
-    inside = (at >= first[text][:, None]) & (at < stop)
-    keys = np.where(inside, inputs[np.clip(at, 0, len(classes) - 1)], PAD)
-    at = at[:, CONTEXT:]
-    own = inside[:, CONTEXT:]
-    return keys, np.where(own, classes[np.clip(at, 0, len(classes) - 1)], PAD), np.where(own, at, -1)
-
-
-class Vocabulary:
-    """What a task knows of words: count, hash, and classes and shares of their subwords. Word 0 is the end of a text."""
-
-    def __init__(self, classes: Classes, hot: tuple[np.ndarray, np.ndarray], ends: int, path: str):
-        self.classes, self.hot, self.ends, self.path = classes, hot, ends, path
-        self.clear()
 
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.count, self.hash, self.length = np.array([self.ends]), np.array([0]), np.array([1])
-        self.start, self.flat, self.share = np.array([0]), np.array([END]), np.array([0.0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = encoding(path)[1]
+        stop = len(begins)
+        for whole in batches:
+            for batch in pieces(whole, 1):
+                t = Texts.of(batch.column(1), begins)
+                train = (batch.column(0).to_numpy() >= 0).astype(float)
+                _, at, back = np.unique(t.hashes(), return_index=True, return_inverse=True)
+                n = np.bincount(back, np.repeat(train, t.words), len(at)).astype(np.int64)
+                first, length = t.first[at], t.length[at]
+                flat = t.flat[spread(first, length)]
+                firsts = np.bincount(t.flat[first], n, stop).astype(np.int64)
+                begin = np.cumsum(length) - length
+                inner = np.ones(len(flat), bool)
+                inner[begin] = False
+                nexts = np.bincount(flat[inner], np.repeat(n, length)[inner], stop + 1).astype(np.int64)
+                nexts[stop] += n.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), packed_ids(flat, length), pa.array(n)], names=["kind", "key", "n"])
+                for kind, counts in ((FIRST_KIND, firsts), (NEXT_KIND, nexts), (DOCS_KIND, np.array([int(train.sum())]))):
+                    used = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), packed_ids(used, np.ones(len(used), np.int64)), pa.array(counts[used])], names=["kind", "key", "n"])
+
+    parts = ids.select("share", "ids").mapInArrow(run, "kind int, key binary, n long")
+    return written(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
-    def places(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Word places of all texts, each ended by 0; counts of rare words are -1."""
-        if len(self.at) > CACHE_WORDS:
-            self.clear()
-        new = list(set().union(*texts) - self.at.keys()) if texts else []
-        if new:
-            hashes = np.fromiter(map(word_hash, new), np.int64, len(new))
-            ids = subwords(new, self.path)
-            length = np.fromiter(map(len, ids), np.int64, len(new))
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(length.sum()))
-            keys, counts = self.hot
-            at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-            count = np.where(keys[at] == hashes, counts[at], -1) if len(keys) else np.full(len(new), -1)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-            self.count, self.hash, self.length = np.concatenate([self.count, count]), np.concatenate([self.hash, hashes]), np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, self.classes.of[flat]])
-            self.share = np.concatenate([self.share, self.classes.share[flat]])
-            base = len(self.at) + 1
-            self.at.update(zip(new, range(base, base + len(new)), strict=True))
-        get = self.at.__getitem__
-        return np.fromiter((i for words in texts for i in (*map(get, words), 0)), np.int64, sum(map(len, texts)) + len(texts))
 
-    def spelled(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes and shares of the words' subwords one after the other, and how many each word has."""
-        length = self.length[places]
-        step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        at = np.repeat(self.start[places], length) + step
-        return self.flat[at], self.share[at], length
+@dataclass
+class Tree:
+    """A Huffman tree over symbols: branches and turns (1 or -1) on the way to each, and the log-odds of each branch's frequencies.
+
+    Branches are numbered from the one with the most symbols below it; from
+    BRANCHES on they have no weights.
+    """
+
+    first: np.ndarray
+    length: np.ndarray
+    branch: np.ndarray
+    turn: np.ndarray
+    odds: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Tree:
+        size = len(counts)
+        mass = np.r_[counts + 1.0, np.zeros(size - 1)]
+        parent, side = np.zeros(2 * size - 1, np.int64), np.zeros(2 * size - 1)
+        heap = [(m, i) for i, m in enumerate(mass[:size].tolist())]
+        heapq.heapify(heap)
+        for node in range(size, 2 * size - 1):
+            (m1, a), (m2, b) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[[a, b]], side[[a, b]], mass[node] = node, (1, -1), m1 + m2
+            heapq.heappush(heap, (m1 + m2, node))
+        inner = np.arange(size, 2 * size - 1)
+        number = np.zeros(2 * size - 1, np.int64)
+        number[inner[np.lexsort((inner, -mass[inner]))]] = np.arange(size - 1)
+        up, down = np.zeros(size - 1), np.zeros(size - 1)
+        child = np.arange(2 * size - 2)
+        np.add.at(up, number[parent[child[side[child] > 0]]], mass[child[side[child] > 0]])
+        np.add.at(down, number[parent[child[side[child] < 0]]], mass[child[side[child] < 0]])
+        at, ways, turns = np.arange(size), [], []
+        while (live := at != 2 * size - 2).any():
+            ways.append(np.where(live, number[parent[at]], -1))
+            turns.append(side[at])
+            at = np.where(live, parent[np.minimum(at, 2 * size - 3)], at)
+        way, turn = np.stack(ways, 1), np.stack(turns, 1)
+        used = way >= 0
+        length = used.sum(1)
+        return cls(np.cumsum(length) - length, length, way[used], turn[used], np.log(up / down))
+
+
+def places(lengths: np.ndarray, scored: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of sequences that lie one after the other, and whether each is inside its sequence."""
+    first, per = np.cumsum(lengths) - lengths, -(-lengths // scored)
+    owner = np.repeat(np.arange(len(lengths)), per)
+    start = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * scored
+    at = start[:, None] + np.arange(-context, scored)
+    return at, (at >= first[owner][:, None]) & (at < (first + lengths)[owner][:, None])
+
+
+class Net:
+    """One causal head: parameters as one flat array. Inputs are sums of two embeddings; outputs walk a tree."""
+
+    def __init__(self, level: Level, tree: Tree, flat: np.ndarray | None = None):
+        d, self.level, self.tree = level.width, level, tree
+        self.shapes = {"e": (CLASSES + 1, d), "f": (level.second + 1, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "r": (level.scored + level.context,), "u": (BRANCHES + 1, d), "b": (BRANCHES + 1,)}
+        self.size = sum(int(np.prod(s)) for s in self.shapes.values())
+        if flat is None:
+            rng = np.random.default_rng(SEED)
+            scale = {"e": 0.5, "f": 0.5, "q": 0.3, "k": 0.3, "v": d**-0.5, "o": d**-0.5}
+            flat = np.concatenate([rng.normal(0, scale[n], s).ravel() if n in scale else np.zeros(s).ravel() for n, s in self.shapes.items()])
+        self.p, at = {}, 0
+        for n, s in self.shapes.items():
+            self.p[n] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
+            at += int(np.prod(s))
+
+    def walk(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all branches on the ways to the symbols: the symbol's place, weight row, turn, fixed log-odds."""
+        length = self.tree.length[symbols]
+        at = spread(self.tree.first[symbols], length)
+        branch = self.tree.branch[at]
+        return np.repeat(np.arange(len(symbols)), length), np.minimum(branch, BRANCHES), self.tree.turn[at].astype(np.float32), self.tree.odds[branch].astype(np.float32)
+
+    def run(self, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """ln probability of each symbol; with weights, the gradient of the weighted sum of -ln p as well."""
+        s, c, d = self.level.scored, self.level.context, self.level.width
+        out, grad = np.zeros(len(a)), None if weight is None else {n: np.zeros(shape) for n, shape in self.shapes.items()}
+        p = self.p
+        back = (np.arange(s)[:, None] + c) - np.arange(s + c)[None, :]
+        near = np.where(back >= 0, p["r"][np.maximum(back, 0)], -1e9).astype(np.float32)
+        every, inside = places(lengths, s, c)
+        for i in range(0, len(every), BATCH):
+            at, live = every[i : i + BATCH], inside[i : i + BATCH]
+            at = np.where(live, at, at[:, c : c + 1])
+            x = p["e"][a[at]] + p["f"][b[at]]
+            own, mine = x[:, c:], live[:, c:]
+            q, k, v = own @ (p["q"] * np.float32(d**-0.5)), x @ p["k"], x @ p["v"]
+            w = q @ k.transpose(0, 2, 1)
+            w += near
+            w += np.where(live, np.float32(0), np.float32(-1e9))[:, None, :]
+            w -= w.max(2, keepdims=True)
+            np.exp(w, out=w)
+            w /= w.sum(2, keepdims=True)
+            seen = w @ v
+            h = (seen + own @ p["o"])[mine]
+            here = at[:, c:][mine]
+            rep, row, turn, odds = self.walk(symbols[here])
+            u = p["u"][row]
+            z = turn * (np.einsum("ij,ij->i", h[rep], u) + p["b"][row] + odds)
+            out[here] = -np.bincount(rep, np.logaddexp(0, -z), len(here))
+            if weight is None:
+                continue
+            dz = (-turn / (1 + np.exp(np.clip(z, -60, 60))) * weight[here][rep]).astype(np.float32)
+            hz = h[rep] * dz[:, None]
+            grad["b"] += np.bincount(row, dz, BRANCHES + 1)
+            for j in range(d):
+                grad["u"][:, j] += np.bincount(row, hz[:, j], BRANCHES + 1)
+            starts = np.flatnonzero(np.r_[True, rep[1:] != rep[:-1]]) if len(rep) else np.zeros(0, np.int64)
+            dh = np.zeros(own.shape, np.float32)
+            dh[mine] = np.add.reduceat(dz[:, None] * u, starts, 0) if len(starts) else 0
+            dw = dh @ v.transpose(0, 2, 1)
+            dw -= (dh * seen).sum(2, keepdims=True)
+            dw *= w
+            dv, dq, dk = w.transpose(0, 2, 1) @ dh, dw @ k, dw.transpose(0, 2, 1) @ q
+            grad["r"] += np.bincount(np.maximum(back, 0).ravel(), (dw.sum(0) * (back >= 0)).ravel(), s + c)
+            flat = lambda m: m.reshape(-1, d)
+            grad["q"] += flat(own).T @ flat(dq) * d**-0.5
+            grad["k"] += flat(x).T @ flat(dk)
+            grad["v"] += flat(x).T @ flat(dv)
+            grad["o"] += flat(own).T @ flat(dh)
+            dx = dk @ p["k"].T + dv @ p["v"].T
+            dx[:, c:] += dq @ (p["q"].T * np.float32(d**-0.5)) + dh @ p["o"].T
+            for name, index in (("e", a), ("f", b)):
+                rows = index[at[live]]
+                for j in range(d):
+                    grad[name][:, j] += np.bincount(rows, dx[live][:, j], len(grad[name]))
+        if grad is None:
+            return out, None
+        grad["u"][BRANCHES], grad["b"][BRANCHES] = 0, 0
+        return out, np.concatenate([grad[n].ravel() for n in self.shapes])
 
 
 @dataclass
@@ -291,128 +358,229 @@ class Model:
     """All that scoring needs but the counts of rare words."""
 
     path: str
-    classes: Classes
-    attention: np.ndarray
-    hot: tuple[np.ndarray, np.ndarray]
+    classes: np.ndarray
+    trees: tuple[Tree, Tree]
+    flats: list[np.ndarray]
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
     tokens: int
     distinct: int
     documents: int
 
-
-def attention_round(training: DataFrame, model: Model, turn: int) -> np.ndarray:
-    """Weights after a round over all windows: the mean of the tasks' weights by their windows."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
-    rate = RATE / (1 + turn)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nets(self) -> tuple[Net, Net]:
+        return Net(TEXT, self.trees[0], self.flats[0]), Net(WORD, self.trees[1], self.flats[1])
+
+    def text_inputs(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last ids of the word before each word and the end of each text, how many these are, and the first ids to predict."""
+        sizes, end = t.words + 1, len(self.classes)
+        at = spread(np.cumsum(sizes) - sizes, t.words)
+        first, last = np.full(int(sizes.sum()), end), np.full(int(sizes.sum()), end)
+        first[at], last[at] = t.flat[t.first], t.flat[t.first + t.length - 1]
+        known = np.r_[self.classes, CLASSES]
+        a, b = np.r_[CLASSES, known[first][:-1]], np.r_[CLASSES, known[last][:-1]]
+        return a, b, sizes, first
+
+    def word_inputs(self, flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes and places of the words' ids, and the ids that follow, with the stop after the last."""
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+        follow = np.r_[flat[1:], 0]
+        follow[np.cumsum(length) - 1] = len(self.classes)
+        return self.classes[flat], np.minimum(place, WORD.second), follow
+
+
+def chunks(level: int, grad: np.ndarray, loss: float, weight: float) -> pa.RecordBatch:
+    """A sum of gradients in rows; the last row has the loss and its weight."""
+    parts = [*(grad[i : i + CHUNK] for i in range(0, len(grad), CHUNK)), np.array([loss, weight])]
+    numbers = [*range(len(parts) - 1), -1]
+    return pa.RecordBatch.from_arrays([pa.array([level] * len(parts), pa.int32()), pa.array(numbers, pa.int32()), pa.array([x.astype("<f8").tobytes() for x in parts], pa.binary())], names=["level", "chunk", "v"])
+
+
+def summed(parts: DataFrame) -> dict[int, tuple[np.ndarray, float, float]]:
+    """Sum of the rows of all tasks, by level: a bounded number of rows, whatever the table's size."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.column("v").to_pylist()
+        total = np.frombuffer(rows[0], "<f8").copy()
+        for r in rows[1:]:
+            total += np.frombuffer(r, "<f8")
+        return pa.table({"level": table.column("level").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
+
+    got = parts.groupBy("level", "chunk").applyInArrow(add, "level int, chunk int, v binary").toArrow().sort_by([("level", "ascending"), ("chunk", "ascending")]).to_pylist()
+    out = {}
+    for level in {r["level"] for r in got}:
+        own = [np.frombuffer(r["v"], "<f8") for r in got if r["level"] == level]
+        out[level] = (np.concatenate(own[1:]), *own[0].tolist())
+    return out
+
+
+def step_gradients(ids: DataFrame, words: DataFrame, model: Model, turn: int) -> dict[int, tuple[np.ndarray, float, float]]:
+    """Gradients over the texts of a share, and over a share of the different words, frequent ones in every share."""
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        net, begins = model.nets()[0], encoding(model.path)[1]
+        grad, loss, weight = np.zeros(net.size), 0.0, 0.0
+        for whole in batches:
+            for batch in pieces(whole, 0):
+                a, b, sizes, first = model.text_inputs(Texts.of(batch.column(0), begins))
+                lp, g = net.run(a, b, sizes, first, np.ones(len(first), np.float32))
+                grad, loss, weight = grad + g, loss - lp.sum(), weight + len(first)
+        yield chunks(0, grad, loss, weight)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        own, seen = Attention(model.attention.copy()), 0
-        words = Vocabulary(model.classes, model.hot, model.documents, model.path)
+        net = model.nets()[1]
+        grad, loss, weight = np.zeros(net.size), 0.0, 0.0
         for batch in batches:
-            for part in slices(batch, "text", CHARS):
-                texts = [words_of(t) for t in part.column(0).to_pylist()]
-                classes, _, length = words.spelled(words.places(texts))
-                sizes = np.add.reduceat(length, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
-                keys, targets, _ = windows(classes, sizes)
-                order = np.random.default_rng(SEED + turn).permutation(len(keys))
-                own.learn(keys[order], targets[order], rate)
-                seen += len(keys)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(Attention.SIZE)), "v": pa.array(own.flat.astype(float) * seen), "n": pa.array(np.full(Attention.SIZE, seen))})
-
-    got = training.select("text").mapInArrow(run, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow().sort_by("i")
-    return got.column("v").to_numpy().astype(np.float32) if got.num_rows else model.attention
-
-
-def train(documents: DataFrame, path: str) -> tuple[Model, DataFrame]:
-    """The model, and key, n of all training words; documents of the held-out fold are never read for either."""
-    training = documents.select("doc_id", "text").where(crc_mod("doc_id", FOLDS) != HELD)
-    counts = corpus_counts(training, path)
+            keys = batch.column(0)
+            flat, length = unpacked(keys)
+            if len(flat):
+                a, b, follow = model.word_inputs(flat, length)
+                times = np.repeat(batch.column(1).to_numpy(), length).astype(np.float32)
+                lp, g = net.run(a, b, length, follow, times)
+                grad, loss, weight = grad + g, loss - (lp * times).sum(), weight + float(times.sum())
+        yield chunks(1, grad, loss, weight)
+
+    often = F.col("n") > model.tokens / HOT
+    mine = words.where((F.col("n") > 0) & (often | (F.pmod(F.xxhash64("key"), F.lit(STEPS)) == turn)))
+    mine = mine.select("key", F.when(often, F.col("n") / STEPS).otherwise(F.col("n")).cast("double").alias("times"))
+    schema = "level int, chunk int, v binary"
+    return summed(ids.where(F.col("share") == turn).select("ids").mapInArrow(texts, schema).union(mine.mapInArrow(inner, schema)))
+
+
+def unpacked(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of binary keys."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    data = np.frombuffer(keys.buffers()[2], "<u2")[offsets[0] // 2 : offsets[-1] // 2] if keys.buffers()[2] else np.zeros(0, "<u2")
+    return data.astype(np.int64), (np.diff(offsets) // 2).astype(np.int64)
+
+
+def input_classes(counts: np.ndarray) -> np.ndarray:
+    """A class for each id: the commonest their own, the others by bands of equal mass in the last sixteenth."""
+    bands = CLASSES // 16
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    of, rest = np.zeros(len(counts), np.int64), order[CLASSES - bands :]
+    of[order[: CLASSES - bands]] = np.arange(min(CLASSES - bands, len(order)))
+    mass = np.cumsum(counts[rest] + 1e-3)
+    of[rest] = CLASSES - bands + np.minimum((mass / mass[-1] * bands).astype(np.int64), bands - 1) if len(rest) else 0
+    return of
+
+
+def train(ids: DataFrame, path: str) -> tuple[Model, DataFrame]:
+    """The model, and key, n of all words; texts of the held-out fold are read for neither counts nor gradients."""
+    size = len(encoding(path)[1])
+    counts = counted(ids, path)
     words = counts.where(F.col("kind") == WORDS_KIND).select("key", "n")
-    sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    sums = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     docs = counts.where(F.col("kind") == DOCS_KIND).agg(F.sum("n")).first()[0] or 0
-    tokens, distinct = (sums["n"] or 0) + docs, sums["v"] + (docs > 0)
-    hot = words.where(F.col("n") > tokens / HOT).toArrow().sort_by("key")
-    ids = counts.where(F.col("kind") == IDS_KIND).select("key", "n").toArrow()  # as many as the vocabulary has
-    classes = Classes.from_counts(ids.column("key").to_numpy(), ids.column("n").to_numpy(), encoding(path).n_vocab)
-    seen = np.bincount(classes.of[ids.column("key").to_numpy()], ids.column("n").to_numpy(), CLASSES)
-    seen[END] += docs
-    first = Attention(bias=np.log((seen + 1) / (seen.sum() + CLASSES)))
-    model = Model(path, classes, first.flat, (hot.column("key").to_numpy(), hot.column("n").to_numpy()), tokens, distinct, docs)
-    for turn in range(ROUNDS):
-        model.attention = attention_round(training, model, turn)
+    tokens, distinct = (sums["n"] or 0) + docs, (sums["v"] or 0) + (docs > 0)
+    small = counts.where(F.col("kind").isin(FIRST_KIND, NEXT_KIND)).toArrow().combine_chunks()  # as many rows as the vocabulary has, twice
+    first, after = np.zeros(size + 1), np.zeros(size + 1)
+    for kind, key, n in zip(*(small.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True):
+        (first if kind == FIRST_KIND else after)[int.from_bytes(key, "little")] += n
+    first[size] += docs
+    none = np.zeros(0, np.int64)
+    model = Model(path, input_classes((first + after)[:size]), (Tree.of(first), Tree.of(after)), [], (none, none, none.astype(float)), tokens, distinct, docs)
+    nets = [Net(TEXT, model.trees[0]), Net(WORD, model.trees[1])]
+    model.flats = [np.concatenate([n.p[k].ravel() for k in n.shapes]).astype(float) for n in nets]
+    moments = [[np.zeros(n.size), np.zeros(n.size)] for n in nets]
+    for turn in range(STEPS if tokens else 0):
+        for level, (grad, _, weight) in step_gradients(ids, words, model, turn).items():
+            if weight:
+                grad, (m, v) = grad / weight, moments[level]
+                m += 0.2 * (grad - m)
+                v += 0.1 * (grad**2 - v)
+                rate = RATE * (1 - turn / (2 * STEPS))
+                model.flats[level] = model.flats[level] - rate * (m / (1 - 0.8 ** (turn + 1))) / (np.sqrt(v / (1 - 0.9 ** (turn + 1))) + 1e-5)
     return model, words
 
 
-def scored_once(documents: DataFrame, model: Model) -> DataFrame:
-    """row, doc_id, n_tokens, the known count and base sum of hot words, the score, and the rare words with their times."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def scored_words(words: DataFrame, model: Model) -> DataFrame:
+    """hash, n, inner: of each different word, the log10 probability of its ids after the first and of its stop."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        words, net = Vocabulary(model.classes, model.hot, model.documents, model.path), Attention(model.attention)
-        total = np.log10(model.tokens + model.distinct + 1)
+        net = model.nets()[1]
+        for batch in batches:
+            flat, length = unpacked(batch.column(0))
+            if not len(flat):
+                continue
+            a, b, follow = model.word_inputs(flat, length)
+            first = np.cumsum(length) - length
+            inner = np.add.reduceat(net.run(a, b, length, follow)[0], first) / np.log(10)
+            hashes = Texts(flat, first, length, length).hashes()
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(1), pa.array(inner)], names=["hash", "n", "inner"])
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [words_of(t) for t in batch.column(2).to_pylist()]
-            sizes, many = np.array([len(t) + 1 for t in texts]), len(texts)
-            places = words.places(texts)
-            owner = np.repeat(np.arange(many), sizes)
-            count = words.count[places]
-            hot = count >= 0
-            base = np.bincount(owner[hot], np.log10(count[hot] + 1.0) - total, many)
-            known = np.bincount(owner[hot & (count > 0)], minlength=many)
-            pair, times = np.unique(owner[~hot] << 32 | places[~hot], return_counts=True)
-            cuts = np.searchsorted(pair, np.arange(1, many) << 32)
-            classes, share, length = words.spelled(places)
-            spelled = np.bincount(owner, length, many).astype(np.int64)
-            score = np.bincount(np.repeat(np.arange(many), spelled), share, many)
-            keys, targets, at = windows(classes, spelled)
-            text_of = np.repeat(np.arange(many), spelled)
-            for k in range(0, len(keys), 256):
-                live = at[k : k + 256] >= 0
-                got = net.log_probs(keys[k : k + 256], np.where(live, targets[k : k + 256], 0))
-                score += np.bincount(text_of[at[k : k + 256][live]], got[live], many)
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *map(pa.array, (sizes, known, base, score)),
-                 pa.array(np.split(words.hash[pair & 0xFFFFFFFF], cuts), pa.list_(pa.int64())), pa.array(np.split(times, cuts), pa.list_(pa.int64()))],
-                names=["row", "doc_id", "n_tokens", "known", "base", "score", "keys", "times"],
-            )
+    return written(words.mapInArrow(run, "hash long, n long, inner double"), "words")
 
-        return step
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    schema = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, keys array<long>, times array<long>"
-    return written(map_batches(rows, "text", make, schema, chars=CHARS), "scored")
+def scored_once(ids: DataFrame, model: Model) -> DataFrame:
+    """row, doc_id, share, n_tokens, sums over hot words and ends, and the rare words with their times."""
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        net, begins = model.nets()[0], encoding(model.path)[1]
+        keys, counts, inner = model.hot
+        total = np.log10(model.tokens + model.distinct + 1)
+        for whole in batches:
+            for batch in pieces(whole, 3):
+                t, many = Texts.of(batch.column(3), begins), batch.num_rows
+                a, b, sizes, first = model.text_inputs(t)
+                owner = np.repeat(np.arange(many), sizes)
+                score = np.bincount(owner, net.run(a, b, sizes, first)[0], many) / np.log(10)
+                h, owner = t.hashes(), np.repeat(np.arange(many), t.words)
+                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                hot = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                base = np.bincount(owner[hot], np.log10(counts[at[hot]] + 1.0) - total, many) + np.log10(model.documents + 1.0) - total
+                known = np.bincount(owner[hot], minlength=many) + int(model.documents > 0)
+                score += np.bincount(owner[hot], inner[at[hot]], many)
+                order = np.lexsort((h[~hot], owner[~hot]))
+                rare, who = h[~hot][order], owner[~hot][order]
+                new = np.r_[True, (rare[1:] != rare[:-1]) | (who[1:] != who[:-1])] if len(rare) else np.zeros(0, bool)
+                first = np.flatnonzero(new)
+                cuts = pa.array(np.searchsorted(who[first], np.arange(many + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (rare[first], np.diff(np.r_[first, len(rare)]))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, (sizes, known, base, score)), *lists], names=["row", "doc_id", "share", "n_tokens", "known", "base", "score", "keys", "times"])
+
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, share int, n_tokens long, known long, base double, score double, keys array<long>, times array<long>"
+    return written(ids.select("row", "doc_id", "share", "ids").mapInArrow(run, schema), "scored")
 
 
 def score_documents(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of documents(doc_id, text), one row per row.
 
     Null text is empty: one token, the end. A null doc_id is in no fold that is
-    held out. Rows that repeat a doc_id are scored apart. Without training
-    documents every count is 0. A word that is over 1/HOT of all tokens has its
-    count broadcast, at most HOT of them; the others are looked up by a shuffle
-    of their 63-bit hashes.
+    held out. Rows that repeat a doc_id are scored apart, equal texts alike.
+    Without training documents every count is 0 and the model has its first
+    weights. Texts and words are taken whole, however long; other columns don't
+    matter. A word that is over 1/HOT of all tokens has its count broadcast, at
+    most HOT of them; the others are looked up by a shuffle of their 63-bit hashes.
     """
-    model, words = train(documents, path)
-    rows = scored_once(documents, model)
-    rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
-    found = rare.join(words.where(F.col("n") <= model.tokens / HOT), "key", "left")
+    ids = tokenised(documents, path)
+    model, words = train(ids, path)
+    words = scored_words(words, model)
+    hot = words.where(F.col("n") > model.tokens / HOT).toArrow().sort_by("hash")
+    model.hot = tuple(hot.column(c).to_numpy() for c in ("hash", "n", "inner"))
+    rows = scored_once(ids, model)
+    rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("hash"), F.col("w.times").alias("times"))
+    found = rare.join(words.where(F.col("n") <= model.tokens / HOT), "hash")
     total = float(np.log10(model.tokens + model.distinct + 1))
-    log = F.log10(F.coalesce("n", F.lit(0)).cast("double") + 1) - total
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more_known"))
+    log = F.log10(F.col("n").cast("double") + 1) - total
+    sums = found.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more_known"), F.sum(F.col("times") * F.col("inner")).alias("inside"))
     return rows.drop("keys", "times").join(sums, "row", "left").select(
         "doc_id",
-        (crc_mod("doc_id", FOLDS) == HELD).alias("held_out"),
+        (F.col("share") == -1).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("inside", F.lit(0.0))).alias("score"),
     )
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())

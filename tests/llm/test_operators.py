@@ -425,47 +425,99 @@ class TestLm:
             assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
         assert (got["score"] < 0).all()
 
-    def test_gradient_and_normalisation(self):
-        net = lm.Attention()
-        net.flat[:] = net.flat.astype(np.float32)
-        rng = np.random.default_rng(0)
-        classes = rng.integers(0, lm.CLASSES, 90)
-        keys, targets, at = lm.windows(classes, np.array([50, 0, 40]))
-        assert sorted(at[at >= 0]) == list(range(90)) and (targets[at >= 0] == classes[at[at >= 0]]).all()
-        each = [net.log_probs(keys, np.full_like(targets, k)) for k in range(lm.CLASSES)]
-        np.testing.assert_allclose((10 ** np.array(each)).sum(0), 1, rtol=1e-4)
-        grad, loss = net.gradient(keys, targets), lambda: -(net.log_probs(keys, np.where(at >= 0, targets, 0))[at >= 0]).mean() * np.log(10)
-        for k in rng.integers(0, net.SIZE, 12):
-            was, eps = net.flat[k], np.float32(2e-2)
-            net.flat[k] = was + eps
-            up = loss()
-            net.flat[k] = was - eps
-            down = loss()
-            net.flat[k] = was
-            assert (up - down) / (2 * eps) == pytest.approx(grad[k], abs=2e-3)
-
-    def test_causal(self):
-        net, classes = lm.Attention(), np.arange(60) % lm.CLASSES
-        keys, targets, at = lm.windows(classes, np.array([60]))
-        before = net.log_probs(keys, np.where(at >= 0, targets, 0))
-        classes[50:] = 7
-        keys, _, _ = lm.windows(classes, np.array([60]))
-        after = net.log_probs(keys, np.where(at >= 0, targets, 0))
-        np.testing.assert_allclose(before[(at >= 0) & (at <= 50)], after[(at >= 0) & (at <= 50)])
-
-    def test_trains_on_whole_texts(self, spark):
-        text = "the red of blue in green " * 80
-        model, _ = lm.train(docs(spark, [(i, text, "a") for i in range(200)]).coalesce(1), lm.vocabulary_path())
-        words = lm.Vocabulary(model.classes, model.hot, model.documents, model.path)
-        classes, _, _ = words.spelled(words.places([lm.words_of(text)]))
-        keys, targets, at = lm.windows(classes, np.array([len(classes)]))
-        got = lm.Attention(model.attention).log_probs(keys, np.where(at >= 0, targets, 0))[at >= 0]
-        assert got.mean() > -0.1
-
-    def test_context_of_later_windows(self):
-        keys, _, at = lm.windows(np.arange(200) % lm.SINGLE, np.array([200]))
-        assert keys.shape[0] > 2 and (at[:-1] >= 0).sum(1).min() >= 32
-        assert (keys[1:-1, : lm.CONTEXT + 1] != lm.PAD).sum(1).min() >= 17
+    def net(self, symbols=40):
+        tree = lm.Tree.of(np.arange(symbols) ** 2.0)
+        net, rng = lm.Net(lm.WORD, tree), np.random.default_rng(1)
+        for n in ("u", "b", "r"):
+            net.p[n][:] = rng.normal(0, 0.5, net.p[n].shape)
+        return net, rng
+
+    def test_tree_is_a_code(self):
+        tree = lm.Tree.of(np.array([0, 5, 1, 900, 3, 3]))
+        assert (0.5**tree.length).sum() == 1 and tree.length[3] == 1 and tree.length[0] == tree.length.max()
+
+    def test_probabilities_sum_to_one(self):
+        net, rng = self.net()
+        a, b, sizes = rng.integers(0, 30, 25), rng.integers(0, 8, 25), np.array([9, 0, 1, 15])
+        each = [net.run(a, b, sizes, np.full(25, k))[0] for k in range(40)]
+        np.testing.assert_allclose(np.exp(each).sum(0), 1, rtol=1e-4)
+
+    def test_gradient(self):
+        net, rng = self.net()
+        a, b, sizes, y, weight = rng.integers(0, 30, 25), rng.integers(0, 8, 25), np.array([9, 0, 1, 15]), rng.integers(0, 40, 25), rng.integers(1, 5, 25).astype(np.float32)
+        flat = np.concatenate([net.p[k].ravel() for k in net.shapes]).astype(float)
+        grad = net.run(a, b, sizes, y, weight)[1]
+        loss = lambda f: -(lm.Net(lm.WORD, net.tree, f).run(a, b, sizes, y)[0] * weight).sum()
+        for k in [*np.argsort(-np.abs(grad))[:12], *rng.choice(np.flatnonzero(grad), 12)]:
+            step = np.zeros(len(flat))
+            step[k] = 2e-2
+            assert (loss(flat + step) - loss(flat - step)) / 4e-2 == pytest.approx(grad[k], abs=2e-2, rel=2e-2)
+
+    def test_windows_score_each_place_once_and_causally(self):
+        net, rng = self.net()
+        a, b, y = rng.integers(0, 30, 50), rng.integers(0, 8, 50), rng.integers(0, 40, 50)
+        at, inside = lm.places(np.array([30, 0, 20]), 4, 12)
+        assert sorted(at[:, 12:][inside[:, 12:]]) == list(range(50))
+        before = net.run(a, b, np.array([30, 20]), y)[0]
+        a[40:] = 7
+        after = net.run(a, b, np.array([30, 20]), y)[0]
+        np.testing.assert_allclose(before[:40], after[:40], rtol=1e-6)
+
+    def slow(self, net, a, b, y):
+        """ln p of each symbol of one sequence, place by place."""
+        p, level, out = {k: v.astype(float) for k, v in net.p.items()}, net.level, []
+        x = p["e"][a] + p["f"][b]
+        for t in range(len(y)):
+            start = max(0, t // level.scored * level.scored - level.context)
+            z = np.array([x[t] @ p["q"] @ (x[j] @ p["k"]) / level.width**0.5 + p["r"][t - j] for j in range(start, t + 1)])
+            w = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            h = sum(w[j - start] * (x[j] @ p["v"]) for j in range(start, t + 1)) + x[t] @ p["o"]
+            way = slice(net.tree.first[y[t]], net.tree.first[y[t]] + net.tree.length[y[t]])
+            total = 0.0
+            for branch, turn in zip(net.tree.branch[way], net.tree.turn[way], strict=True):
+                own = h @ p["u"][branch] + p["b"][branch] if branch < lm.BRANCHES else 0.0
+                total -= np.log1p(np.exp(-turn * (own + net.tree.odds[branch])))
+            out.append(total)
+        return out
+
+    def test_scores_against_a_slow_version_and_other_partitions(self, spark, monkeypatch):
+        monkeypatch.setattr(lm, "STEPS", 3)
+        rng, kept = random.Random(9), {}
+        rows = [(i, " ".join(rng.choice(WORDS) + rng.choice(WORDS) * rng.randrange(9) for _ in range(rng.randrange(70))), "a") for i in range(60)] + [(60, "x" * 3000 + " nbsp\u00a0inside \u2003", "a")]
+        real = lm.train
+        monkeypatch.setattr(lm, "train", lambda ids, path: kept.setdefault("model", real(ids, path)) if "model" not in kept else real(ids, path))
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs(spark, rows).repartition(1), lm.vocabulary_path()).collect()}
+        again = {r["doc_id"]: r["score"] for r in lm.score_documents(docs(spark, rows).repartition(6), lm.vocabulary_path()).collect()}
+        assert again == pytest.approx(got, rel=1e-4)
+        model = kept["model"][0]
+        texts, words = model.nets()
+        enc, size = lm.encoding(lm.vocabulary_path())[0], len(model.classes)
+        for i, text, _ in rows[:12] + rows[-1:]:
+            ids = [enc.encode_ordinary(" " + w.decode()) for w in lm.words_of(text)]
+            a, b = [[lm.CLASSES, *(model.classes[w[k]] for w in ids)] for k in (0, -1)]
+            want = sum(self.slow(texts, np.array(a), np.array(b), [*(w[0] for w in ids), size]))
+            for w in ids:
+                want += sum(self.slow(words, model.classes[np.array(w)], np.minimum(np.arange(len(w)), 8), [*w[1:], size]))
+            assert got[i] == pytest.approx(want / np.log(10), rel=1e-3)
+
+    def test_better_than_frequencies_on_held_out_texts(self, spark, data):
+        docs_ = spark.read.parquet(f"{data}/documents.parquet")
+        ids = lm.tokenised(docs_, lm.vocabulary_path())
+        model, words = lm.train(ids, lm.vocabulary_path())
+        held = ids.where("share = -1").select("ids").toArrow().combine_chunks().column(0).combine_chunks()
+        t = lm.Texts.of(held, lm.encoding(model.path)[1])
+        a, b, sizes, first = model.text_inputs(t)
+        c, d, follow = model.word_inputs(t.flat, t.length)
+        per_word = lambda nets: (nets[0].run(a, b, sizes, first)[0].sum() + nets[1].run(c, d, t.length, follow)[0].sum()) / len(first) / np.log(10)
+        assert per_word(model.nets()) > per_word((lm.Net(lm.TEXT, model.trees[0]), lm.Net(lm.WORD, model.trees[1]))) + 0.5
+
+    def test_cut_together_is_cut_one_by_one(self):
+        spelling, rng = lm.Spelling(lm.vocabulary_path()), random.Random(10)
+        pool = [*"abcXYZ019'.,!?", "é", "中", "'s", "'LL", "\u00a0", "\u2003", "😀"]
+        words = sorted({"".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))).lower().encode() for _ in range(3000)})
+        flat, count = spelling.ids([words[:1500], [], words[1500:]])
+        want = [i for w in words for i in spelling.encoding.encode_ordinary(" " + w.decode())]
+        assert flat.tolist() == want and count.sum() == len(want) and count[1] == 0
 
     def test_odd_rows(self, odd, none):
         got = lm.score_documents(odd, lm.vocabulary_path())
