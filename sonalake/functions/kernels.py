@@ -37,37 +37,105 @@ def spectral_moments(x: np.ndarray, rate: float) -> dict[str, float]:
     return {"centroid": centre.mean(), "bandwidth": width.mean(), "rolloff": roll.mean(), "flatness": flat.mean()}
 
 
-def mel_filters(rate: float, bands: int = 20) -> np.ndarray:
+def mel_filters(rate: float, bands: int = 20, size: int = FRAME) -> np.ndarray:
     mel = lambda hz: 2595 * np.log10(1 + hz / 700)
     edges = 700 * (10 ** (np.linspace(mel(0), mel(rate / 2), bands + 2) / 2595) - 1)
-    f = np.fft.rfftfreq(FRAME, 1 / rate)
+    f = np.fft.rfftfreq(size, 1 / rate)
     up, down = (f - edges[:-2, None]) / np.diff(edges)[:-1, None], (edges[2:, None] - f) / np.diff(edges)[1:, None]
     return np.maximum(0, np.minimum(up, down))
 
 
-def mfcc(x: np.ndarray, rate: float, count: int = 13) -> np.ndarray:
-    """Frames by coefficients: orthonormal cosine transform of log mel energies."""
-    energies = np.log(power(x) @ mel_filters(rate).T + 1e-10)
-    bands = energies.shape[1]
+def cosines(bands: int, count: int) -> np.ndarray:
+    """The first rows of the orthonormal cosine transform."""
     basis = np.cos(np.pi / bands * (np.arange(bands) + 0.5)[None, :] * np.arange(count)[:, None]) * np.sqrt(2 / bands)
     basis[0] /= np.sqrt(2)
-    return energies @ basis.T
+    return basis
 
 
-def yin(x: np.ndarray, rate: float, lowest: float, highest: float, limit: float = 0.1) -> np.ndarray:
-    """Pitch of each frame: the first dip of the normalised difference function under the limit, or its least."""
-    lo, hi = max(1, int(rate / highest)), min(FRAME // 2, int(rate / lowest))
-    found = []
-    for frame in frames(x):
-        d = np.array([0.0, *(((frame[: FRAME // 2] - frame[t : t + FRAME // 2]) ** 2).sum() for t in range(1, hi + 1))])
-        c = np.ones_like(d)
-        c[1:] = d[1:] * np.arange(1, hi + 1) / np.maximum(np.cumsum(d[1:]), 1e-12)
-        under = np.flatnonzero(c[lo:] < limit)
-        t = lo + (under[0] if len(under) else int(c[lo:].argmin()))
-        while t + 1 <= hi and c[t + 1] < c[t]:
-            t += 1
-        found.append(rate / t)
-    return np.array(found)
+def mfcc(x: np.ndarray, rate: float, count: int = 13) -> np.ndarray:
+    """Frames by coefficients: orthonormal cosine transform of log mel energies."""
+    energies = np.log(power(x) @ mel_filters(rate).T + 1e-10)
+    return energies @ cosines(energies.shape[1], count).T
+
+
+def yin(x: np.ndarray, rate: float, lowest: float, highest: float, limit: float = 0.1, size: int = FRAME, hop: int = HOP) -> np.ndarray:
+    """Pitch of each frame: the first dip of the normalised difference function under the limit, or its least; lag by lag for all frames."""
+    half = size // 2
+    lo, hi = max(1, int(rate / highest)), min(half, int(rate / lowest))
+    f = frames(x, size, hop)
+    d = np.zeros((len(f), hi + 1))
+    for t in range(1, hi + 1):
+        d[:, t] = ((f[:, :half] - f[:, t : t + half]) ** 2).sum(1)
+    c = np.ones_like(d)
+    c[:, 1:] = d[:, 1:] * np.arange(1, hi + 1) / np.maximum(np.cumsum(d[:, 1:], 1), 1e-12)
+    under = c[:, lo:] < limit
+    t = lo + np.where(under.any(1), under.argmax(1), c[:, lo:].argmin(1))
+    row = np.arange(len(f))
+    while (falls := (t < hi) & (c[row, np.minimum(t + 1, hi)] < c[row, t])).any():
+        t = t + falls
+    return rate / t
+
+
+def finite_stats(name: str, values: np.ndarray) -> dict[str, float | None]:
+    """Mean, population deviation, least and largest of the finite values; null if there is none."""
+    v = np.asarray(values, float)
+    v = v[np.isfinite(v)]
+    made = (v.mean(), v.std(), v.min(), v.max()) if len(v) else (None,) * 4
+    return {f"{name}_{s}": m if m is None else float(m) for s, m in zip(("mean", "std", "min", "max"), made, strict=True)}
+
+
+def slopes(rows: np.ndarray, width: int = 9) -> np.ndarray:
+    """Slope of a line through each frame and its neighbours, along the first axis; at the ends, of the first or last such line."""
+    half = width // 2
+    if len(rows) < width:
+        return np.zeros_like(rows)
+    k = np.arange(-half, half + 1)
+    inner = np.tensordot(np.lib.stride_tricks.sliding_window_view(rows, width, axis=0), k, ([-1], [0])) / (k * k).sum()
+    return np.concatenate([np.repeat(inner[:1], half, 0), inner, np.repeat(inner[-1:], half, 0)])
+
+
+def log_mel(x: np.ndarray, rate: float, size: int = 2048, hop: int = 512, bands: int = 40) -> np.ndarray:
+    """Frames by bands: decibels of mel energies of centred frames."""
+    padded = np.pad(x, size // 2)
+    energy = power(padded, size, hop) @ mel_filters(rate, bands, size).T
+    return 10 * np.log10(np.maximum(energy, 1e-10))
+
+
+#: The 84 acoustic columns, by family.
+ACOUSTIC = [
+    *(f"ac_time_{n}" for n in ("energy", "abs_mean", "peak", "crest_factor")),
+    *(f"ac_{n}_{s}" for n in ("rms", "zcr", "spec_centroid", "spec_bandwidth", "spec_rolloff", "spec_flatness", "f0") for s in ("mean", "std", "min", "max")),
+    *(f"ac_mfcc{k}_{s}" for k in range(1, 14) for s in ("mean", "std", "delta_mean", "delta_std")),
+]
+
+
+def acoustic(x: np.ndarray, rate: float, size: int = 2048, hop: int = 512, lowest: float = 65.406, highest: float = 2093.005) -> dict[str, float | None]:
+    """All of ACOUSTIC for one signal: centred frames, pitch from C2 to C7 as far as the frame allows."""
+    peak, energy = float(np.abs(x).max()), float((x * x).mean())
+    out: dict[str, float | None] = {"ac_time_energy": energy, "ac_time_abs_mean": float(np.abs(x).mean()), "ac_time_peak": peak, "ac_time_crest_factor": peak / (energy**0.5 + 1e-12)}
+    own = frames(np.pad(x, size // 2), size, hop)
+    signs = np.signbit(frames(np.pad(x, size // 2, mode="edge"), size, hop))
+    s = np.abs(np.fft.rfft(own * np.hanning(size + 1)[:-1], axis=1))
+    f = np.fft.rfftfreq(size, 1 / rate)
+    total = s.sum(1)
+    share = s / np.where(total > 0, total, 1)[:, None]
+    centre = share @ f
+    p = np.maximum(s * s, 1e-10)
+    out |= finite_stats("ac_rms", np.sqrt((own * own).mean(1)))
+    out |= finite_stats("ac_zcr", (signs[:, 1:] != signs[:, :-1]).sum(1) / size)
+    out |= finite_stats("ac_spec_centroid", centre)
+    out |= finite_stats("ac_spec_bandwidth", np.sqrt((share * (f - centre[:, None]) ** 2).sum(1)))
+    out |= finite_stats("ac_spec_rolloff", f[(np.cumsum(s, 1) >= 0.85 * total[:, None]).argmax(1)])
+    out |= finite_stats("ac_spec_flatness", np.exp(np.log(p).mean(1)) / p.mean(1))
+    lowest = max(lowest, rate / (size // 2))
+    out |= finite_stats("ac_f0", yin(x, rate, lowest, min(highest, rate / 4), size=size, hop=hop) if highest > lowest else np.zeros(0))
+    mel = log_mel(x, rate, size, hop)
+    basis = cosines(mel.shape[1], 13)
+    c = mel @ basis.T
+    d = slopes(c)
+    for k in range(13):
+        out |= {f"ac_mfcc{k + 1}_{n}": float(v) for n, v in (("mean", c[:, k].mean()), ("std", c[:, k].std()), ("delta_mean", d[:, k].mean()), ("delta_std", d[:, k].std()))}
+    return out
 
 
 def _matches(x: np.ndarray, m: int, r: float, cells: int = 4_000_000) -> np.ndarray:
@@ -140,3 +208,40 @@ def extracted(s: DataFrame, rate: float) -> DataFrame:
     kind = s.schema["key"].dataType.simpleString()
     schema = f"key {kind}, status string, error string, " + ", ".join(f"{n} double" for n in names)
     return s.select("key", "i", F.col("x").cast("double").alias("x")).groupBy("key").applyInPandas(one, schema)
+
+
+def fluctuation(x: np.ndarray, scales: list[int], qs: list[float], order: int = 1) -> np.ndarray:
+    """F_q(s), scales by q, of one signal's profile with polynomials of any order taken out of its segments, from both ends; NaN where none fits."""
+    y = np.cumsum(x - x.mean())
+    out = np.full((len(scales), len(qs)), np.nan)
+    for i, s in enumerate(scales):
+        if s <= order + 1 or len(y) < 2 * s:
+            continue
+        whole = len(y) // s * s
+        parts = [y[:whole].reshape(-1, s)] + ([y[len(y) - whole :].reshape(-1, s)] if whole < len(y) else [])
+        base = np.linalg.qr(np.vander(np.linspace(-1, 1, s), order + 1))[0]
+        rows = np.concatenate(parts)
+        f2 = ((rows - rows @ base @ base.T) ** 2).mean(1)
+        f2 = f2[f2 > 0]
+        if len(f2):
+            out[i] = [np.exp(0.5 * np.log(f2).mean()) if q == 0 else (f2 ** (q / 2)).mean() ** (1 / q) for q in qs]
+    return out
+
+
+def acoustic_extracted(s: DataFrame, rate: float, size: int = 2048, hop: int = 512) -> DataFrame:
+    """key, acoustic_status, acoustic_error and the 84 columns of ACOUSTIC of each series(key, i, x): ok, empty_signal or failed."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("i")["x"].to_numpy(float)
+        x = x[np.isfinite(x)]
+        row: dict[str, object] = {"key": key[0], "acoustic_status": "ok" if len(x) else "empty_signal", "acoustic_error": None} | dict.fromkeys(ACOUSTIC)
+        if len(x):
+            try:
+                row |= acoustic(x, rate, size, hop)
+            except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
+                row |= {"acoustic_status": "failed", "acoustic_error": str(e)}
+        return pd.DataFrame([row])
+
+    kind = s.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, acoustic_status string, acoustic_error string, " + ", ".join(f"{n} double" for n in ACOUSTIC)
+    return s.select("key", "i", F.col("x").cast("double").alias("x")).groupBy("key").applyInPandas(one, schema)

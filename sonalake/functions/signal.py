@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -83,6 +83,11 @@ def int16(s: DataFrame) -> DataFrame:
     return n.withColumn("pcm", F.least(F.lit(32767), F.greatest(F.lit(-32768), (F.col("x") * 32767).cast("int"))).cast("short"))
 
 
+def decimation_step(rate: Column, target: int = 8000) -> Column:
+    """Points to go on for each one kept: the largest whole ratio of the rates, one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(rate / target))
+
+
 def decimated(s: DataFrame, step: int) -> DataFrame:
     """Every step-th point, renumbered."""
     return s.where(F.col("i") % step == 0).withColumn("i", (F.col("i") / step).cast("long"))

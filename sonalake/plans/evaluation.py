@@ -121,6 +121,57 @@ def numeric(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", (F.col("vec_id") % 60).alias("speaker"), (F.col("label") < 5).cast("int").alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"ft_{i}") for i in range(width)))
 
 
+def narrow(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight components with the class as text and a token, for drivers that fit many models."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", (F.col("vec_id") % 60).alias("speaker"), (F.col("vec_id") % 3).cast("string").alias("token"), (F.col("label") < 5).cast("int").alias("y01"),
+                    F.concat(F.lit("class"), F.col("label") % 3).alias("kind"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"ft_{i}") for i in range(8)))
+
+
+@query()
+def multiclass_cv(spark, d):
+    from .models import cross_validated, indexed, logistic
+
+    rows, _ = indexed(narrow(spark, d).where("kind <> 'class0'"), "kind")
+    return cross_validated(rows, "vec_id", "speaker", "class_number", "ft_", logistic())
+
+
+@query()
+def speaker_cv(spark, d):
+    from .models import by_group, fold_metrics, logistic, out_of_fold
+
+    guesses = out_of_fold(narrow(spark, d), "speaker", "y01", [f"ft_{i}" for i in range(8)], logistic(), tuned=THRESHOLDS)
+    return fold_metrics(by_group(guesses, "speaker", 2), 3)
+
+
+@query()
+def token_ensemble_cv(spark, d):
+    from .models import fold_metrics, logistic, token_ensemble
+
+    return fold_metrics(token_ensemble(narrow(spark, d), "speaker", "y01", "token", "ft_", logistic(), folds=2), 2)
+
+
+@query()
+def ablation_cv(spark, d):
+    from .models import ablation, logistic
+
+    return ablation(narrow(spark, d), "speaker", "y01", {"all": [f"ft_{i}" for i in range(8)], "half": [f"ft_{i}" for i in range(4)]}, {"logreg": logistic()}, 2)
+
+
+@query()
+def per_disease_cv(spark, d):
+    from .models import logistic, per_class
+
+    return per_class(narrow(spark, d), "speaker", "kind", "class0", "ft_", logistic(), "vec_id", folds=2)
+
+
+@query()
+def grid_search(spark, d):
+    from .models import grid_searched, logistic
+
+    return grid_searched(narrow(spark, d), "speaker", "y01", "ft_", logistic(), {"regParam": [0.01, 0.1]}, 2)
+
+
 @query()
 def logreg_cv(spark, d):
     from .models import cross_validated, logistic

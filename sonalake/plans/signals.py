@@ -158,3 +158,17 @@ def spectral_features(spark, d):
 @query()
 def embedding_features(spark, d):
     return kernels.extracted(signal.exploded(table(spark, d, "embeddings"), "vec_id", "embedding"), 1000.0).select("key", "status", "centroid", "mfcc1_mean", "f0_mean")
+
+
+@query()
+def acoustic_features(spark, d):
+    """The 84 acoustic columns of each series, in short frames; tested against direct sums."""
+    return kernels.acoustic_extracted(series(spark, d), 1000.0, 256, 64)
+
+
+@query(f"WITH {S}, n AS (SELECT key, count(*) AS n FROM s GROUP BY key) SELECT key, greatest(1, n // 500) AS step, (n + greatest(1, n // 500) - 1) // greatest(1, n // 500) AS left_over FROM n")
+def decimation_step(spark, d):
+    """The step that leaves about 500 points, by the rule of rates: the largest whole ratio, one at least."""
+    s = series(spark, d)
+    n = s.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("step", signal.decimation_step(F.col("n"), 500))
+    return signal.joined(s, n.select("key", "step")).where(F.col("i") % F.col("step") == 0).groupBy("key").agg(F.max("step").alias("step"), F.count(F.lit(1)).alias("left_over"))
