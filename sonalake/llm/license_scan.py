@@ -3,12 +3,14 @@
 Templates are grouped by size, in steps of a quarter. For each group a document
 is cut into windows of one and a half times that size, so that every place where
 a template may stand lies wholly in some window. Windows and templates that
-agree in one band of their MinHash signatures are candidates; the exact
-containment of the template's shingles in the window then decides.
-
-A window that contains a template has similarity s of 0.53 or more with it, one
-that has the least PERCENT of it 0.4 or more. They agree in a band with
-probability 1 - (1 - s**ROWS)**BANDS: over 0.9998 and 0.99.
+agree in one band of their MinHash signatures are candidates. In the stretches
+that candidate windows cover, copies are told apart by the order of their
+shingles, and the exact containment of the template's shingles decides.
+
+A group's size is up to 1.25 times a template's, so a window has at most 1.875
+shingles for each of the template's: one that contains it has similarity 0.53 or
+more with it, one that has the least PERCENT of it 0.385 or more. They agree in a
+band with probability 1 - (1 - s**ROWS)**BANDS: over 0.99997 and 0.993.
 """
 
 from __future__ import annotations
@@ -24,29 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, mix64
+from .license_texts import TEMPLATES
 
-#: The templates, as plain text.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "Apache-2.0-notice": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
-        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
-    ),
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
-    ),
-}
 #: Words of a shingle, bands and values in each, containment that is a match.
-SHINGLE, BANDS, ROWS, PERCENT = 3, 12, 1, 80
+SHINGLE, BANDS, ROWS, PERCENT = 3, 32, 2, 80
 #: Ratio of the sizes of neighbouring groups.
 STEP = 1.25
+#: Shingles that a copy may go back in its template's order before it counts as the next copy.
+BACK = 8
 SEED, CACHE_WORDS = 77, 500_000
 PATTERN = "[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*"
 WORD, PLACES = re.compile(PATTERN.encode()), re.compile(PATTERN)
@@ -80,9 +67,52 @@ def shingles(words: np.ndarray) -> np.ndarray:
 @dataclass
 class Template:
     name: str
+    order: np.ndarray
     shingles: np.ndarray
     bands: np.ndarray
 
+    def copies(self, marks: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first, last, containment) of the copies among the places `at` of marks that have one of the template's shingles.
+
+        A copy ends where the template's order starts again, or after half a
+        template of other text. If no such run has enough of the template but
+        all within one template's length together do, they are a match whatever
+        their order.
+        """
+        offsets: dict[int, list[int]] = {}
+        for k, mark in enumerate(self.order.tolist()):
+            offsets.setdefault(mark, []).append(k)
+        size, need, runs = len(self.shingles), PERCENT * len(self.shingles), []
+        reach, last, seen, start, end = len(self.order) // 2 + SHINGLE, -1, set(), -1, -1
+        for i in at.tolist():
+            mark = int(marks[i])
+            ahead = [k for k in offsets[mark] if k > last - BACK]
+            if seen and (not ahead or i - end > reach or (mark in seen and len(offsets[mark]) == 1)):
+                runs.append((start, end, seen))
+                seen, last, ahead = set(), -1, offsets[mark]
+            if not seen:
+                start = i
+            last, end = max(last, min(ahead, key=lambda k: abs(k - last - 1))), i
+            seen.add(mark)
+        if seen:
+            runs.append((start, end, seen))
+        found = [(a, b, len(s) / size) for a, b, s in runs if 100 * len(s) >= need]
+        if not found and len(runs) > 1:
+            limit, k, counts = len(self.order) * 3 // 2, 0, {}
+            places = at.tolist()
+            for j, i in enumerate(places):
+                counts[int(marks[i])] = counts.get(int(marks[i]), 0) + 1
+                while i - places[k] >= limit:
+                    m = int(marks[places[k]])
+                    counts[m] -= 1
+                    if not counts[m]:
+                        del counts[m]
+                    k += 1
+                if 100 * len(counts) >= need:
+                    found.append((places[k], i, len(counts) / size))
+                    k, counts = j + 1, {}
+        return found
+
 
 def salts() -> np.ndarray:
     return mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(SEED))
@@ -101,62 +131,71 @@ class Scanner:
     """Templates by size: those of one size share their windows."""
 
     def __init__(self, templates: dict[str, str]):
-        self.hashes, self.groups, tell = Hashes(), {}, []
+        self.hashes, self.groups = Hashes(), {}
+        tell: dict[int, list[np.ndarray]] = {}
         for name, text in sorted(templates.items()):
-            marks = np.unique(shingles(self.hashes.of(words_in(text))))
+            order = shingles(self.hashes.of(words_in(text)))
+            marks = np.unique(order)
             if len(marks):
-                minima = np.array([mix64(marks ^ s).min() for s in salts()])
-                tell += [marks[mix64(marks ^ s).argmin()] for s in salts()]
-                self.groups.setdefault(math.ceil(STEP ** math.ceil(math.log(len(marks), STEP) - 1e-9)), []).append(Template(name, marks, band_keys(minima)))
-        self.tell = np.unique(np.array(tell, np.uint64))
+                least = np.array([marks[mix64(marks ^ s).argmin()] for s in salts()])
+                minima = mix64(least ^ salts())
+                size = math.ceil(STEP ** math.ceil(math.log(len(marks), STEP) - 1e-9))
+                self.groups.setdefault(size, []).append(Template(name, order, marks, band_keys(minima)))
+                tell.setdefault(size, []).append(least)
+        self.tell = {size: np.unique(np.concatenate(x)) for size, x in tell.items()}
+        self.any = np.unique(np.concatenate([*self.tell.values(), np.zeros(0, np.uint64)]))
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(template, start, end, containment) of each match, the best of overlapping windows; places in code points."""
+        """(template, start, end, containment) of each match; places in code points."""
         marks = shingles(self.hashes.of(words_in(text)))
-        # A band can only agree where a template's least shingle is: texts without any need no signatures.
-        if not len(marks) or not len(self.tell) or not np.any(self.tell[np.minimum(np.searchsorted(self.tell, marks), len(self.tell) - 1)] == marks):
+        # A band can only agree where a template's least shingles are: windows without any need no signature.
+        if not among(marks, self.any).any():
             return []
         found, places = [], []
         for size, templates in self.groups.items():
+            told = np.flatnonzero(among(marks, self.tell[size]))
+            if not len(told):
+                continue
             step = -(-size // 2)
             starts = np.arange(0, max(1, len(marks) - step), step)
-            minima = np.stack([window_minima(mix64(marks ^ s), starts, size + step) for s in salts()], 1)
-            keys = band_keys(minima)
+            first = np.maximum(0, -(-(told - size - step + 1) // step))
+            last = np.minimum(len(starts) - 1, told // step)
+            live = np.unique(np.concatenate([np.minimum(first + k, last) for k in range(int((last - first).max()) + 1)]))
+            keys = band_keys(np.stack([window_minima(mix64(marks ^ s), starts[live], size + step) for s in salts()], 1))
             for t in templates:
-                hits = np.flatnonzero((keys == t.bands).any(1))
-                best: list[tuple[float, int, int]] = []
-                for k in hits:
-                    part = marks[starts[k] : starts[k] + size + step]
-                    at = np.flatnonzero(np.isin(part, t.shingles))
-                    share = len(np.unique(part[at])) / len(t.shingles)
-                    if share * 100 >= PERCENT:
-                        best.append((share, starts[k] + at[0], starts[k] + at[-1]))
-                for share, i, j in distinct(best):
-                    places = places or [m.span() for m in PLACES.finditer(text)]
-                    found.append((t.name, places[i][0], places[j + SHINGLE - 1][1], share))
+                hits = live[(keys == t.bands).any(1)]
+                if not len(hits):
+                    continue
+                mine = np.flatnonzero(among(marks, t.shingles))
+                for stretch in np.split(hits, np.flatnonzero(np.diff(hits) > 3) + 1):
+                    inside = mine[np.searchsorted(mine, starts[stretch[0]]) : np.searchsorted(mine, starts[stretch[-1]] + size + step)]
+                    for i, j, share in t.copies(marks, inside):
+                        places = places or [m.span() for m in PLACES.finditer(text)]
+                        found.append((t.name, places[i][0], places[j + SHINGLE - 1][1], share))
         return sorted(found, key=lambda f: (f[1], f[0], f[2]))
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones."""
+    if not len(values) or not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def window_minima(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Least value in each window, the last ones cut off at the end."""
     padded = np.concatenate([values, np.full(size, np.iinfo(np.uint64).max, np.uint64)])
-    return np.lib.stride_tricks.sliding_window_view(padded, size)[starts].min(1)
-
-
-def distinct(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
-    """Of matches that overlap, the one with the largest share, then the first."""
-    kept: list[tuple[float, int, int]] = []
-    for share, i, j in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-        if all(j < a or i > b for _, a, b in kept):
-            kept.append((share, i, j))
-    return kept
+    view = np.lib.stride_tricks.sliding_window_view(padded, size)
+    return np.concatenate([view[starts[i : i + 4096]].min(1) for i in range(0, len(starts), 4096)])
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, template, start, end, containment: a row for each match in documents(doc_id, text).
 
     Places are code points, end exclusive. Null and empty texts match nothing;
-    rows that repeat a doc_id are scanned apart. Templates of fewer words than a
+    rows that repeat a doc_id are scanned apart, texts whole, however long, and
+    other columns don't matter. Every copy of a template in a text is a match; a
+    template that stands in a longer one matches there too. Templates of fewer words than a
     shingle can't be found and are ignored.
     """
     chosen = TEMPLATES if templates is None else templates
@@ -185,6 +224,7 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each match of a template in a document, containment rounded to six digits."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scan_licenses(documents)
     return found.select("doc_id", "template", "start", "end", F.round("containment", 6).alias("containment"))

@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,10 +222,10 @@ def counted(ids: DataFrame, path: str) -> DataFrame:
 
 @dataclass
 class Tree:
-    """A Huffman tree over symbols: branches and turns (1 or -1) on the way to each, and the log-odds of each branch's frequencies.
+    """A Huffman tree over symbols: for each branch on the way to each, its weights' row, the turn (1 or -1) and the log-odds by frequency.
 
     Branches are numbered from the one with the most symbols below it; from
-    BRANCHES on they have no weights.
+    BRANCHES on they have no weights and share the last row, of zeros.
     """
 
     first: np.ndarray
@@ -259,7 +260,8 @@ class Tree:
         way, turn = np.stack(ways, 1), np.stack(turns, 1)
         used = way >= 0
         length = used.sum(1)
-        return cls(np.cumsum(length) - length, length, way[used], turn[used], np.log(up / down))
+        odds = np.log(up / down).astype(np.float32)[way[used]]
+        return cls(np.cumsum(length) - length, length, np.minimum(way[used], BRANCHES).astype(np.uint16), turn[used].astype(np.int8), odds)
 
 
 def places(lengths: np.ndarray, scored: int, context: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,8 +293,7 @@ class Net:
         """For all branches on the ways to the symbols: the symbol's place, weight row, turn, fixed log-odds."""
         length = self.tree.length[symbols]
         at = spread(self.tree.first[symbols], length)
-        branch = self.tree.branch[at]
-        return np.repeat(np.arange(len(symbols)), length), np.minimum(branch, BRANCHES), self.tree.turn[at].astype(np.float32), self.tree.odds[branch].astype(np.float32)
+        return np.repeat(np.arange(len(symbols)), length), self.tree.branch[at], self.tree.turn[at].astype(np.float32), self.tree.odds[at]
 
     def run(self, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln probability of each symbol; with weights, the gradient of the weighted sum of -ln p as well."""
@@ -355,19 +356,18 @@ class Net:
 
 @dataclass
 class Model:
-    """All that scoring needs but the counts of rare words."""
+    """All that scoring needs but the weights and the counts of words: as large as the vocabulary asks."""
 
     path: str
     classes: np.ndarray
     trees: tuple[Tree, Tree]
-    flats: list[np.ndarray]
-    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
     tokens: int
     distinct: int
     documents: int
 
-    def nets(self) -> tuple[Net, Net]:
-        return Net(TEXT, self.trees[0], self.flats[0]), Net(WORD, self.trees[1], self.flats[1])
+    def nets(self, flats: list[np.ndarray] | None = None) -> tuple[Net, Net]:
+        """Of the two levels, with these weights or those before training."""
+        return tuple(Net(level, self.trees[k], flats[k] if flats else None) for k, level in enumerate((TEXT, WORD)))
 
     def text_inputs(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First and last ids of the word before each word and the end of each text, how many these are, and the first ids to predict."""
@@ -412,13 +412,13 @@ def summed(parts: DataFrame) -> dict[int, tuple[np.ndarray, float, float]]:
     return out
 
 
-def step_gradients(ids: DataFrame, words: DataFrame, model: Model, turn: int) -> dict[int, tuple[np.ndarray, float, float]]:
+def step_gradients(ids: DataFrame, words: DataFrame, model: Model, shared: Broadcast, flats: list[np.ndarray], turn: int) -> dict[int, tuple[np.ndarray, float, float]]:
     """Gradients over the texts of a share, and over a share of the different words, frequent ones in every share."""
-    shared = ids.sparkSession.sparkContext.broadcast(model)
+    weights = ids.sparkSession.sparkContext.broadcast([f.astype(np.float32) for f in flats])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        net, begins = model.nets()[0], encoding(model.path)[1]
+        net, begins = model.nets(weights.value)[0], encoding(model.path)[1]
         grad, loss, weight = np.zeros(net.size), 0.0, 0.0
         for whole in batches:
             for batch in pieces(whole, 0):
@@ -429,7 +429,7 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, turn: int) ->
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        net = model.nets()[1]
+        net = model.nets(weights.value)[1]
         grad, loss, weight = np.zeros(net.size), 0.0, 0.0
         for batch in batches:
             keys = batch.column(0)
@@ -445,7 +445,9 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, turn: int) ->
     mine = words.where((F.col("n") > 0) & (often | (F.pmod(F.xxhash64("key"), F.lit(STEPS)) == turn)))
     mine = mine.select("key", F.when(often, F.col("n") / STEPS).otherwise(F.col("n")).cast("double").alias("times"))
     schema = "level int, chunk int, v binary"
-    return summed(ids.where(F.col("share") == turn).select("ids").mapInArrow(texts, schema).union(mine.mapInArrow(inner, schema)))
+    found = summed(ids.where(F.col("share") == turn).select("ids").mapInArrow(texts, schema).union(mine.mapInArrow(inner, schema)))
+    weights.destroy()
+    return found
 
 
 def unpacked(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -466,8 +468,8 @@ def input_classes(counts: np.ndarray) -> np.ndarray:
     return of
 
 
-def train(ids: DataFrame, path: str) -> tuple[Model, DataFrame]:
-    """The model, and key, n of all words; texts of the held-out fold are read for neither counts nor gradients."""
+def train(ids: DataFrame, path: str) -> tuple[Model, list[np.ndarray], DataFrame]:
+    """The model, the weights of its levels, and key, n of all words; texts of the held-out fold are read for neither counts nor gradients."""
     size = len(encoding(path)[1])
     counts = counted(ids, path)
     words = counts.where(F.col("kind") == WORDS_KIND).select("key", "n")
@@ -479,29 +481,28 @@ def train(ids: DataFrame, path: str) -> tuple[Model, DataFrame]:
     for kind, key, n in zip(*(small.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True):
         (first if kind == FIRST_KIND else after)[int.from_bytes(key, "little")] += n
     first[size] += docs
-    none = np.zeros(0, np.int64)
-    model = Model(path, input_classes((first + after)[:size]), (Tree.of(first), Tree.of(after)), [], (none, none, none.astype(float)), tokens, distinct, docs)
-    nets = [Net(TEXT, model.trees[0]), Net(WORD, model.trees[1])]
-    model.flats = [np.concatenate([n.p[k].ravel() for k in n.shapes]).astype(float) for n in nets]
+    model = Model(path, input_classes((first + after)[:size]), (Tree.of(first), Tree.of(after)), tokens, distinct, docs)
+    nets, shared = model.nets(), ids.sparkSession.sparkContext.broadcast(model)
+    flats = [np.concatenate([n.p[k].ravel() for k in n.shapes]).astype(float) for n in nets]
     moments = [[np.zeros(n.size), np.zeros(n.size)] for n in nets]
     for turn in range(STEPS if tokens else 0):
-        for level, (grad, _, weight) in step_gradients(ids, words, model, turn).items():
+        for level, (grad, _, weight) in step_gradients(ids, words, model, shared, flats, turn).items():
             if weight:
                 grad, (m, v) = grad / weight, moments[level]
                 m += 0.2 * (grad - m)
                 v += 0.1 * (grad**2 - v)
                 rate = RATE * (1 - turn / (2 * STEPS))
-                model.flats[level] = model.flats[level] - rate * (m / (1 - 0.8 ** (turn + 1))) / (np.sqrt(v / (1 - 0.9 ** (turn + 1))) + 1e-5)
-    return model, words
+                flats[level] = flats[level] - rate * (m / (1 - 0.8 ** (turn + 1))) / (np.sqrt(v / (1 - 0.9 ** (turn + 1))) + 1e-5)
+    return model, flats, words
 
 
-def scored_words(words: DataFrame, model: Model) -> DataFrame:
+def scored_words(words: DataFrame, model: Model, flats: list[np.ndarray]) -> DataFrame:
     """hash, n, inner: of each different word, the log10 probability of its ids after the first and of its stop."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+    shared = words.sparkSession.sparkContext.broadcast((model, flats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        net = model.nets()[1]
+        model, flats = shared.value
+        net = model.nets(flats)[1]
         for batch in batches:
             flat, length = unpacked(batch.column(0))
             if not len(flat):
@@ -515,14 +516,13 @@ def scored_words(words: DataFrame, model: Model) -> DataFrame:
     return written(words.mapInArrow(run, "hash long, n long, inner double"), "words")
 
 
-def scored_once(ids: DataFrame, model: Model) -> DataFrame:
+def scored_once(ids: DataFrame, model: Model, flats: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """row, doc_id, share, n_tokens, sums over hot words and ends, and the rare words with their times."""
-    shared = ids.sparkSession.sparkContext.broadcast(model)
+    shared = ids.sparkSession.sparkContext.broadcast((model, flats, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        net, begins = model.nets()[0], encoding(model.path)[1]
-        keys, counts, inner = model.hot
+        model, flats, (keys, counts, inner) = shared.value
+        net, begins = model.nets(flats)[0], encoding(model.path)[1]
         total = np.log10(model.tokens + model.distinct + 1)
         for whole in batches:
             for batch in pieces(whole, 3):
@@ -560,11 +560,10 @@ def score_documents(documents: DataFrame, path: str) -> DataFrame:
     most HOT of them; the others are looked up by a shuffle of their 63-bit hashes.
     """
     ids = tokenised(documents, path)
-    model, words = train(ids, path)
-    words = scored_words(words, model)
+    model, flats, words = train(ids, path)
+    words = scored_words(words, model, flats)
     hot = words.where(F.col("n") > model.tokens / HOT).toArrow().sort_by("hash")
-    model.hot = tuple(hot.column(c).to_numpy() for c in ("hash", "n", "inner"))
-    rows = scored_once(ids, model)
+    rows = scored_once(ids, model, flats, tuple(hot.column(c).to_numpy() for c in ("hash", "n", "inner")))
     rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("hash"), F.col("w.times").alias("times"))
     found = rare.join(words.where(F.col("n") <= model.tokens / HOT), "hash")
     total = float(np.log10(model.tokens + model.distinct + 1))
