@@ -18,9 +18,37 @@ OVERVIEW_COLUMNS = {
     "Geschlecht": "sex",
     "Pathologien": "pathologies_de",
 }
+#: German class names, in composed Unicode, and their English ones.
+PATHOLOGIES = {
+    "healthy": "healthy",
+    "Morbus Parkinson": "parkinson's disease",
+    "Phonationsknötchen": "vocal fold nodules",
+    "Reinke Ödem": "reinke's edema",
+    "Rekurrensparese": "recurrent laryngeal nerve paralysis",
+    "Spasmodische Dysphonie": "spasmodic dysphonia",
+    "Stimmlippenpolyp": "vocal fold polyp",
+    "Hyperfunktionelle Dysphonie": "hyperfunctional dysphonia",
+    "Funktionelle Dysphonie": "functional dysphonia",
+    "Psychogene Dysphonie": "psychogenic dysphonia",
+    "Hypotone Dysphonie": "hypotonic dysphonia",
+    "Laryngitis": "laryngitis",
+}
 ACCEPTED_TRUE = ("1", "true")
 
 
+def composed(column: Column | str) -> Column:
+    """Text with a, o and u and a combining diaeresis written as one letter, as in PATHOLOGIES."""
+    column = F.col(column) if isinstance(column, str) else column
+    for plain, letter in zip("aouAOU", "äöüÄÖÜ", strict=True):
+        column = F.replace(column, F.lit(plain + "\u0308"), F.lit(letter))
+    return column
+
+
+def english(column: Column | str) -> Column:
+    """A class name in English; one that isn't known stays."""
+    return mapped(composed(column), PATHOLOGIES)
+
+
 def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 

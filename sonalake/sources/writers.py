@@ -42,3 +42,8 @@ def load_bundle(spark: SparkSession, names: list[str], folder: str, options: Map
         return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
     except AnalysisException:
         return None
+
+
+def write_summary(report: DataFrame, path: str) -> None:
+    """A report of few rows as one folder of JSON lines."""
+    report.coalesce(1).write.mode("overwrite").json(path)
