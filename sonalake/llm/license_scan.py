@@ -34,7 +34,7 @@ SHINGLE, BANDS, ROWS, PERCENT = 3, 32, 2, 80
 STEP = 1.25
 #: Shingles that a copy may go back in its template's order before it counts as the next copy.
 BACK = 8
-SEED, CACHE_WORDS = 77, 500_000
+SEED, CACHE_WORDS = 77, 200_000
 PATTERN = "[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*"
 WORD, PLACES = re.compile(PATTERN.encode()), re.compile(PATTERN)
 

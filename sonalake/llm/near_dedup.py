@@ -45,7 +45,7 @@ BUCKET, STEPS = 1.1, 4
 #: Centres of the lists in each round before the last.
 ROUNDS = (range(0, 1), range(1, 9))
 #: Words whose hash a task remembers, members of a centre that share one copy of its set, rows broadcast at most.
-CACHE_WORDS, MEMBERS, ROWS, HOT = 500_000, 64, 200_000, 1024
+CACHE_WORDS, MEMBERS, ROWS, HOT = 200_000, 64, 200_000, 1024
 #: Pairs of a list from which on each is made only under its first key.
 HEAVY = 1024
 

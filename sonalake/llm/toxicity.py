@@ -25,7 +25,7 @@ from .common import crc_mod, map_batches, words_of, written
 BITS, PREFIXES, SAMPLE = 18, (4, 5, 6), 20_000
 FACTORS, EPOCHS, BATCH, RATE, PAIR_RATE, DECAY, SPREAD, SEED = 4, 6, 64, 0.2, 0.1, 1e-3, 0.02, 11
 #: Least value of a term, deviations of its toxic share that give the value 1, words whose terms a task remembers.
-FLOOR, FULL_Z, CACHE_WORDS = 0.05, 10.0, 500_000
+FLOOR, FULL_Z, CACHE_WORDS = 0.05, 10.0, 120_000
 FOLDS = 5
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 

@@ -14,6 +14,7 @@ cascade holds the blocking rules and one the allowing ones.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +35,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 SEEDS = (1, 2)
-#: Bytes of a cascade that are broadcast at most; keys beyond that are looked up by a join.
-FILTER_BYTES = 16_000_000
+#: Bytes of a cascade that are broadcast at most, beyond which keys are dealt into parts; different keys of a part.
+FILTER_BYTES, PART_KEYS = 16_000_000, 500_000
 LEVELS = 60
 
 
@@ -100,19 +101,21 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, ...] = ("h1", "h2")) -> li
 
 def _passing(hashed: DataFrame, bloom: Bloom) -> DataFrame:
     """Rows that a level lets through."""
+    shared = hashed.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(bloom.test(*_columns(batch))))
+            yield batch.filter(pa.array(shared.value.test(*_columns(batch))))
 
     return hashed.mapInArrow(run, hashed.schema)
 
 
 def _filled(hashed: DataFrame, bloom: Bloom) -> Bloom:
     """The level with all keys set: each task fills its own bits, and they meet by OR in blocks."""
+    bits, probes, level = bloom.bits, bloom.probes, bloom.level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bloom(bloom.bits, bloom.probes, bloom.level, np.zeros_like(bloom.words))
+        own = Bloom(bits, probes, level, np.zeros((bits + 63) // 64, np.uint64))
         for batch in batches:
             own.add(*_columns(batch))
         at = np.flatnonzero(own.words)
@@ -210,12 +213,63 @@ def looked_up(urls: DataFrame, cascades: dict[str, Cascade], default: str) -> Da
     return urls.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def joined(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """What looked_up() gives, by a join with the rules, for lists too long to broadcast."""
-    each = urls.withColumn("row", F.monotonically_increasing_id())
-    probes = each.select("row", F.posexplode_outer("probes").alias("pos", "p")).select("row", "pos", F.col("p.key").alias("key"))
-    best = rules.groupBy("key").agg(F.max("verdict").alias("verdict"))  # block after allow
-    hit = probes.join(best, "key").groupBy("row").agg(F.min_by(F.struct("key", "verdict"), "pos").alias("hit"))
+def local_cascade(keys: pa.Array, h1: np.ndarray, h2: np.ndarray, listed: pa.Array) -> Cascade:
+    """A cascade exact on these different keys, in memory, for those of them that are listed."""
+    inside = np.asarray(pc.is_in(keys, value_set=listed))
+    levels: list[Bloom] = []
+    include, against = np.flatnonzero(inside), np.flatnonzero(~inside)
+    while len(include) and len(levels) < LEVELS:
+        rate = min(0.5, len(include) / (math.sqrt(2) * max(1, len(keys)))) if not levels else 0.5
+        bloom = Bloom.sized(len(include), rate, len(levels) + 1)
+        bloom.add(h1[include], h2[include])
+        levels.append(bloom)
+        include, against = against[bloom.test(h1[against], h2[against])], include
+    if len(include):
+        raise RuntimeError("keys can't be told apart by their hashes")
+    return Cascade(levels)
+
+
+def partitioned(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """What looked_up() gives, for lists too long to broadcast: a cascade of its own for each part of the keys by hash.
+
+    A part has about PART_KEYS different keys; its cascades are sent to the
+    tasks that look its probes up, which are dealt further by row, so that no
+    frequent key meets in one task.
+    """
+    each = written(urls.withColumn("row", F.monotonically_increasing_id()), "rows")
+    names = ("block", "allow")
+    probes = each.select("row", F.posexplode("probes").alias("pos", "p")).select("row", "pos", "p.*")
+    keys = written(probes.groupBy("key").agg(*(F.first(f"h{s}").alias(f"h{s}") for s in SEEDS)), "universe")
+    parts = -(-keys.count() // PART_KEYS) or 1
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("key")), F.lit(parts)).alias("part")
+
+    def build(universe: pa.Table, listed: pa.Table) -> pa.Table:
+        if not universe.num_rows:
+            return pa.table({"part": pa.array([], pa.int64()), "cascades": pa.array([], pa.binary())})
+        columns = [universe.column(f"h{s}").to_numpy().view(np.uint64) for s in SEEDS]
+        found = {v: local_cascade(universe.column("key").combine_chunks(), *columns, listed.filter(pc.equal(listed.column("verdict"), v)).column("key").combine_chunks()) for v in names}
+        return pa.table({"part": universe.column("part").slice(0, 1), "cascades": pa.array([pickle.dumps(found)], pa.binary())})
+
+    lists = rules.select("key", "verdict").distinct()
+    cascades = keys.select("*", part).groupBy("part").cogroup(lists.select("*", part).groupBy("part")).applyInArrow(build, "part long, cascades binary")
+    cascades = written(cascades, "cascades")
+    salts = -(-probes.count() // (parts * PART_KEYS)) or 1
+    dealt = probes.select("*", part, F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"))
+    copies = cascades.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+
+    def look(asked: pa.Table, own: pa.Table) -> pa.Table:
+        columns = [asked.column(f"h{s}").to_numpy().view(np.uint64) for s in SEEDS]
+        which = np.full(asked.num_rows, len(names))
+        if own.num_rows:
+            found = pickle.loads(own.column("cascades")[0].as_py())
+            for k, name in reversed(list(enumerate(names))):
+                which[found[name].test(*columns)] = k
+        hits = pa.array(np.flatnonzero(which < len(names)))
+        out = asked.select(["row", "pos", "key"]).take(hits)
+        return out.append_column("verdict", pa.array([names[k] for k in which[which < len(names)]], pa.string()))
+
+    hits = dealt.groupBy("part", "salt").cogroup(copies.groupBy("part", "salt")).applyInArrow(look, "row long, pos int, key string, verdict string")
+    hit = hits.groupBy("row").agg(F.min_by(F.struct("key", "verdict"), "pos").alias("hit"))
     out = each.join(hit, "row", "left")
     return out.select("page_id", "host", "path", F.col("hit.key").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
@@ -228,6 +282,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", limi
     host, and a block before an allow of the same key. URLs that no rule fits,
     null ones included, are in no cascade: not listed, they get the default.
     Rules with a null host or path are ignored. No rules or no pages are fine.
+    Rows that repeat a page_id, or have none, are judged apart; other columns
+    don't matter. Lists over the limit of bytes go by partitioned cascades.
     """
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IN ('block', 'allow')")
     rules = written(rules.select(F.concat("host", "path").alias("key"), "verdict", F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("labels")), "rules")
@@ -236,11 +292,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", limi
     universe = urls.select(F.explode("probes.key").alias("key"))
     cascades = {v: build_cascade(rules.where(F.col("verdict") == v).select("key"), universe, limit // 2) for v in ("block", "allow")}
     if None in cascades.values():
-        return joined(urls, rules, default)
+        return partitioned(urls, rules, default)
     return looked_up(urls, cascades, default)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all pages."""
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
 

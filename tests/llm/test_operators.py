@@ -125,7 +125,15 @@ class TestUrlFilter:
         assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
         assert url_filter.filter_urls(pages, rules.limit(0)).where("verdict = 'allow'").count() == len(urls)
 
-    def test_cascade_is_exact_and_join_agrees(self, spark):
+    def test_repeated_null_and_long(self, spark):
+        pages = spark.createDataFrame([(1, "http://a.org/x", "c"), (1, "http://a.org/x", "c"), (None, "http://a.com/de/", "c"), (2, "http://" + "a." * 20_000 + "com/de/" + "y" * 100_000, "c")], "page_id long, url string, probes string")
+        rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
+        for limit in (url_filter.FILTER_BYTES, 1):
+            got = url_filter.filter_urls(pages, rules, limit=limit).collect()
+            assert sorted((str(r["page_id"]), r["rule"], r["verdict"]) for r in got) == [("1", "org/", "allow"), ("1", "org/", "allow"), ("2", "com/de/", "block"), ("None", "com/de/", "block")]
+
+    def test_cascade_is_exact_and_parts_agree(self, spark, monkeypatch):
+        monkeypatch.setattr(url_filter, "PART_KEYS", 300)
         universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
         listed = universe.where("crc32(key) % 50 = 0")
         cascade = url_filter.build_cascade(listed, universe)
