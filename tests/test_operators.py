@@ -122,7 +122,7 @@ def test_fluctuation_against_polyfit(spark):
 
 
 def test_scales(spark):
-    assert signal.scales(64, 10) == [16] and signal.scales(2000, 40)[-1] == 499
+    assert signal.scales(64, 10)[0] == 16 and signal.scales(2000, 40)[-1] == 499
     with pytest.raises(ValueError):
         signal.scales(100, 5)
 
