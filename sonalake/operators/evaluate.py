@@ -76,3 +76,11 @@ def mean_probability(df: DataFrame, group: str, scores: Sequence[str], truth: st
     means = df.groupBy(group).agg(*(F.avg(s).alias(s) for s in scores), F.mode(truth, True).alias("truth"))
     listed = F.array(*(F.round(s, 9) for s in scores))
     return means.withColumn("guess", (F.array_position(listed, F.array_max(listed)) - 1).cast("long"))
+
+
+def report_averages(report: DataFrame) -> DataFrame:
+    """The macro and the weighted average of a class report, as two rows."""
+    names = ("precision", "recall", "f1")
+    macro = report.agg(F.lit("macro avg").alias("label"), *(F.avg(c).alias(c) for c in names), F.sum("support").alias("support"))
+    weighted = report.agg(F.lit("weighted avg").alias("label"), *((F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in names), F.sum("support").alias("support"))
+    return macro.unionByName(weighted)

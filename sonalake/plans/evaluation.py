@@ -191,3 +191,28 @@ def pca2(spark, d):
     from .models import principal
 
     return principal(numeric(spark, d), "vec_id", "ft_", 2)
+
+
+@query(f"""WITH {REPORT}, m AS (SELECT label, CASE WHEN guessed = 0 THEN 0 ELSE hits / guessed END AS precision, CASE WHEN support = 0 THEN 0 ELSE hits / support END AS recall, CASE WHEN support + guessed = 0 THEN 0 ELSE 2 * hits / (support + guessed) END AS f1, support FROM r)
+           SELECT 'macro avg' AS label, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1, sum(support)::BIGINT AS support FROM m
+           UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), sum(support)::BIGINT FROM m""")
+def class_report_averages(spark, d):
+    out = evaluate.report_averages(evaluate.class_report(evaluate.confusion(predictions(spark, d), "y", "guess")))
+    return out.select("label", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query()
+def importances_top(spark, d):
+    from .models import importances
+
+    return importances(narrow(spark, d), "y01", "ft_", 5)
+
+
+@query()
+def explained_variance(spark, d):
+    """component, share, cumulative share of the principal components."""
+    from .models import explained
+
+    shares, _ = explained(narrow(spark, d), "ft_", 8)
+    rows = [(i + 1, s, sum(shares[: i + 1])) for i, s in enumerate(shares)]
+    return spark.createDataFrame(rows, "component int, share double, cumulative double")

@@ -214,3 +214,58 @@ def yeo_johnson(spark, d):
 def mutual_information(spark, d):
     out = reports.mutual_information(table(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"])
     return out.select("column", F.round("mi", 8).alias("mi"))
+
+
+@query("""SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_token, round_even(avg(value), 1) AS mean_value, count(DISTINCT event_type) AS n_tokens FROM events GROUP BY user_id""")
+def first_and_mean(spark, d):
+    e = table(spark, d, "events").groupBy("user_id")
+    return e.agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_token"), F.bround(F.avg("value"), 1).alias("mean_value"), F.countDistinct("event_type").alias("n_tokens"))
+
+
+@query("""SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS "F", count(*) FILTER (l_linestatus = 'O') AS "O", count(*) AS total FROM lineitem GROUP BY l_returnflag
+          UNION ALL SELECT 'All', count(*) FILTER (l_linestatus = 'F'), count(*) FILTER (l_linestatus = 'O'), count(*) FROM lineitem""")
+def crosstab_totals(spark, d):
+    """Wide, with totals of rows and columns."""
+    wide = table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().fillna(0).withColumn("total", F.col("F") + F.col("O"))
+    return wide.unionByName(wide.agg(F.lit("All").alias("l_returnflag"), *(F.sum(c).alias(c) for c in ("F", "O", "total"))))
+
+
+@query("""WITH p AS (SELECT DISTINCT o_orderstatus AS g, o_custkey AS u FROM orders), c AS (SELECT a.g AS left_group, b.g AS right_group, a.u AS u FROM p a JOIN p b ON a.u = b.u AND a.g < b.g)
+          SELECT left_group, right_group, count(*) AS overlap, array_to_string(list_sort(list(u))[1:20], ',') AS sample_ids FROM c GROUP BY ALL""")
+def overlap_samples(spark, d):
+    pairs = joins.pairwise_overlap(table(spark, d, "orders"), "o_orderstatus", "o_custkey").where("overlap > 0")
+    return pairs.withColumn("sample_ids", F.array_join(F.col("sample_ids").cast("array<string>"), ","))
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS top FROM orders GROUP BY 1), l AS (SELECT o_custkey, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+          SELECT c_custkey, n_name, r_name, n_orders, round(top, 4) AS top, n_lines, round(quantity, 2) AS quantity FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON c_custkey = o.o_custkey LEFT JOIN l ON c_custkey = l.o_custkey""")
+def five_side_fan_in(spark, d):
+    """A core with five sides, each reduced to one row a key before it is joined."""
+    t = {n: table(spark, d, n) for n in ("customer", "nation", "region", "orders", "lineitem")}
+    per_order = t["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("q"))
+    orders = t["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_totalprice").alias("top"))
+    lines = t["orders"].join(per_order, "o_orderkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("lines").alias("n_lines"), F.sum("q").alias("quantity"))
+    core = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    out = joins.fan_in(core, {"orders": orders, "lines": lines}, "c_custkey", {"orders": [F.col("n_orders")], "lines": [F.col("n_lines")]})
+    return out.select("c_custkey", "n_name", "r_name", "n_orders", F.round("top", 4).alias("top"), "n_lines", F.round("quantity", 2).alias("quantity"))
+
+
+@query("""WITH m AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, min(ts)::DATE AS since FROM events GROUP BY user_id) SELECT m.user_id, m.event_type, m.since, round(avg(value), 6) AS value__mean FROM m JOIN events e ON m.user_id = e.user_id GROUP BY ALL""")
+def speaker_meta(spark, d):
+    e = table(spark, d, "events")
+    meta = e.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.to_date(F.min("ts")).alias("since"))
+    return meta.join(e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("value__mean")), "user_id")
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean_balance, round(max(c_acctbal), 4) AS best, row_number() OVER (ORDER BY round(avg(c_acctbal), 4) DESC, round(max(c_acctbal), 4) DESC, c_mktsegment) AS rank FROM customer GROUP BY 1""")
+def leaderboard_metrics(spark, d):
+    out = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance"), F.round(F.max("c_acctbal"), 4).alias("best"))
+    return reports.ranked(out, [F.desc("mean_balance"), F.desc("best"), F.col("c_mktsegment")])
+
+
+@query("""SELECT 'rows' AS item, count(*) AS n FROM documents UNION ALL SELECT 'sources', count(DISTINCT source) FROM documents UNION ALL SELECT 'lang:' || coalesce(lang, 'null'), count(*) FROM documents GROUP BY lang UNION ALL SELECT 'duplicate_keys', count(*) - count(DISTINCT doc_id) FROM documents""")
+def manifest_histogram(spark, d):
+    """Rows, sources, a status histogram and duplicate keys; an empty table gives zeros and no status."""
+    docs = table(spark, d, "documents")
+    one = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("source").alias("sources"), (F.count(F.lit(1)) - F.countDistinct("doc_id")).alias("duplicate_keys"))
+    return one.unpivot([], ["rows", "sources", "duplicate_keys"], "item", "n").unionByName(reports.histogram(docs, "documents", "lang").select("item", "n"))
