@@ -35,9 +35,9 @@ from .common import crc_mod, map_batches, mix64, words_of, written
 
 #: Input classes (the commonest ids have their own), branches with weights of their own (the others keep their frequencies).
 CLASSES, BRANCHES = 2048, 2047
-#: Steps of training, its rate, seed. Windows of a batch, ids of a piece of a table that is worked on at once.
+#: Steps of training, its rate, seed. Ids of a piece of a table that is worked on at once, characters that are cut at once.
 STEPS, RATE, SEED = 16, 0.12, 3
-BATCH, PIECE_IDS, CHARS = 512, 4_000_000, 1_000_000
+PIECE_IDS, CHARS = 4_000_000, 1_000_000
 #: Words that are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers while cutting.
 HOT, CACHE_WORDS = 200_000, 400_000
 FOLDS, HELD = 7, 2
@@ -48,16 +48,17 @@ WORDS_KIND, FIRST_KIND, NEXT_KIND, DOCS_KIND = 0, 1, 2, 3
 
 @dataclass(frozen=True)
 class Level:
-    """Width of the vectors, places scored in a window and before them, kinds of the second input."""
+    """Width of the vectors, places scored in a window and before them, kinds of the second input, windows of a batch."""
 
     width: int
     scored: int
     context: int
     second: int
+    batch: int
 
 
 #: Words of a text: the inputs are the first and the last id of the word before. Ids of a word: the id before and its place.
-TEXT, WORD = Level(8, 32, 16, CLASSES), Level(16, 4, 12, 8)
+TEXT, WORD = Level(8, 32, 16, CLASSES, 256), Level(16, 4, 12, 8, 1024)
 
 
 @lru_cache(maxsize=2)
@@ -273,6 +274,17 @@ def places(lengths: np.ndarray, scored: int, context: int) -> tuple[np.ndarray,
     return at, (at >= first[owner][:, None]) & (at < (first + lengths)[owner][:, None])
 
 
+def summed_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values' rows by row number."""
+    d = values.shape[1]
+    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), size * d).reshape(size, d)
+
+
+def times(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """m @ w for an array of rows in any shape, as one product."""
+    return (m.reshape(-1, m.shape[-1]) @ w).reshape(*m.shape[:-1], w.shape[1])
+
+
 class Net:
     """One causal head: parameters as one flat array. Inputs are sums of two embeddings; outputs walk a tree."""
 
@@ -303,12 +315,14 @@ class Net:
         back = (np.arange(s)[:, None] + c) - np.arange(s + c)[None, :]
         near = np.where(back >= 0, p["r"][np.maximum(back, 0)], -1e9).astype(np.float32)
         every, inside = places(lengths, s, c)
-        for i in range(0, len(every), BATCH):
-            at, live = every[i : i + BATCH], inside[i : i + BATCH]
+        flat_x = p["e"][a] + p["f"][b]
+        flat_q, flat_k, flat_v, flat_o = flat_x @ (p["q"] * np.float32(d**-0.5)), flat_x @ p["k"], flat_x @ p["v"], flat_x @ p["o"]
+        step = self.level.batch
+        for i in range(0, len(every), step):
+            at, live = every[i : i + step], inside[i : i + step]
             at = np.where(live, at, at[:, c : c + 1])
-            x = p["e"][a[at]] + p["f"][b[at]]
-            own, mine = x[:, c:], live[:, c:]
-            q, k, v = own @ (p["q"] * np.float32(d**-0.5)), x @ p["k"], x @ p["v"]
+            mine, asker = live[:, c:], at[:, c:]
+            q, k, v = flat_q[asker], flat_k[at], flat_v[at]
             w = q @ k.transpose(0, 2, 1)
             w += near
             w += np.where(live, np.float32(0), np.float32(-1e9))[:, None, :]
@@ -316,20 +330,21 @@ class Net:
             np.exp(w, out=w)
             w /= w.sum(2, keepdims=True)
             seen = w @ v
-            h = (seen + own @ p["o"])[mine]
-            here = at[:, c:][mine]
+            here = asker[mine]
+            h = seen[mine] + flat_o[here]
             rep, row, turn, odds = self.walk(symbols[here])
-            u = p["u"][row]
-            z = turn * (np.einsum("ij,ij->i", h[rep], u) + p["b"][row] + odds)
-            out[here] = -np.bincount(rep, np.logaddexp(0, -z), len(here))
+            u, asked = p["u"][row], h[rep]
+            z = turn * (np.einsum("ij,ij->i", asked, u) + p["b"][row] + odds)
+            miss = np.exp(-np.clip(z, -60, 60))  # the odds of the other turn
+            out[here] = -np.bincount(rep, np.log(1 + miss), len(here))
             if weight is None:
                 continue
-            dz = (-turn / (1 + np.exp(np.clip(z, -60, 60))) * weight[here][rep]).astype(np.float32)
-            hz = h[rep] * dz[:, None]
+            dz = -turn * miss / (1 + miss) * weight[here][rep]
             grad["b"] += np.bincount(row, dz, BRANCHES + 1)
-            for j in range(d):
-                grad["u"][:, j] += np.bincount(row, hz[:, j], BRANCHES + 1)
+            grad["u"] += summed_rows(row.astype(np.int64), asked * dz[:, None], BRANCHES + 1)
             starts = np.flatnonzero(np.r_[True, rep[1:] != rep[:-1]]) if len(rep) else np.zeros(0, np.int64)
+            x = flat_x[at]
+            own = x[:, c:]
             dh = np.zeros(own.shape, np.float32)
             dh[mine] = np.add.reduceat(dz[:, None] * u, starts, 0) if len(starts) else 0
             dw = dh @ v.transpose(0, 2, 1)
@@ -342,12 +357,11 @@ class Net:
             grad["k"] += flat(x).T @ flat(dk)
             grad["v"] += flat(x).T @ flat(dv)
             grad["o"] += flat(own).T @ flat(dh)
-            dx = dk @ p["k"].T + dv @ p["v"].T
-            dx[:, c:] += dq @ (p["q"].T * np.float32(d**-0.5)) + dh @ p["o"].T
+            dx = times(dk, p["k"].T) + times(dv, p["v"].T)
+            dx[:, c:] += times(dq, p["q"].T * np.float32(d**-0.5)) + times(dh, p["o"].T)
+            there, moved = at[live], dx[live]
             for name, index in (("e", a), ("f", b)):
-                rows = index[at[live]]
-                for j in range(d):
-                    grad[name][:, j] += np.bincount(rows, dx[live][:, j], len(grad[name]))
+                grad[name] += summed_rows(index[there], moved, len(grad[name]))
         if grad is None:
             return out, None
         grad["u"][BRANCHES], grad["b"][BRANCHES] = 0, 0
