@@ -24,8 +24,10 @@ from .common import crc_mod, map_batches, words_of, written
 #: Bits of a term's hash, leading characters that are terms, and labelled rows that the fit takes at most.
 BITS, PREFIXES, SAMPLE = 18, (4, 5, 6), 20_000
 FACTORS, EPOCHS, BATCH, RATE, PAIR_RATE, DECAY, SPREAD, SEED = 4, 6, 64, 0.2, 0.1, 1e-3, 0.02, 11
-#: Least value of a term, deviations of its toxic share that give the value 1, words whose terms a task remembers.
-FLOOR, FULL_Z, CACHE_WORDS = 0.05, 10.0, 120_000
+#: Least value of a term, deviations of its toxic share that give the value 1.
+FLOOR, FULL_Z = 0.05, 10.0
+#: Words whose terms a task remembers, characters that it scores at once.
+CACHE_WORDS, CHARS = 120_000, 2_000_000
 FOLDS = 5
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -154,7 +156,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fact
         return step
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = map_batches(rows, "text", make, f"doc_id {kind}, tie long, terms array<int>, toxic int").toArrow()
+    got = map_batches(rows, "text", make, f"doc_id {kind}, tie long, terms array<int>, toxic int", CHARS).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("tie", "ascending")])  # the same fit wherever the rows lay
     terms = got.column("terms").combine_chunks()
     return FactorizationMachine().fit(terms.flatten().to_numpy(), np.diff(terms.offsets.to_numpy()).astype(np.int64), got.column("toxic").to_numpy().astype(float))
@@ -179,7 +181,7 @@ def scored(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
         return step
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), "text", make, f"doc_id {kind}, score double")
+    return map_batches(documents.select("doc_id", "text"), "text", make, f"doc_id {kind}, score double", CHARS)
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -196,7 +198,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
         return step
 
-    return map_batches(documents, "text", make, documents.schema)
+    return map_batches(documents, "text", make, documents.schema, CHARS)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
