@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -131,6 +134,14 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterat
         start = end
 
 
+def released() -> None:
+    """Gives freed memory back to the system: a Python worker lives on after its task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, chars: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow over bounded slices; make() runs once in each task and returns the step."""
 
@@ -140,6 +151,8 @@ def map_batches(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Record
             for piece in slices(batch, text, chars):
                 if (out := step(piece)) is not None:
                     yield out
+        del step
+        released()
 
     return df.mapInArrow(run, schema)
 
