@@ -25,7 +25,7 @@ from .common import map_batches
 #: Fixed value: how the public byte-level tokenizer cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a task remembers, and their bytes at most; words as long as TREE_WIDTH symbols are merged one at a time.
-CACHE_WORDS, CACHE_LENGTH, TREE_WIDTH = 150_000, 64, 256
+CACHE_WORDS, CACHE_LENGTH, TREE_WIDTH = 200_000, 64, 256
 CHUNK = 200_000
 TYPES = {
     "n_tokens": ("long", pa.int64()),

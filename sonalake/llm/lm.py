@@ -31,15 +31,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, mix64, words_of, written
+from .common import crc_mod, map_batches, mix64, released, words_of, written
 
 #: Input classes (the commonest ids have their own), branches with weights of their own (the others keep their frequencies).
 CLASSES, BRANCHES = 2048, 2047
-#: Steps of training, its rate, seed. Ids of a piece of a table that is worked on at once, characters that are cut at once.
+#: Steps of training, its rate, seed. Ids that are counted at once, or go through the network, and characters that are cut at once.
 STEPS, RATE, SEED = 16, 0.12, 3
-PIECE_IDS, CHARS = 4_000_000, 1_000_000
+COUNT_IDS, PIECE_IDS, CHARS = 2_000_000, 400_000, 1_000_000
 #: Words that are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers while cutting.
-HOT, CACHE_WORDS = 200_000, 400_000
+HOT, CACHE_WORDS = 200_000, 250_000
 FOLDS, HELD = 7, 2
 #: Numbers of a row in which sums of gradients travel.
 CHUNK = 1024
@@ -169,16 +169,15 @@ class Texts:
         return (mix64(np.add.reduceat(mixed, self.first)) >> np.uint64(1)).view(np.int64)
 
 
-def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about PIECE_IDS items of a list column, or half as many bytes."""
+def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about `most` items of a list column; a longer list is a slice of its own."""
     if not batch.num_rows:
         return
-    lists = batch.column(column)
-    upto = lists.offsets.to_numpy().astype(np.int64)[1:] - lists.offsets[0].as_py() if isinstance(lists, pa.ListArray) else np.cumsum(np.array([len(x) for x in lists.to_pylist()]))
-    start = 0
+    offsets = batch.column(column).offsets.to_numpy().astype(np.int64)
+    upto, start = offsets[1:] - offsets[0], 0
     while start < batch.num_rows:
         done = upto[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(upto, done + PIECE_IDS, side="right")))
+        end = max(start + 1, int(np.searchsorted(upto, done + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
@@ -199,7 +198,7 @@ def counted(ids: DataFrame, path: str) -> DataFrame:
         begins = encoding(path)[1]
         stop = len(begins)
         for whole in batches:
-            for batch in pieces(whole, 1):
+            for batch in pieces(whole, 1, COUNT_IDS):
                 t = Texts.of(batch.column(1), begins)
                 train = (batch.column(0).to_numpy() >= 0).astype(float)
                 _, at, back = np.unique(t.hashes(), return_index=True, return_inverse=True)
@@ -435,11 +434,12 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, shared: Broad
         net, begins = model.nets(weights.value)[0], encoding(model.path)[1]
         grad, loss, weight = np.zeros(net.size), 0.0, 0.0
         for whole in batches:
-            for batch in pieces(whole, 0):
+            for batch in pieces(whole, 0, PIECE_IDS):
                 a, b, sizes, first = model.text_inputs(Texts.of(batch.column(0), begins))
                 lp, g = net.run(a, b, sizes, first, np.ones(len(first), np.float32))
                 grad, loss, weight = grad + g, loss - lp.sum(), weight + len(first)
         yield chunks(0, grad, loss, weight)
+        released()
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -454,6 +454,7 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, shared: Broad
                 lp, g = net.run(a, b, length, follow, times)
                 grad, loss, weight = grad + g, loss - (lp * times).sum(), weight + float(times.sum())
         yield chunks(1, grad, loss, weight)
+        released()
 
     often = F.col("n") > model.tokens / HOT
     mine = words.where((F.col("n") > 0) & (often | (F.pmod(F.xxhash64("key"), F.lit(STEPS)) == turn)))
@@ -539,7 +540,7 @@ def scored_once(ids: DataFrame, model: Model, flats: list[np.ndarray], hot: tupl
         net, begins = model.nets(flats)[0], encoding(model.path)[1]
         total = np.log10(model.tokens + model.distinct + 1)
         for whole in batches:
-            for batch in pieces(whole, 3):
+            for batch in pieces(whole, 3, PIECE_IDS):
                 t, many = Texts.of(batch.column(3), begins), batch.num_rows
                 a, b, sizes, first = model.text_inputs(t)
                 owner = np.repeat(np.arange(many), sizes)
