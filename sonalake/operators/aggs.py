@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,6 +115,22 @@ def anova_f(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     return stacked(one, {c: [between(c) / (F.col(f"w_{c}") / (F.col("n") - F.col("k")))] for c in columns}, ("column", "f"))
 
 
+def even_mean(value: str, digits: int) -> Column:
+    """The mean of each group, rounded half to even.
+
+    Sums of binary fractions depend on the order of rows, and may put a mean
+    that lies halfway on either side of it. Where all values are decimals of at
+    most 10 places, their sum is exact, and halfway is seen as such.
+    """
+    x = F.col(value).cast("double")
+    step = 10**digits
+    exact = x.try_cast("decimal(24,10)")
+    total, n = F.try_sum(exact).try_cast("decimal(30,10)"), F.count(x)
+    halves = F.rint(total.cast("double") / n * (2 * step))
+    halfway = (F.count_if(exact.cast("double") == x) == n) & (total * F.lit(Decimal(2 * step)) == halves.try_cast("decimal(17,0)") * n.try_cast("decimal(10,0)"))  # as they are, both sides fit 38 digits
+    return F.when(halfway, F.rint(halves / 2) / step).otherwise(F.rint(F.avg(x) * step) / step)
+
+
 def curve_envelope(df: DataFrame, group: str, values: str) -> DataFrame:
     """group, pos, mean, std over arrays by position."""
     return df.select(group, F.posexplode(values).alias("pos", "x")).groupBy(group, "pos").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleanse, cohort, joins, reports
+from ..operators import aggs, cleanse, cohort, joins, reports
 from .registry import query, table
 
 ORDER = ["purchase", "click", "view"]
@@ -219,7 +219,7 @@ def mutual_information(spark, d):
 @query("""SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_token, round_even(avg(value), 1) AS mean_value, count(DISTINCT event_type) AS n_tokens FROM events GROUP BY user_id""")
 def first_and_mean(spark, d):
     e = table(spark, d, "events").groupBy("user_id")
-    return e.agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_token"), F.bround(F.avg("value"), 1).alias("mean_value"), F.countDistinct("event_type").alias("n_tokens"))
+    return e.agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first_token"), aggs.even_mean("value", 1).alias("mean_value"), F.countDistinct("event_type").alias("n_tokens"))
 
 
 @query("""SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS "F", count(*) FILTER (l_linestatus = 'O') AS "O", count(*) AS total FROM lineitem GROUP BY l_returnflag

@@ -30,6 +30,15 @@ def test_balance_keeps_unknown_rows(spark):
     assert {r["label"]: r["count"] for r in got} == {"healthy": 3, None: 1, "ill": 2}
 
 
+def test_mean_halfway_whatever_the_order(spark):
+    rows = {1: [87.32, 41.04, 49.12, 3.92], 2: [128.03, 68.37, 178.65, 69.15], 3: [0.25, None], 4: [None], 5: [1e300, 1e300], 6: [1 / 3, 2 / 3], 7: [float("nan")], 8: [-0.15, -0.15], 9: [49.54] * 59 + [50.12]}  # means 45.35, 111.05 in no order of binary sums
+    want = {1: 45.4, 2: 111.0, 3: 0.2, 4: None, 5: 1e300, 6: 0.5, 8: -0.2, 9: 49.5}
+    for turn in (1, -1):
+        df = spark.createDataFrame([(k, v) for k, vs in rows.items() for v in vs[::turn]], "k long, v double")
+        got = {r["k"]: r["m"] for r in df.groupBy("k").agg(aggs.even_mean("v", 1).alias("m")).collect()}
+        assert np.isnan(got.pop(7)) and got == want
+
+
 def test_hash_ranks_equal_a_sort(spark):
     import hashlib
 
