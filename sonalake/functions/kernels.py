@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 FRAME, HOP = 64, 16
 LEAST_SIGNAL, ENTROPY_RATE = 16, 8000
+#: Partitions at least in which series are spread: a few long ones take a task each, however small their rows are together.
+SPREAD = 200
+#: Points below which templates are compared pair by pair; bits of the places compared so at the ends of a range; questions at once.
+PAIRS, LEAF, SLICE = 2048, 6, 65_536
 
 
 def frames(x: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -138,8 +142,8 @@ def acoustic(x: np.ndarray, rate: float, size: int = 2048, hop: int = 512, lowes
     return out
 
 
-def _matches(x: np.ndarray, m: int, r: float, cells: int = 4_000_000) -> np.ndarray:
-    """How many templates of length m lie within r of each, itself included.
+def _pairs(x: np.ndarray, m: int, r: float, cells: int = 4_000_000) -> np.ndarray:
+    """How many templates of length m lie within r of each, itself included, pair by pair.
 
     Templates are sorted by their first value, so that a block meets only those
     whose first value can lie within r; blocks have bounded memory.
@@ -159,16 +163,119 @@ def _matches(x: np.ndarray, m: int, r: float, cells: int = 4_000_000) -> np.ndar
     return found
 
 
-def sample_entropy(x: np.ndarray, m: int = 2) -> float:
+def reaches(x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rank of each value, and for each rank the first rank within r of it and the first beyond: rounded as the difference of two values is."""
+    v, rank = np.unique(x, return_inverse=True)
+    lo, hi = np.zeros(len(v), np.int64), np.arange(len(v))
+    while (wide := lo < hi).any():
+        mid = (lo + hi) // 2
+        near = v - v[mid] <= r
+        lo, hi = np.where(wide & ~near, mid + 1, lo), np.where(wide & near, mid, hi)
+    return rank, lo, np.searchsorted(lo, np.arange(len(v)), side="right")
+
+
+def below(values: np.ndarray, bits: int, start: np.ndarray, place: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many of the first `place` values of the block at start are below limit; each block of 2^bits values has 0, 1, ... in some order.
+
+    A wavelet tree, from the highest bit: values are parted by it in their order,
+    so that each half of a block is a block again, and all questions go down together.
+    """
+    found, start, place = np.where(limit >> bits, place, 0), start.copy(), place.copy()
+    ones = np.zeros(len(values) + 1, np.int32)
+    for bit in reversed(range(bits)):
+        high = (values >> bit & 1).astype(bool)
+        np.cumsum(high, out=ones[1:])
+        for i in range(0, len(start), SLICE):
+            own = slice(i, i + SLICE)
+            up = limit[own] >> bit & 1
+            above = ones[start[own] + place[own]] - (start[own] >> 1)
+            under = place[own] - above
+            found[own] += under * up
+            place[own] = np.where(up, above, under)
+            start[own] += up << bit
+        values = np.concatenate([values[~high].reshape(-1, 1 << bit), values[high].reshape(-1, 1 << bit)], 1).ravel()
+    return found
+
+
+def in_boxes(rows: np.ndarray, columns: np.ndarray, bits: int, base: np.ndarray, box: list[np.ndarray]) -> np.ndarray:
+    """How many points of the block at base lie in each box [row, row), [column, column) of keys; both are keys of all points, rows and columns ascending by block."""
+    order, at = np.argsort(rows, kind="stable"), np.argsort(columns, kind="stable")
+    values = np.empty(len(rows), np.int32)
+    values[at] = np.arange(len(rows)) & ((1 << bits) - 1)
+    keys = (rows[order], rows[order], columns[at], columns[at])
+    r0, r1, c0, c1 = ((np.searchsorted(k, b) - base).astype(np.int32) for k, b in zip(keys, box, strict=True))
+    start = np.tile(base.astype(np.int32), 4)
+    corner = below(values[order], bits, start, np.concatenate([r1, r0, r1, r0]), np.concatenate([c1, c1, c0, c0])).reshape(4, -1)
+    return corner[0].astype(np.int64) - corner[1] - corner[2] + corner[3]
+
+
+def _pairs_of_two(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Templates of length 2: boxes over one block of all points."""
+    a, b, n = rank[:-1], rank[1:], len(rank) - 1
+    bits = (n - 1).bit_length()
+    pad = np.arange(len(lo), len(lo) + (1 << bits) - n)  # beyond every box
+    return in_boxes(np.r_[a, pad], np.r_[b, pad], bits, np.zeros(n, np.int64), [lo[a], hi[a], lo[b], hi[b]])
+
+
+def _pairs_of_three(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Templates of length 3, sorted by their first value: its range is cut into blocks of 2^k places, at most two of each size, with boxes over the others."""
+    order = np.argsort(rank[:-2], kind="stable")
+    a, b, c = rank[order], rank[order + 1], rank[order + 2]
+    n, ranks, found = len(a), len(lo), np.zeros(len(a), np.int64)
+    p, q = np.searchsorted(a, lo[a]), np.searchsorted(a, hi[a])
+    left, right = -(-p >> LEAF), q >> LEAF
+    turn = np.minimum(q, left << LEAF)
+    for first, last in ((p, turn), (np.maximum(right << LEAF, turn), q)):  # less than a block at each end
+        for i in range(0, n, SLICE >> LEAF):
+            own = slice(i, i + (SLICE >> LEAF))
+            at = first[own, None] + np.arange(1 << LEAF)
+            inside = at < last[own, None]
+            at = np.minimum(at, n - 1)
+            for x in (b, c):
+                y = x[at]
+                inside &= (y >= lo[x[own], None]) & (y < hi[x[own], None])
+            found[own] += inside.sum(1)
+    level = LEAF
+    while (live := left < right).any():
+        starts, ends = np.flatnonzero(live & (left & 1 == 1)), np.flatnonzero(live & (right & 1 == 1))
+        right[ends] -= 1
+        who, block = np.r_[starts, ends], np.r_[left[starts], right[ends]]
+        left[starts] += 1
+        if len(who):
+            whole = n >> level << level
+            shift = (np.arange(whole) >> level) * ranks
+            box = [block * ranks + bound[x[who]] for x in (b, c) for bound in (lo, hi)]
+            met = in_boxes(shift + b[:whole], shift + c[:whole], level, block << level, box)
+            found[starts] += met[: len(starts)]
+            found[ends] += met[len(starts) :]
+        left, right, level = left >> 1, right >> 1, level + 1
+    out = np.empty(n, np.int64)
+    out[order] = found
+    return out
+
+
+def _matches(x: np.ndarray, m: int, r: float) -> np.ndarray:
+    """How many templates of length m lie within r of each, itself included: the same numbers as pair by pair, in n log(n)^2 steps for the usual lengths."""
+    if len(x) < PAIRS or m not in (2, 3) or not r >= 0:
+        return _pairs(x, m, r)
+    return (_pairs_of_two if m == 2 else _pairs_of_three)(*reaches(x, r))
+
+
+def entropies(x: np.ndarray, m: int = 2) -> tuple[float, float]:
+    """Sample and approximate entropy, from one count of each length; the first leaves out the last template of length m."""
     r = 0.2 * x.std(ddof=1)
-    b, a = (_matches(x[:-1], m, r) - 1).sum(), (_matches(x, m + 1, r) - 1).sum()
-    return float(-np.log(a / b)) if a > 0 and b > 0 else float("nan")
+    short, long = _matches(x, m, r), _matches(x, m + 1, r)
+    b, a = int((short - 1).sum() - 2 * (short[-1] - 1)), int((long - 1).sum())
+    phi = lambda c: np.log(c / len(c)).mean()
+    return float(-np.log(a / b)) if a > 0 and b > 0 else float("nan"), float(phi(short) - phi(long))
+
+
+def sample_entropy(x: np.ndarray, m: int = 2) -> float:
+    return entropies(x, m)[0]
 
 
 def approximate_entropy(x: np.ndarray, m: int = 2) -> float:
-    r = 0.2 * x.std(ddof=1)
-    phi = lambda k: np.log(_matches(x, k, r) / (len(x) - k + 1)).mean()
-    return float(phi(m) - phi(m + 1))
+    return entropies(x, m)[1]
 
 
 def features(x: np.ndarray, rate: float) -> dict[str, float]:
@@ -200,14 +307,15 @@ def extracted(s: DataFrame, rate: float) -> DataFrame:
             try:
                 row |= features(x, rate)
                 thin = x[:: max(1, int(rate) // ENTROPY_RATE)]
-                row |= {"sample_entropy": sample_entropy(thin), "approximate_entropy": approximate_entropy(thin)}
+                row |= dict(zip(("sample_entropy", "approximate_entropy"), entropies(thin), strict=True))
             except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
                 row |= {"status": "failed", "error": str(e)}
         return pd.DataFrame([row])
 
     kind = s.schema["key"].dataType.simpleString()
     schema = f"key {kind}, status string, error string, " + ", ".join(f"{n} double" for n in names)
-    return s.select("key", "i", F.col("x").cast("double").alias("x")).groupBy("key").applyInPandas(one, schema)
+    parts = max(SPREAD, int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return s.select("key", "i", F.col("x").cast("double").alias("x")).repartition(parts, "key").groupBy("key").applyInPandas(one, schema)
 
 
 def fluctuation(x: np.ndarray, scales: list[int], qs: list[float], order: int = 1) -> np.ndarray:

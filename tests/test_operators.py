@@ -162,3 +162,30 @@ def test_entropies_see_every_point_below_their_rate(spark):
     got = kernels.extracted(long(spark, [float(v) for v in x]), 1000.0).first()
     assert got["sample_entropy"] == pytest.approx(kernels.sample_entropy(x))
     assert got["approximate_entropy"] == pytest.approx(kernels.approximate_entropy(x))
+
+
+@pytest.mark.parametrize("kind", ["cents", "constant", "normal", "walk", "two", "wide"])
+def test_templates_by_levels_equal_pairs(monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    n = 2500
+    x = {"cents": rng.exponential(50, n).round(2), "constant": np.ones(n), "normal": rng.normal(size=n + 1597), "walk": np.cumsum(rng.normal(size=n)), "two": rng.integers(0, 2, n).astype(float), "wide": 1e16 * rng.normal(size=n) + rng.integers(-1, 2, n)}[kind]
+    want = {(m, f): kernels._pairs(x, m, f * x.std(ddof=1)) for m in (2, 3) for f in (0.2, 0.0, 3.0)}
+    monkeypatch.setattr(kernels, "_pairs", None)  # long series don't meet it
+    for (m, f), counts in want.items():
+        np.testing.assert_array_equal(kernels._matches(x, m, f * x.std(ddof=1)), counts)
+
+
+def test_entropies_of_a_long_series(monkeypatch):
+    x = np.random.default_rng(6).exponential(50, 3000).round(2)
+    r = 0.2 * x.std(ddof=1)
+    pairs = kernels._pairs
+    a, b = (pairs(x, 3, r) - 1).sum(), (pairs(x[:-1], 2, r) - 1).sum()
+    phi = [np.log(pairs(x, m, r) / (len(x) - m + 1)).mean() for m in (2, 3)]
+    monkeypatch.setattr(kernels, "_pairs", None)
+    assert kernels.entropies(x) == pytest.approx((-np.log(a / b), phi[0] - phi[1]))
+
+
+def test_each_long_series_has_a_task(spark):
+    rows = spark.range(500).selectExpr("CAST(id % 5 AS STRING) AS key", "id AS i", "CAST(id * 7 % 13 AS DOUBLE) AS x")
+    tasks = kernels.extracted(rows, 1000.0).select("key", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in tasks}) == 5
