@@ -37,7 +37,7 @@ from .common import crc_mod, map_batches, mix64, released, words_of, written
 CLASSES, BRANCHES = 2048, 2047
 #: Steps of training, its rate, seed. Ids that are counted at once, or go through the network, and characters that are cut at once.
 STEPS, RATE, SEED = 16, 0.12, 3
-COUNT_IDS, PIECE_IDS, CHARS = 2_000_000, 400_000, 1_000_000
+COUNT_IDS, PIECE_IDS, CHARS = 2_000_000, 200_000, 1_000_000
 #: Words that are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers while cutting.
 HOT, CACHE_WORDS = 200_000, 250_000
 FOLDS, HELD = 7, 2
@@ -125,22 +125,21 @@ class Spelling:
 
 
 def tokenised(documents: DataFrame, path: str) -> DataFrame:
-    """row, doc_id, share (of training, -1 for the held-out fold) and ids of documents(doc_id, text), cut once."""
+    """row, doc_id, share (of training, -1 for the held-out fold) and ids (packed) of documents(doc_id, text), cut once."""
 
     def make():
         spelling = Spelling(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, count = spelling.ids([words_of(t) for t in batch.column(3).to_pylist()])
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(flat, pa.int32()))
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], ids], names=["row", "doc_id", "share", "ids"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], packed_ids(flat, count)], names=["row", "doc_id", "share", "ids"])
 
         return step
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     share = F.when(crc_mod("doc_id", FOLDS) == HELD, -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS))).cast("int")
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", share.alias("share"), "text")
-    return written(map_batches(rows, "text", make, f"row long, doc_id {kind}, share int, ids array<int>", chars=CHARS), "ids")
+    return written(map_batches(rows, "text", make, f"row long, doc_id {kind}, share int, ids binary", chars=CHARS), "ids")
 
 
 @dataclass
@@ -153,11 +152,10 @@ class Texts:
     words: np.ndarray
 
     @classmethod
-    def of(cls, lists: pa.Array, begins: np.ndarray) -> Texts:
-        offsets = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+    def of(cls, packed: pa.Array, begins: np.ndarray) -> Texts:
+        flat, count = unpacked(packed)
         first = np.flatnonzero(begins[flat])
-        words = np.diff(np.searchsorted(first, offsets - offsets[0]))
+        words = np.diff(np.searchsorted(first, np.r_[0, np.cumsum(count)]))
         return cls(flat, first, np.diff(np.r_[first, len(flat)]), words)
 
     def hashes(self) -> np.ndarray:
@@ -170,10 +168,10 @@ class Texts:
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most about `most` items of a list column; a longer list is a slice of its own."""
+    """Slices of a batch with at most about `most` ids of a packed column; a longer text is a slice of its own."""
     if not batch.num_rows:
         return
-    offsets = batch.column(column).offsets.to_numpy().astype(np.int64)
+    offsets = packed_offsets(batch.column(column))
     upto, start = offsets[1:] - offsets[0], 0
     while start < batch.num_rows:
         done = upto[start - 1] if start else 0
@@ -183,11 +181,25 @@ def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
 
 
 def packed_ids(flat: np.ndarray, length: np.ndarray) -> pa.Array:
-    """Binary keys: two bytes an id, of words whose ids lie one after the other."""
+    """Two bytes an id, of words or texts whose ids lie one after the other: bytes go through Spark whole, not number by number."""
     offsets = np.r_[0, 2 * np.cumsum(length)].astype(np.int32)
     return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype("<u2").tobytes())])
 
 
+def packed_offsets(packed: pa.Array) -> np.ndarray:
+    """Where the ids of each item begin and the last ends."""
+    return np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // 2
+
+
+def unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of packed words or texts."""
+    if not len(packed):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets, held = packed_offsets(packed), packed.buffers()[2]
+    data = np.frombuffer(held, "<u2", len(held) // 2)[offsets[0] : offsets[-1]] if held else np.zeros(0, "<u2")
+    return data.astype(np.int64), np.diff(offsets)
+
+
 def counted(ids: DataFrame, path: str) -> DataFrame:
     """kind, key, n: how often training texts have each word, first id, next id of a word (or its stop), and how many they are.
 
@@ -215,6 +227,7 @@ def counted(ids: DataFrame, path: str) -> DataFrame:
                 for kind, counts in ((FIRST_KIND, firsts), (NEXT_KIND, nexts), (DOCS_KIND, np.array([int(train.sum())]))):
                     used = np.flatnonzero(counts)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), packed_ids(used, np.ones(len(used), np.int64)), pa.array(counts[used])], names=["kind", "key", "n"])
+        released()
 
     parts = ids.select("share", "ids").mapInArrow(run, "kind int, key binary, n long")
     return written(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
@@ -465,13 +478,6 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, shared: Broad
     return found
 
 
-def unpacked(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and lengths of binary keys."""
-    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
-    data = np.frombuffer(keys.buffers()[2], "<u2")[offsets[0] // 2 : offsets[-1] // 2] if keys.buffers()[2] else np.zeros(0, "<u2")
-    return data.astype(np.int64), (np.diff(offsets) // 2).astype(np.int64)
-
-
 def input_classes(counts: np.ndarray) -> np.ndarray:
     """A class for each id: the commonest their own, the others by bands of equal mass in the last sixteenth."""
     bands = CLASSES // 16
@@ -508,6 +514,7 @@ def train(ids: DataFrame, path: str) -> tuple[Model, list[np.ndarray], DataFrame
                 v += 0.1 * (grad**2 - v)
                 rate = RATE * (1 - turn / (2 * STEPS))
                 flats[level] = flats[level] - rate * (m / (1 - 0.8 ** (turn + 1))) / (np.sqrt(v / (1 - 0.9 ** (turn + 1))) + 1e-5)
+    shared.destroy()
     return model, flats, words
 
 
@@ -527,8 +534,11 @@ def scored_words(words: DataFrame, model: Model, flats: list[np.ndarray]) -> Dat
             inner = np.add.reduceat(net.run(a, b, length, follow)[0], first) / np.log(10)
             hashes = Texts(flat, first, length, length).hashes()
             yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(1), pa.array(inner)], names=["hash", "n", "inner"])
+        released()
 
-    return written(words.mapInArrow(run, "hash long, n long, inner double"), "words")
+    out = written(words.mapInArrow(run, "hash long, n long, inner double"), "words")
+    shared.destroy()
+    return out
 
 
 def scored_once(ids: DataFrame, model: Model, flats: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
@@ -558,10 +568,13 @@ def scored_once(ids: DataFrame, model: Model, flats: list[np.ndarray], hot: tupl
                 cuts = pa.array(np.searchsorted(who[first], np.arange(many + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (rare[first], np.diff(np.r_[first, len(rare)]))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, (sizes, known, base, score)), *lists], names=["row", "doc_id", "share", "n_tokens", "known", "base", "score", "keys", "times"])
+        released()
 
     kind = ids.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, share int, n_tokens long, known long, base double, score double, keys array<long>, times array<long>"
-    return written(ids.select("row", "doc_id", "share", "ids").mapInArrow(run, schema), "scored")
+    out = written(ids.select("row", "doc_id", "share", "ids").mapInArrow(run, schema), "scored")
+    shared.destroy()
+    return out
 
 
 def score_documents(documents: DataFrame, path: str) -> DataFrame:

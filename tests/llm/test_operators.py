@@ -559,6 +559,16 @@ class TestLm:
         per_word = lambda nets: (nets[0].run(a, b, sizes, first)[0].sum() + nets[1].run(c, d, t.length, follow)[0].sum()) / len(first) / np.log(10)
         assert per_word(model.nets(flats)) > per_word(model.nets()) + 0.5  # before training the trees' frequencies decide
 
+    def test_ids_travel_as_bytes(self, odd, monkeypatch):
+        ids = lm.tokenised(odd, lm.vocabulary_path())
+        assert dict(ids.dtypes)["ids"] == "binary"  # two bytes an id, copied whole
+        batch = ids.orderBy("row").select("ids").toArrow().combine_chunks().to_batches()[0]
+        lengths = [len(x) // 2 for x in batch.column(0).to_pylist()]
+        assert 0 in lengths and max(lengths) >= 30000
+        cut = list(lm.pieces(batch, 0, 100))
+        assert [len(x) // 2 for p in cut for x in p.column(0).to_pylist()] == lengths and len(cut) > 1
+        assert np.concatenate([lm.unpacked(p.column(0))[0] for p in cut]).tolist() == lm.unpacked(batch.column(0))[0].tolist()
+
     def test_cut_together_is_cut_one_by_one(self):
         spelling, rng = lm.Spelling(lm.vocabulary_path()), random.Random(10)
         pool = [*"abcXYZ019'.,!?", "é", "中", "'s", "'LL", "\u00a0", "\u2003", "😀"]
