@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -140,7 +140,8 @@ def scales(n: int, count: int = 20) -> list[int]:
     """Distinct truncated log-spaced scales from 16 to a quarter of n, 17 at least."""
     if count < LEAST_SCALES:
         raise ValueError(f"at least {LEAST_SCALES} scales are needed")
-    return sorted({int(v) for v in np.logspace(np.log10(16), np.log10(max(17, n // 4)), count)})
+    lo, hi = math.log10(16), math.log10(max(17, n // 4))  # number by number: numpy's powers of arrays round otherwise on some processors
+    return sorted({int(10.0 ** (hi if k == count - 1 else lo + k * ((hi - lo) / (count - 1)))) for k in range(count)})
 
 
 def fluctuation(s: DataFrame, at: Sequence[int] | int, qs: Sequence[float]) -> DataFrame:
