@@ -41,11 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost no recomputation.
+
+    by: columns that have a folder for each value, so that a reader of one value opens no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
@@ -134,6 +137,14 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = SLICE_CHARS) -> Iterat
         start = end
 
 
+def keeping() -> None:
+    """Freed memory stays with the process until released(): arrays made again and again cost no new pages each time."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD, glibc's own upper bound
+        libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
+
+
 def released() -> None:
     """Gives freed memory back to the system: a Python worker lives on after its task, beside those of other stages."""
     gc.collect()

@@ -27,23 +27,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, mix64, released, words_of, written
+from .common import crc_mod, keeping, map_batches, mix64, released, words_of, written  # noqa: F401
 
 #: Input classes (the commonest ids have their own), branches with weights of their own (the others keep their frequencies).
 CLASSES, BRANCHES = 2048, 2047
+#: Branches with the most mass, which every place computes at once, on its way or not: a matter of speed alone.
+DENSE = 48
+#: Places that go through a network at once.
+PLACES = 16384
 #: Steps of training, its rate, seed. Ids that are counted at once, or go through the network, and characters that are cut at once.
 STEPS, RATE, SEED = 16, 0.12, 3
 COUNT_IDS, PIECE_IDS, CHARS = 2_000_000, 200_000, 1_000_000
-#: Words that are broadcast at most: those over 1/HOT of all tokens. Words that a task remembers while cutting.
+#: Words that are broadcast at most; those over 1/HOT of all tokens are in every step. Words that a task remembers while cutting.
 HOT, CACHE_WORDS = 200_000, 250_000
 FOLDS, HELD = 7, 2
 #: Numbers of a row in which sums of gradients travel.
 CHUNK = 1024
 WORDS_KIND, FIRST_KIND, NEXT_KIND, DOCS_KIND = 0, 1, 2, 3
+#: Turns of words that are in every step of training, and in none.
+OFTEN, NEVER = -1, -2
 
 
 @dataclass(frozen=True)
@@ -95,43 +102,57 @@ class Spelling:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[str, int] = {}
         self.first, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [" " + w.decode("utf-8", "replace") for w in words]
-        flat = np.array(self.encoding.encode_ordinary("".join(texts)), np.int32)
+    def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = " " + " ".join(words)
+        flat = np.array(self.encoding.encode_ordinary(joined), np.int32)
         first = np.flatnonzero(self.begins[flat])
-        if len(first) != len(words) or not all(t.isprintable() for t in texts):  # other white space may join words: cut one by one
-            ids = [self.encoding.encode_ordinary(t) for t in texts]
+        if len(first) != len(words) or not joined.isprintable():  # other white space may join words: cut one by one
+            ids = [self.encoding.encode_ordinary(" " + w) for w in words]
             return np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
         return flat, np.diff(np.r_[first, len(flat)])
 
-    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has."""
+    def spelled(self, words: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of texts that lie one after the other, and how many each text has, which ends before these words."""
         if len(self.at) > CACHE_WORDS:
             self.clear()
-        if new := list(set().union(*texts) - self.at.keys()):
+        coded = words.dictionary_encode()  # each different word is looked up once
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in different if w not in self.at]:
             flat, length = self.cut(new)
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
             self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, flat])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        get = self.at.__getitem__
-        place = np.fromiter((get(w) for words in texts for w in words), np.int64, sum(map(len, texts)))
+        place = np.fromiter(map(self.at.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
         length = self.length[place]
         upto = np.r_[0, np.cumsum(length)]
-        ends = np.cumsum([0, *map(len, texts)])
-        return self.flat[spread(self.first[place], length)], np.diff(upto[ends])
+        return self.flat[spread(self.first[place], length)], np.diff(upto[np.r_[0, ends]])
+
+    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has, by the texts' words."""
+        words = pa.array([w.decode("utf-8", "replace") for words in texts for w in words], pa.string())
+        return self.spelled(words, np.cumsum([len(words) for words in texts], dtype=np.int64))
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of whole texts; null is empty. Both functions of Arrow know A-Z and the white space of the contracts only."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words, offsets = split.flatten(), split.offsets.to_numpy()
+        held = pc.greater(pc.binary_length(words), 0)  # space at either end of a text leaves an empty word there
+        upto = np.r_[0, np.cumsum(held.to_numpy(zero_copy_only=False))]
+        return self.spelled(words.filter(held), upto[offsets[1:] - offsets[0]])
 
 
 def tokenised(documents: DataFrame, path: str) -> DataFrame:
-    """row, doc_id, share (of training, -1 for the held-out fold) and ids (packed) of documents(doc_id, text), cut once."""
+    """row, doc_id, share (of training, -1 for the held-out fold) and ids (packed) of documents(doc_id, text), cut once; a folder for each share."""
 
     def make():
+        keeping()
         spelling = Spelling(path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            flat, count = spelling.ids([words_of(t) for t in batch.column(3).to_pylist()])
+            flat, count = spelling.ids_of(batch.column(3))
             return pa.RecordBatch.from_arrays([*batch.columns[:3], packed_ids(flat, count)], names=["row", "doc_id", "share", "ids"])
 
         return step
@@ -139,7 +160,7 @@ def tokenised(documents: DataFrame, path: str) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     share = F.when(crc_mod("doc_id", FOLDS) == HELD, -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS))).cast("int")
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", share.alias("share"), "text")
-    return written(map_batches(rows, "text", make, f"row long, doc_id {kind}, share int, ids binary", chars=CHARS), "ids")
+    return written(map_batches(rows, "text", make, f"row long, doc_id {kind}, share int, ids binary", chars=CHARS), "ids", "share")
 
 
 @dataclass
@@ -207,6 +228,7 @@ def counted(ids: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping()
         begins = encoding(path)[1]
         stop = len(begins)
         for whole in batches:
@@ -288,13 +310,41 @@ def places(lengths: np.ndarray, scored: int, context: int) -> tuple[np.ndarray,
 
 def summed_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of the values' rows by row number."""
-    d = values.shape[1]
-    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), size * d).reshape(size, d)
+    return np.stack([np.bincount(rows, v, size) for v in values.T], 1)
+
 
+def longest(m: np.ndarray) -> float:
+    """Length of the longest row."""
+    return float(np.einsum("ij,ij->i", m, m).max(initial=0)) ** 0.5
 
-def times(m: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """m @ w for an array of rows in any shape, as one product."""
-    return (m.reshape(-1, m.shape[-1]) @ w).reshape(*m.shape[:-1], w.shape[1])
+
+class Ways:
+    """Branches on the ways to the symbols of a run: those near the root as tables by symbol, the others as lists.
+
+    The loss of a branch is ln(1 + exp(sign * (own log-odds) + offset)). In the
+    tables a branch that isn't on the way has no sign and an offset that makes
+    its loss 0, so one product with all of them serves every place. Branches
+    without weights add the same to every place of a symbol.
+    """
+
+    def __init__(self, tree: Tree, bias: np.ndarray, symbols: np.ndarray):
+        used = np.flatnonzero(np.bincount(symbols, minlength=len(tree.length)))
+        number = np.zeros(len(tree.length), np.int64)
+        number[used] = np.arange(len(used))
+        self.local, length = number[symbols], tree.length[used]
+        at, owner = spread(tree.first[used], length), np.repeat(np.arange(len(used)), length)
+        row, sign = tree.branch[at].astype(np.int64), -tree.turn[at].astype(np.float32)
+        offset = sign * (tree.odds[at] + bias[row])
+        near, fixed = row < DENSE, row >= BRANCHES
+        self.sign = np.zeros((len(used), DENSE), np.float32)
+        self.offset = np.full((len(used), DENSE), -1e4, np.float32)
+        self.sign[owner[near], row[near]], self.offset[owner[near], row[near]] = sign[near], offset[near]
+        self.most = float(self.offset.max(initial=0))
+        self.constant = np.bincount(owner[fixed], np.log1p(np.exp(offset[fixed].astype(float))), len(used))
+        far = ~near & ~fixed
+        self.far = np.bincount(owner[far], minlength=len(used))
+        self.far_first = np.cumsum(self.far) - self.far
+        self.far_row, self.far_sign, self.far_offset = row[far], sign[far], offset[far]
 
 
 class Net:
@@ -313,72 +363,134 @@ class Net:
             self.p[n] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
             at += int(np.prod(s))
 
-    def walk(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all branches on the ways to the symbols: the symbol's place, weight row, turn, fixed log-odds."""
-        length = self.tree.length[symbols]
-        at = spread(self.tree.first[symbols], length)
-        return np.repeat(np.arange(len(symbols)), length), self.tree.branch[at], self.tree.turn[at].astype(np.float32), self.tree.odds[at]
+    def walk(self, ways: Ways, local: np.ndarray, h: np.ndarray, weight: np.ndarray | None, grad: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """ln probability of symbols, by their numbers in ways; with weights, the gradient by h as well, and grad grows by those of u and b."""
+        near = self.p["u"][:DENSE]
+        sign = ways.sign.take(local, 0)
+        miss = h @ near.T
+        miss *= sign
+        miss += ways.offset.take(local, 0)
+        most = longest(h) * longest(near) + ways.most
+        if most > 60:
+            np.minimum(miss, 60, out=miss)
+        np.exp(miss, out=miss)  # the odds of the other turn
+        whole = miss + 1
+        if weight is not None:
+            miss /= whole
+            miss *= sign
+            miss *= weight[:, None]
+            dh = miss @ near
+            grad["u"][:DENSE] += miss.T @ h
+            grad["b"][:DENSE] += np.ones(len(miss), np.float32) @ miss
+        if most < 40 and DENSE % 2 == 0:  # a logarithm for two
+            whole = whole[:, : DENSE // 2] * whole[:, DENSE // 2 :]
+        out = -(np.log(whole, out=whole) @ np.ones(whole.shape[1], np.float32)) - ways.constant[local]
+        some = np.flatnonzero(ways.far[local])
+        if len(some):
+            local = local[some]
+            length = ways.far[local]
+            at, rep = spread(ways.far_first[local], length), np.repeat(some, length)
+            row, asked = ways.far_row[at], h.take(rep, 0)
+            u, sign = self.p["u"].take(row, 0), ways.far_sign[at]
+            miss = np.exp(np.minimum(sign * np.einsum("ij,ij->i", asked, u) + ways.far_offset[at], 60))
+            starts = np.cumsum(length) - length
+            out[some] -= np.add.reduceat(np.log(1 + miss), starts)
+            if weight is not None:
+                dz = sign * miss / (1 + miss) * weight[rep]
+                asked *= dz[:, None]
+                grad["far"].append((row, dz, asked))
+                u *= dz[:, None]
+                dh[some] += summed_rows(np.repeat(np.arange(len(some)), length), u, len(some))
+        return out, None if weight is None else dh
 
     def run(self, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln probability of each symbol; with weights, the gradient of the weighted sum of -ln p as well."""
-        s, c, d = self.level.scored, self.level.context, self.level.width
+        """ln probability of each symbol; with weights, the gradient of the weighted sum of -ln p as well.
+
+        Windows with as many places before them are taken together, so no place
+        before a sequence is computed; those after its end are seen by none
+        inside. Sums of weights come with the values, by a column of ones. About
+        PLACES are taken at once, so that what belongs to them stays in a cache.
+        """
         out, grad = np.zeros(len(a)), None if weight is None else {n: np.zeros(shape) for n, shape in self.shapes.items()}
-        p = self.p
-        back = (np.arange(s)[:, None] + c) - np.arange(s + c)[None, :]
-        near = np.where(back >= 0, p["r"][np.maximum(back, 0)], -1e9).astype(np.float32)
-        every, inside = places(lengths, s, c)
-        flat_x = p["e"][a] + p["f"][b]
-        flat_q, flat_k, flat_v, flat_o = flat_x @ (p["q"] * np.float32(d**-0.5)), flat_x @ p["k"], flat_x @ p["v"], flat_x @ p["o"]
-        step = self.level.batch
-        for i in range(0, len(every), step):
-            at, live = every[i : i + step], inside[i : i + step]
-            at = np.where(live, at, at[:, c : c + 1])
-            mine, asker = live[:, c:], at[:, c:]
-            q, k, v = flat_q[asker], flat_k[at], flat_v[at]
-            w = q @ k.transpose(0, 2, 1)
-            w += near
-            w += np.where(live, np.float32(0), np.float32(-1e9))[:, None, :]
-            w -= w.max(2, keepdims=True)
-            np.exp(w, out=w)
-            w /= w.sum(2, keepdims=True)
-            seen = w @ v
-            here = asker[mine]
-            h = seen[mine] + flat_o[here]
-            rep, row, turn, odds = self.walk(symbols[here])
-            u, asked = p["u"][row], h[rep]
-            z = turn * (np.einsum("ij,ij->i", asked, u) + p["b"][row] + odds)
-            miss = np.exp(-np.clip(z, -60, 60))  # the odds of the other turn
-            out[here] = -np.bincount(rep, np.log(1 + miss), len(here))
-            if weight is None:
-                continue
-            dz = -turn * miss / (1 + miss) * weight[here][rep]
-            grad["b"] += np.bincount(row, dz, BRANCHES + 1)
-            grad["u"] += summed_rows(row.astype(np.int64), asked * dz[:, None], BRANCHES + 1)
-            starts = np.flatnonzero(np.r_[True, rep[1:] != rep[:-1]]) if len(rep) else np.zeros(0, np.int64)
-            x = flat_x[at]
-            own = x[:, c:]
-            dh = np.zeros(own.shape, np.float32)
-            dh[mine] = np.add.reduceat(dz[:, None] * u, starts, 0) if len(starts) else 0
-            dw = dh @ v.transpose(0, 2, 1)
-            dw -= (dh * seen).sum(2, keepdims=True)
-            dw *= w
-            dv, dq, dk = w.transpose(0, 2, 1) @ dh, dw @ k, dw.transpose(0, 2, 1) @ q
-            grad["r"] += np.bincount(np.maximum(back, 0).ravel(), (dw.sum(0) * (back >= 0)).ravel(), s + c)
-            flat = lambda m: m.reshape(-1, d)
-            grad["q"] += flat(own).T @ flat(dq) * d**-0.5
-            grad["k"] += flat(x).T @ flat(dk)
-            grad["v"] += flat(x).T @ flat(dv)
-            grad["o"] += flat(own).T @ flat(dh)
-            dx = times(dk, p["k"].T) + times(dv, p["v"].T)
-            dx[:, c:] += times(dq, p["q"].T * np.float32(d**-0.5)) + times(dh, p["o"].T)
-            there, moved = at[live], dx[live]
-            for name, index in (("e", a), ("f", b)):
-                grad[name] += summed_rows(index[there], moved, len(grad[name]))
+        if grad is not None:
+            grad["far"], grad["dx"] = [], np.zeros((len(a), self.level.width), np.float32)  # rows that are summed by their numbers in the end
+        ways, upto, start = Ways(self.tree, self.p["b"], symbols), np.r_[0, np.cumsum(lengths)], 0
+        while start < len(lengths):
+            end = max(start + 1, int(np.searchsorted(upto, upto[start] + PLACES, side="right")) - 1)
+            some = slice(upto[start], upto[end])
+            out[some] = self.part(ways, a[some], b[some], lengths[start:end], ways.local[some], None if weight is None else weight[some], grad, some)
+            start = end
         if grad is None:
             return out, None
+        for name, index in (("e", a), ("f", b)):
+            grad[name] += summed_rows(index, grad["dx"], len(grad[name]))
+        if grad["far"]:
+            row, dz, asked = map(np.concatenate, zip(*grad["far"], strict=True))
+            grad["b"] += np.bincount(row, dz, BRANCHES + 1)
+            grad["u"] += summed_rows(row, asked, BRANCHES + 1)
         grad["u"][BRANCHES], grad["b"][BRANCHES] = 0, 0
         return out, np.concatenate([grad[n].ravel() for n in self.shapes])
 
+    def part(self, ways: Ways, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, local: np.ndarray, weight: np.ndarray | None, grad: dict | None, some: slice) -> np.ndarray:
+        """ln probabilities at some sequences' places; grad grows by their gradient."""
+        s, c, d = self.level.scored, self.level.context, self.level.width
+        out, p = np.zeros(len(a)), self.p
+        every, inside = places(lengths, s, c)
+        before, full = inside[:, :c].sum(1), inside[:, -1]
+        flat_x = p["e"].take(a, 0) + p["f"].take(b, 0)
+        m = np.concatenate([p["q"] * np.float32(d**-0.5), p["o"], p["k"], p["v"]], 1)
+        flat = flat_x @ m
+        asker, keys = np.ascontiguousarray(flat[:, : 2 * d]), np.ascontiguousarray(flat[:, 2 * d : 3 * d].T)
+        values = np.concatenate([flat[:, 3 * d :], np.ones((len(a), 1), np.float32)], 1)
+        small = longest(flat[:, :d]) * longest(flat[:, 2 * d : 3 * d]) + np.abs(p["r"]).max() < 60  # else the greatest is taken off before exp
+        if weight is not None:
+            d_asker, d_seen = np.zeros((len(a), 2 * d), np.float32), np.zeros((len(a), 2 * d), np.float32)
+        for behind, whole in np.argwhere(np.bincount(before * 2 + full, minlength=2 * c + 2).reshape(-1, 2)):
+            back = (np.arange(s)[:, None] + behind) - np.arange(s + behind)[None, :]
+            near = np.where(back >= 0, p["r"][np.maximum(back, 0)], -1e9).astype(np.float32)
+            group = np.flatnonzero((before == behind) & (full == whole))
+            for i in range(0, len(group), self.level.batch):
+                which = group[i : i + self.level.batch]
+                at = every[which, c - behind :]
+                mine = None if whole else np.flatnonzero(inside[which, c:])
+                if not whole:
+                    at = np.minimum(at, len(a) - 1)
+                inner = lambda x: x.reshape(-1, x.shape[-1]) if mine is None else x.reshape(-1, x.shape[-1]).take(mine, 0)  # noqa: E731, B023
+                here = inner(at[:, behind:, None])[:, 0]
+                own = asker.take(at[:, behind:], 0)
+                q, k, v = own[..., :d], keys.take(at, 1).transpose(1, 0, 2), values.take(at, 0)
+                w = q @ k
+                w += near
+                if not small:
+                    w -= w.max(2, keepdims=True)
+                np.exp(w, out=w)
+                seen = w @ v
+                share = 1 / seen[..., d:]
+                seen = seen[..., :d] * share
+                out[here], dh_mine = self.walk(ways, local[here], inner(seen + own[..., d:]), None if weight is None else weight[here], grad)
+                if weight is None:
+                    continue
+                dh = np.zeros((len(at), s, d + 1), np.float32)
+                dh.reshape(-1, d + 1)[slice(None) if mine is None else mine, :d] = dh_mine
+                dh[..., d] = -np.einsum("ijk,ijk->ij", dh[..., :d], seen)
+                dh *= share
+                dw = dh @ v.transpose(0, 2, 1)
+                dw *= w
+                grad["r"] += np.bincount(np.maximum(back, 0).ravel(), (dw.sum(0) * (back >= 0)).ravel(), s + c)
+                moved = np.concatenate([dw.transpose(0, 2, 1) @ q, w.transpose(0, 2, 1) @ dh[..., :d]], 2)
+                d_asker[here] = np.concatenate([inner(dw @ k.transpose(0, 2, 1)), dh_mine], 1)
+                d_seen[here] += inner(moved[:, behind:])
+                for j in range(0, behind, s):  # the windows of a sequence lie s apart: no place is twice in one of these
+                    d_seen[at[:, j : min(j + s, behind)]] += moved[:, j : min(j + s, behind)]
+        if weight is None:
+            return out
+        moved = np.concatenate([d_asker, d_seen], 1)
+        total = flat_x.T @ moved
+        for j, (name, scale) in enumerate((("q", d**-0.5), ("o", 1), ("k", 1), ("v", 1))):
+            grad[name] += total[:, j * d : (j + 1) * d] * scale
+        grad["dx"][some] = moved @ m.T
+        return out
+
 
 @dataclass
 class Model:
@@ -443,6 +555,7 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, shared: Broad
     weights = ids.sparkSession.sparkContext.broadcast([f.astype(np.float32) for f in flats])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping()
         model = shared.value
         net, begins = model.nets(weights.value)[0], encoding(model.path)[1]
         grad, loss, weight = np.zeros(net.size), 0.0, 0.0
@@ -455,6 +568,7 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, shared: Broad
         released()
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping()
         model = shared.value
         net = model.nets(weights.value)[1]
         grad, loss, weight = np.zeros(net.size), 0.0, 0.0
@@ -469,9 +583,7 @@ def step_gradients(ids: DataFrame, words: DataFrame, model: Model, shared: Broad
         yield chunks(1, grad, loss, weight)
         released()
 
-    often = F.col("n") > model.tokens / HOT
-    mine = words.where((F.col("n") > 0) & (often | (F.pmod(F.xxhash64("key"), F.lit(STEPS)) == turn)))
-    mine = mine.select("key", F.when(often, F.col("n") / STEPS).otherwise(F.col("n")).cast("double").alias("times"))
+    mine = words.where(F.col("turn").isin(turn, OFTEN)).select("key", F.when(F.col("turn") == OFTEN, F.col("n") / STEPS).otherwise(F.col("n")).cast("double").alias("times"))
     schema = "level int, chunk int, v binary"
     found = summed(ids.where(F.col("share") == turn).select("ids").mapInArrow(texts, schema).union(mine.mapInArrow(inner, schema)))
     weights.destroy()
@@ -490,7 +602,7 @@ def input_classes(counts: np.ndarray) -> np.ndarray:
 
 
 def train(ids: DataFrame, path: str) -> tuple[Model, list[np.ndarray], DataFrame]:
-    """The model, the weights of its levels, and key, n of all words; texts of the held-out fold are read for neither counts nor gradients."""
+    """The model, the weights of its levels, and key, n, turn of all words; texts of the held-out fold are read for neither counts nor gradients."""
     size = len(encoding(path)[1])
     counts = counted(ids, path)
     words = counts.where(F.col("kind") == WORDS_KIND).select("key", "n")
@@ -502,6 +614,8 @@ def train(ids: DataFrame, path: str) -> tuple[Model, list[np.ndarray], DataFrame
     for kind, key, n in zip(*(small.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True):
         (first if kind == FIRST_KIND else after)[int.from_bytes(key, "little")] += n
     first[size] += docs
+    often = F.when(F.col("n") > tokens / HOT, OFTEN).otherwise(F.pmod(F.xxhash64("key"), F.lit(STEPS)))
+    words = written(words.withColumn("turn", F.when(F.col("n") > 0, often).otherwise(NEVER).cast("int")), "turns", "turn")  # a step reads its own
     model = Model(path, input_classes((first + after)[:size]), (Tree.of(first), Tree.of(after)), tokens, distinct, docs)
     nets, shared = model.nets(), ids.sparkSession.sparkContext.broadcast(model)
     flats = [np.concatenate([n.p[k].ravel() for k in n.shapes]).astype(float) for n in nets]
@@ -523,6 +637,7 @@ def scored_words(words: DataFrame, model: Model, flats: list[np.ndarray]) -> Dat
     shared = words.sparkSession.sparkContext.broadcast((model, flats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping()
         model, flats = shared.value
         net = model.nets(flats)[1]
         for batch in batches:
@@ -536,7 +651,7 @@ def scored_words(words: DataFrame, model: Model, flats: list[np.ndarray]) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(1), pa.array(inner)], names=["hash", "n", "inner"])
         released()
 
-    out = written(words.mapInArrow(run, "hash long, n long, inner double"), "words")
+    out = written(words.select("key", "n").mapInArrow(run, "hash long, n long, inner double"), "words")
     shared.destroy()
     return out
 
@@ -546,6 +661,7 @@ def scored_once(ids: DataFrame, model: Model, flats: list[np.ndarray], hot: tupl
     shared = ids.sparkSession.sparkContext.broadcast((model, flats, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeping()
         model, flats, (keys, counts, inner) = shared.value
         net, begins = model.nets(flats)[0], encoding(model.path)[1]
         total = np.log10(model.tokens + model.distinct + 1)
@@ -577,6 +693,13 @@ def scored_once(ids: DataFrame, model: Model, flats: list[np.ndarray], hot: tupl
     return out
 
 
+def hot_count(words: DataFrame, least: float) -> float:
+    """A count that at most HOT words exceed: least, as there are at most HOT words over 1/HOT of all tokens, or a smaller one by halves."""
+    halves = [least / 2**k for k in range(1, 24)]
+    many = words.agg(*(F.count_if(F.col("n") > h) for h in halves)).first()
+    return min([least, *(h for h, n in zip(halves, many, strict=True) if n <= HOT)])
+
+
 def score_documents(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of documents(doc_id, text), one row per row.
 
@@ -584,16 +707,17 @@ def score_documents(documents: DataFrame, path: str) -> DataFrame:
     held out. Rows that repeat a doc_id are scored apart, equal texts alike.
     Without training documents every count is 0 and the model has its first
     weights. Texts and words are taken whole, however long; other columns don't
-    matter. A word that is over 1/HOT of all tokens has its count broadcast, at
-    most HOT of them; the others are looked up by a shuffle of their 63-bit hashes.
+    matter. The commonest words have their counts broadcast, at most HOT of them;
+    the others are looked up by a shuffle of their 63-bit hashes.
     """
     ids = tokenised(documents, path)
     model, flats, words = train(ids, path)
     words = scored_words(words, model, flats)
-    hot = words.where(F.col("n") > model.tokens / HOT).toArrow().sort_by("hash")
+    least = hot_count(words, model.tokens / HOT)
+    hot = words.where(F.col("n") > least).toArrow().sort_by("hash")
     rows = scored_once(ids, model, flats, tuple(hot.column(c).to_numpy() for c in ("hash", "n", "inner")))
     rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("hash"), F.col("w.times").alias("times"))
-    found = rare.join(words.where(F.col("n") <= model.tokens / HOT), "hash")
+    found = rare.join(words.where(F.col("n") <= least), "hash")
     total = float(np.log10(model.tokens + model.distinct + 1))
     log = F.log10(F.col("n").cast("double") + 1) - total
     sums = found.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more_known"), F.sum(F.col("times") * F.col("inner")).alias("inside"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -577,6 +578,43 @@ class TestLm:
         want = [i for w in words for i in spelling.encoding.encode_ordinary(" " + w.decode())]
         assert flat.tolist() == want and count.sum() == len(want) and count[1] == 0
 
+    def test_places_and_branches_in_any_portions(self, monkeypatch):
+        found = []
+        for dense, places in ((48, 16384), (0, 16384), (7, 10), (40, 1)):
+            monkeypatch.setattr(lm, "DENSE", dense)
+            monkeypatch.setattr(lm, "PLACES", places)
+            net, rng = self.net(120)
+            a, b, sizes, y, weight = rng.integers(0, 30, 45), rng.integers(0, 8, 45), np.array([9, 0, 1, 35]), rng.integers(0, 120, 45), rng.integers(1, 5, 45).astype(np.float32)
+            net.p["u"][lm.BRANCHES], net.p["b"][lm.BRANCHES] = 0, 0
+            found.append((*net.run(a, b, sizes, y, weight), net.run(a, b, sizes, y)[0]))
+        for lp, grad, again in found:
+            np.testing.assert_allclose(lp, found[0][0], atol=1e-4)
+            np.testing.assert_allclose(grad, found[0][1], atol=1e-3)
+            np.testing.assert_allclose(again, lp, atol=1e-6)
+        net.p["q"] *= 300  # beyond what exp holds: the greatest is taken off
+        np.testing.assert_allclose(net.run(a[:9], b[:9], sizes[:1], y[:9])[0], self.slow(net, a[:9], b[:9], y[:9]), rtol=1e-3)
+
+    def test_a_step_reads_its_own_folders(self, odd):
+        ids = lm.tokenised(odd, lm.vocabulary_path())
+        words = lm.train(ids, lm.vocabulary_path())[2]
+        for table, column, least in ((ids, "share", -1), (words, "turn", lm.NEVER)):
+            assert {r[0] for r in table.select(column).distinct().collect()} <= set(range(least, lm.STEPS))
+            value = table.agg(F.max(column)).first()[0]
+            files = [r[0] for r in table.where(F.col(column) == value).select(F.input_file_name()).distinct().collect()]
+            assert files and all(f"/{column}={value}/" in f for f in files)
+
+    def test_words_of_whole_texts(self):
+        rng, pool = random.Random(11), [*"abC \t\n\v\f\r\x1c\x1f\x00.,'1", "\u0085", "\u00a0", "\u2003", "É", "中", "😀"]
+        texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(500)] + [None, "", " ", "  a "]
+        flat, count = lm.Spelling(lm.vocabulary_path()).ids_of(pa.array(texts).slice(3))
+        want, sizes = lm.Spelling(lm.vocabulary_path()).ids([lm.words_of(t) for t in texts[3:]])
+        assert flat.tolist() == want.tolist() and count.tolist() == sizes.tolist()
+
+    def test_broadcast_words_are_bounded(self, spark, monkeypatch):
+        monkeypatch.setattr(lm, "HOT", 10)
+        words = spark.createDataFrame([(1,)] * 8 + [(3,)] * 7 + [(40,)] * 2, "n long")
+        assert words.where(F.col("n") > lm.hot_count(words, 109 / 10)).count() == 9  # all but those that would be more than HOT
+
     def test_odd_rows(self, odd, none):
         got = lm.score_documents(odd, lm.vocabulary_path())
         assert got.count() == odd.count() and got.where("score IS NULL OR base_score IS NULL").count() == 0
