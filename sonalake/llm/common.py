@@ -153,6 +153,17 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def collected(spark: SparkSession) -> None:
+    """Each executor's JVM collects its garbage and gives freed heap and buffers back: else they stay as large as any earlier stage made them.
+
+    One small task for each core, so each executor gets some if none is busy;
+    where -XX:+DisableExplicitGC is set, nothing happens.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    done = F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")
+    spark.range(0, cores, 1, cores).select(done).write.format("noop").mode("overwrite").save()
+
+
 def map_batches(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, chars: int = SLICE_CHARS) -> DataFrame:
     """mapInArrow over bounded slices; make() runs once in each task and returns the step."""
 

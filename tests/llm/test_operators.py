@@ -658,3 +658,13 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
         assert nothing.count() == 0 and left.count() <= odd.count()
         if name != "bpe":
             assert left.columns == nothing.columns == df.columns
+
+
+def test_each_stage_begins_with_memory_given_back(spark, none):
+    import corpus_pipeline as c
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()  # on one machine the executor's
+    for name, stage in c.STAGES:
+        before = sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+        stage(spark, none, "/root/testdata/sf0.001")
+        assert sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()) > before, name
